@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.llm import secrets
+from lontar.llm import media, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_secrets": op1_secrets}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(_documents(spark, sf_dir)))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
