@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.llm import media, secrets
+from lontar.llm import media, mixing, secrets, token_ids
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op10_media": op10_media}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_documents(spark, sf_dir))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op8_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the vocabulary file's path, by default the public byte-level one."""
+    import public_tokenizers
+
+    return token_ids.read_index(token_ids.write(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op8_token_ids": op8_token_ids, "op10_media": op10_media}
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
