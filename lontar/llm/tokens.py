@@ -98,11 +98,13 @@ def windows(hashes: np.ndarray, row_of_word: np.ndarray, n: int) -> tuple[np.nda
     """Hashes of runs of n consecutive words of one row, and the position of each run's first word."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(row_of_word[n - 1 :] == row_of_word[: len(row_of_word) - n + 1])
-    h = np.zeros(len(at), np.uint64)
-    for k in range(n):
-        h = mix(h * np.uint64(0xA0761D6478BD642F) + hashes[at + k])
-    return h, at
+    last = len(hashes) - n + 1
+    at = np.flatnonzero(row_of_word[n - 1 :] == row_of_word[:last])
+    h = hashes[:last].copy()
+    for k in range(1, n):
+        h *= np.uint64(0xA0761D6478BD642F)
+        h += hashes[k : last + k]
+    return mix(h[at] + np.uint64(n)), at
 
 
 def rows_of_words(bounds: np.ndarray) -> np.ndarray:
