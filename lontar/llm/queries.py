@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import decontaminate, language, media, mixing, near_dup, secrets, token_ids
+from lontar.llm import decontaminate, language, lm_score, media, mixing, near_dup, secrets, token_ids
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_documents(spark, sf_dir)))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_documents(spark, sf_dir))
 
@@ -43,6 +47,6 @@ def op8_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return token_ids.read_index(token_ids.write(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op4_decontamination": op4_decontamination, "op5_language_id": op5_language_id, "op8_token_ids": op8_token_ids, "op9_near_dup": op9_near_dup, "op10_media": op10_media}
+QUERIES = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_mixing": op3_mixing, "op4_decontamination": op4_decontamination, "op5_language_id": op5_language_id, "op8_token_ids": op8_token_ids, "op9_near_dup": op9_near_dup, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
