@@ -17,7 +17,6 @@ other in the order of their texts' hashes, null doc_ids first; repeated rows rep
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +34,8 @@ STEP = 64
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 1_000_000
-_AWKWARD = re.compile(r"\s | $|\A ")
+# Marks that may end a piece; the pre-tokenizer always cuts between a letter or digit and one of them.
+_MARKS = ".,;:!?%$#&*+=/|)]}>\""
 _HEAD = struct.Struct("<4sIQI")
 
 
@@ -51,7 +51,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {"": b""}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,27 +67,41 @@ class Encoder:
         cuts = (4 * np.searchsorted(begins, at)).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Put pieces into the memo: None for one that ends in white space, else its stem's ids and its closing marks' ids."""
+        parts = {}
+        for w in new:
+            if w[-1:].isspace():
+                self.memo[w] = None
+                continue
+            stem = w.rstrip(_MARKS)
+            parts[w] = (stem, w[len(stem) :]) if stem != w and stem[-1:].isalnum() else (w, "")
+        unknown = {x for pair in parts.values() for x in pair if x and x not in self.memo}
+        led = [x for x in unknown if x[0] == " "]
+        rest = [x for x in unknown if x[0] != " "]
+        self.memo.update(zip(led, self._encoded_together(led), strict=True))
+        self.memo.update(zip(rest, self._encoded(rest), strict=True))
+        for w, (stem, marks) in parts.items():
+            if marks:
+                self.memo[w] = self.memo[stem] + self.memo[marks]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """uint32 ids of each text, without the end id."""
-        pieces: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            if _AWKWARD.search(text):
-                pieces.append(None)
-                continue
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            pieces.append(words)
-            new.update(w for w in words if w not in self.memo)
+        pieces = [text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
+        new = {w for words in pieces if words for w in words if w not in self.memo}
         if len(self.memo) + len(new) > CACHE_ENTRIES:
-            self.memo = {}
-            new = {w for words in pieces if words for w in words}
-        led = [w for w in new if w[:1] == " "]
-        rest = [w for w in new if w[:1] != " "]
-        self.memo.update(zip(rest, self._encoded(rest), strict=True))
-        self.memo.update(zip(led, self._encoded_together(led), strict=True))
+            self.memo = {"": b""}
+            new = {w for words in pieces if words for w in words if w}
+        self._learn(new)
         get = self.memo.__getitem__
-        whole = iter(self._encoded([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
+        out: list[bytes | None] = []
+        for words in pieces:
+            try:
+                out.append(None if words is None else b"".join(map(get, words)))
+            except TypeError:  # a piece that ends in white space
+                out.append(None)
+        whole = iter(self._encoded([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
