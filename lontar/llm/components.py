@@ -33,9 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.union(now.select("v", "u"))
         least = _least_neighbour(both)
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = scratch.checkpoint(large)
-        least = _least_neighbour(large)
+        large = scratch.checkpoint(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # u's smaller neighbours, of which the last step has left few
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = scratch.checkpoint(small.filter("u <> v").distinct())
         before, state = state, _state(now)

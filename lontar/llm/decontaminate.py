@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm import scratch, tokens
+from lontar.llm import keyed, scratch, tokens
 
 # Unit words.
 UNITS = (
@@ -44,7 +44,7 @@ class Rules:
     shortest: int = 3
     share: float = 0.5
     filter_bits: int = 28
-    broadcast_rows: int = 300_000
+    broadcast_rows: int = 20_000
 
 
 _DIGIT, _UPPER, _STOP, _POINT, _WORD = (np.zeros(256, bool) for _ in range(5))
@@ -161,39 +161,19 @@ def item_windows(benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_windows long, length int, hash long, slots array<long>")
 
 
-def hash_filter(hashes: DataFrame, limit_bits: int) -> np.ndarray:
-    """A bit array with two bits for each value of ``hash``; its size follows the number of values up to 2**limit_bits bits."""
-    n = hashes.count()
-    bits = min(max(20, (32 * max(1, n)).bit_length()), limit_bits)
-    places = F.array(*[F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND((1 << bits) - 1)])
-    words = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
-def passes(filter_words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = len(filter_words).bit_length() - 1 + 6
-    ok = np.ones(len(h), bool)
-    for p in (h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)):
-        ok &= (filter_words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return ok
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, node (the text's hash), item_id, n_found, n_windows, exact and score of each item leaked into a document."""
     items = scratch.checkpoint(item_windows(benchmark, rules))
     spark = docs.sparkSession
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most the window's length
-    words = spark.sparkContext.broadcast(hash_filter(items.select("hash").distinct(), rules.filter_bits))
+    words = spark.sparkContext.broadcast(keyed.key_bits(items.select("hash").distinct(), "hash", rules.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.chunks(batch):
                 template, literal, kind, row = templates(part.column("text"))
                 w = windows(template, kind, row, len(part), rules, lengths, False) if lengths else Windows(*(np.zeros(0, np.int64),) * 3)
-                keep = passes(words.value, w.h) if len(w.h) else np.zeros(0, bool)
+                keep = keyed.may_hold(words.value, w.h) if len(w.h) else np.zeros(0, bool)
                 w = Windows(w.h[keep], w.at[keep], w.n[keep])
                 if not len(w.h):
                     continue
@@ -219,7 +199,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs without the documents that an item leaked into."""
     bad = scratch.checkpoint(leaks(docs, benchmark, rules).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct())
-    side = F.broadcast(bad) if bad.count() <= rules.broadcast_rows else bad
-    keyed = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    on = keyed["__node"].eqNullSafe(side["__node"]) & keyed["__id"].eqNullSafe(side["__id"])
-    return keyed.join(side, on, "left_anti").select(*docs.columns)
+    staged = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    return keyed.without(staged, "__node", bad, ["__node", "__id"]).select(*docs.columns)

@@ -7,8 +7,9 @@ placed under c count; a component keeps the earliest one. Two documents then agr
 probability of their weighted Jaccard similarity, and a document takes about m ln m points whatever its length.
 
 Exact copies are one node. Nodes that share a band of six components are candidates; in each bucket all are
-compared with one pivot, by exact multiset overlap. Where a bucket's nodes are not in one class after that,
-further pivots follow, and at last each node outside of its bucket's class is held against all of the bucket.
+compared with a pivot (the node that has most company in all its buckets, as the origin of many edited copies
+has), by exact multiset overlap. Where a bucket's nodes are not in one class after that, each node outside of
+the pivot's class is held against all others of the bucket that aren't in its own class.
 Classes are the connected components of the verified links.
 
 Results for odd input: words are lower-cased and split at ASCII white space; a text of one to four words is a
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm import scratch, tokens
+from lontar.llm import keyed, scratch, tokens
 from lontar.llm.components import components
 
 SHINGLE = 5
@@ -36,13 +37,11 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class NearDup:
-    """Least similarity, bands and their width, pivots a bucket before the exhaustive step, and the rows that may be broadcast."""
+    """Least similarity, bands and their width."""
 
     similarity: float = 0.8
     bands: int = 42
     width: int = 6
-    pivots: int = 3
-    broadcast_rows: int = 300_000
 
     @property
     def components(self) -> int:
@@ -175,15 +174,10 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.divide(both, total - both, out=np.zeros(n), where=total > both)
 
 
-def _small(df: DataFrame, rules: NearDup) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows; a shuffled join otherwise."""
-    return F.broadcast(df) if df.count() <= rules.broadcast_rows else df
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, rules: NearDup) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the similarity."""
     needed = scratch.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = scratch.table(_nodes(docs).select("node", "text").join(_small(needed, rules), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = scratch.table(keyed.among(_nodes(docs).filter("text is not null").select("node", "text"), "node", needed).dropDuplicates(["node"]), "texts")
     least = rules.similarity - 1e-12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +201,7 @@ def _alike(pairs: DataFrame, rules: NearDup) -> DataFrame:
             a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint8).reshape(len(batch), rules.components) for k in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= rules.least_agreement))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -220,33 +214,17 @@ def links(docs: DataFrame, rules: NearDup = NearDup(), features: DataFrame | Non
     features = scratch.table(_features(docs, rules), "signatures") if own else features
     reps = scratch.table(features.filter("words").dropDuplicates(["node"]).select("node", "bands", "sketch"), "bands")
     rows = reps.select("node", F.explode("bands").alias("key"))
-    buckets = scratch.checkpoint(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high"))
-    large = buckets.filter("n > 2")
-    members = scratch.checkpoint(rows.join(_small(large.select("key", "low", "high"), rules), "key"))
-    pairs = buckets.filter("n = 2").select(*_ordered("low", "high")).union(members.filter("node <> low").select(*_ordered("low", "node"))).distinct()
-    found = _verified(scratch.checkpoint(pairs), docs, rules)
+    buckets = scratch.checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = scratch.checkpoint(rows.join(buckets, "key"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    pivots = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    members = scratch.checkpoint(members.join(scratch.checkpoint(pivots), "key").select("key", "node", "pivot"))
+    pairs = scratch.checkpoint(members.filter("node <> pivot").select(*_ordered("node", "pivot")).distinct())
+    found = _verified(pairs, docs, rules)
     roots = scratch.checkpoint(components(found))
-    tried = pairs
-    for k in range(rules.pivots):
-        # nodes that are not in their bucket's largest known class go on, with another pivot from among themselves
-        placed = _placed(members, roots)
-        apart = placed.filter("root <> low_root")
-        if k == rules.pivots - 1:
-            open_keys = apart.select("key").distinct()
-            some = scratch.checkpoint(placed.join(_small(scratch.checkpoint(open_keys), rules), "key").join(reps.select("node", "sketch"), "node"))
-            left = some.filter("root <> low_root").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-            right = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-            met = left.join(right, "key").filter("root_a <> root_b")
-            more = _alike(met, rules).select(*_ordered("a", "b")).distinct()
-        else:
-            pivot = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-            pivot = scratch.checkpoint(pivot)
-            more = placed.join(_small(pivot, rules), "key").filter("node <> pivot").select(*_ordered("node", "pivot")).distinct()
-        more = scratch.checkpoint(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = scratch.checkpoint(tried.union(more))
-        found = scratch.checkpoint(found.union(_verified(more, docs, rules)))
+    rest = scratch.checkpoint(_open_pairs(members, roots, reps, rules).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found = scratch.checkpoint(found.union(_verified(rest, docs, rules)))
         roots = scratch.checkpoint(components(found))
     scratch.drop(reps)
     if own:
@@ -254,11 +232,17 @@ def links(docs: DataFrame, rules: NearDup = NearDup(), features: DataFrame | Non
     return found, roots
 
 
-def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with the roots of the node and of its bucket's first pivot, but only of buckets that aren't one class yet."""
+def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, rules: NearDup) -> DataFrame:
+    """In buckets of several classes: nodes outside of the pivot's class with nodes of other classes, if their sketches are alike."""
     of = lambda name, out: roots.select(F.col("node").alias(name), F.col("root").alias(out))
-    joined = members.join(of("node", "root"), "node", "left").join(of("low", "low_root"), "low", "left")
-    return joined.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("low_root", "low").alias("low_root"))
+    placed = members.join(of("node", "root"), "node", "left").join(of("pivot", "main"), "pivot", "left")
+    placed = scratch.checkpoint(placed.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("main", "pivot").alias("main")))
+    apart = placed.filter("root <> main")
+    some = placed.join(apart.select("key").distinct(), "key", "left_semi")
+    met = apart.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")), "key")
+    met = met.filter("root_a <> root_b").select(*_ordered("a", "b")).distinct()
+    sketch = lambda side: reps.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    return _alike(met.join(sketch("a"), "a").join(sketch("b"), "b"), rules)
 
 
 def classes(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
@@ -277,14 +261,15 @@ def classes(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id (one of its repeated rows) stays."""
-    found = scratch.checkpoint(classes(docs, rules))
-    drop = found.filter("not (doc_id <=> class_id)").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    drop = scratch.checkpoint(drop)
-    repeated = scratch.checkpoint(found.filter("doc_id <=> class_id and class_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    keyed = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    on = lambda other: keyed["__node"].eqNullSafe(other["__node"]) & keyed["__id"].eqNullSafe(other["__id"])
-    kept = keyed.join(_small(drop, rules), on(drop), "left_anti")
+    found = scratch.checkpoint(classes(docs, rules).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "class_id", "class_size"))
+    keys = ["__node", "__id"]
+    drop = found.filter("not (__id <=> class_id)").select(*keys).distinct()
+    repeated = found.filter("__id <=> class_id and class_size > 1").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = scratch.checkpoint(drop.union(repeated))
+    staged = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = keyed.without(staged, "__node", gone, keys)
     if not repeated.isEmpty():
-        twice = kept.join(repeated, kept["__node"].eqNullSafe(repeated["__node"]) & kept["__id"].eqNullSafe(repeated["__id"]), "left_semi").dropDuplicates(["__node", "__id"])
-        kept = kept.join(repeated, kept["__node"].eqNullSafe(repeated["__node"]) & kept["__id"].eqNullSafe(repeated["__id"]), "left_anti").unionByName(twice)
+        back = scratch.checkpoint(repeated).alias("back")
+        same = staged["__node"].eqNullSafe(back["__node"]) & staged["__id"].eqNullSafe(back["__id"])
+        kept = kept.unionByName(staged.join(back, same, "left_semi").dropDuplicates(keys))
     return kept.select(*docs.columns)

@@ -38,7 +38,7 @@ class Rule:
 
 # The rules of the registered query.
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 20_000
 _PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 _SCRIPT = r"""(?i)\blocation(?:\.href)?\s*=\s*["']([^"']+)["']|\blocation\.(?:replace|assign)\(\s*["']([^"']+)["']"""
