@@ -1,11 +1,565 @@
-"""All registered queries of the document engine, with the SQL that must give the same rows."""
+"""All registered queries of the document engine, with the SQL that must give the same rows.
+
+The driver's tables hold no procurement documents, so texts are rendered from their columns inside the queries: what an
+operator reads back must equal the columns that the SQL takes directly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lontar.functions import dates, identifiers, numbers, text
+from lontar.operators import classify, evaluation, evidence, layout, mapping, pages, tables, validation
+from lontar.sources import readers
+from lontar.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "validation_report"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def put(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def grouped(number: Column) -> Column:
+    """A whole number with dots between its thousands."""
+    return F.translate(F.format_number(number.cast("decimal(20,0)"), 0), ",", ".")
+
+
+# Business rules
+
+
+def _order_headers(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    none = F.lit(None)
+    return o.select("o_orderkey", none.cast("double").alias("subtotal"), none.cast("double").alias("vat"), F.col("o_totalprice").alias("total"), none.cast("string").alias("rate_text"), none.cast("string").alias("words_text"))
+
+
+def _order_items(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("line_total"))
+
+
+@query(
+    """
+    with s as (select l_orderkey k, sum(l_extendedprice) s from lineitem group by 1),
+    i as (select o_orderkey, s, o_totalprice t from orders join s on k = o_orderkey
+      where o_totalprice <> 0 and s <> 0 and not (abs(s - o_totalprice) <= 1000 or abs(s * 1.1 - o_totalprice) <= 1000 or abs(s * 1.11 - o_totalprice) <= 1000 or abs(s * 1.12 - o_totalprice) <= 1000))
+    select o.o_orderkey, 0::bigint errors, (case when i.o_orderkey is null then 0 else 1 end)::bigint issues, case when i.o_orderkey is null then 'pass' else 'warn' end status
+    from orders o left join i using (o_orderkey)"""
+)
+def validation_report(spark: SparkSession, d: str) -> DataFrame:
+    headers, items = _order_headers(spark, d), _order_items(spark, d)
+    return validation.report(headers, validation.sum_issues(headers, items, "o_orderkey"), "o_orderkey")
+
+
+@query(
+    """select l_orderkey, l_linenumber, 'item_line_total' rule, 'warning' severity, round(l_quantity * p_retailprice, 2) expected, l_extendedprice actual
+    from lineitem join part on p_partkey = l_partkey where l_quantity <> 0 and p_retailprice <> 0 and abs(l_extendedprice - l_quantity * p_retailprice) > 1000"""
+)
+def item_line_total(spark: SparkSession, d: str) -> DataFrame:
+    li, p = _t(spark, d, "lineitem"), _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("unit_price"))
+    items = li.join(p, "l_partkey").select(F.struct("l_orderkey", "l_linenumber").alias("k"), F.col("l_quantity").alias("quantity"), "unit_price", F.lit(None).cast("double").alias("period_factor"), F.col("l_extendedprice").alias("line_total"))
+    return validation.line_issues(items, "k").select("k.l_orderkey", "k.l_linenumber", "rule", "severity", "expected", "actual")
+
+
+@query(
+    """with h as (select o_orderkey, o_totalprice s, case when o_orderkey % 3 = 0 then o_totalprice * 0.11 when o_orderkey % 3 = 1 then o_totalprice * 0.05 end v,
+      case when o_orderkey % 5 = 0 then o_totalprice * 0.5 when o_orderkey % 3 = 0 then o_totalprice * 1.11 else o_totalprice end t from orders)
+    select o_orderkey, 'total_equals_subtotal_plus_vat' rule, 'error' severity, s + coalesce(v, 0) expected, t actual from h where s <> 0 and t <> 0 and abs(s + coalesce(v, 0) - t) > 1000
+    union all select o_orderkey, 'total_not_below_subtotal', 'error', s, t from h where s <> 0 and t <> 0 and t < s
+    union all select o_orderkey, 'vat_matches_rate', 'warning', round(s * 0.11, 2), v from h where s <> 0 and v <> 0 and abs(v - s * 0.11) > 1000 and abs(v - s * 0.11 * 11 / 12) > 1000"""
+)
+def total_rules(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    h = _t(spark, d, "orders").select(
+        "o_orderkey", p.alias("subtotal"), F.when(k % 3 == 0, p * 0.11).when(k % 3 == 1, p * 0.05).alias("vat"), F.when(k % 5 == 0, p * 0.5).when(k % 3 == 0, p * 1.11).otherwise(p).alias("total"), F.lit("PPN 11%").alias("rate_text")
+    )
+    return validation.total_issues(h, "o_orderkey")
+
+
+@query("select o_orderkey, 'words_match_amount' rule, 'error' severity, (o_custkey * 1000)::double expected, (o_custkey * 1000 + 5000)::double actual from orders where o_orderkey % 4 = 0")
+def words_rule(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_custkey") * 1000
+    h = _t(spark, d, "orders").select("o_orderkey", F.lit(None).cast("double").alias("subtotal"), n.cast("double").alias("total"), F.concat(numbers.spell(F.when(F.col("o_orderkey") % 4 == 0, n + 5000).otherwise(n)), F.lit(" rupiah")).alias("words_text"))
+    return validation.words_issues(h, "o_orderkey")
+
+
+@query(
+    """select c_custkey, 'required_fields:' || f rule, 'warning' severity, null::double expected, null::double actual from (
+    select c_custkey, 'segment' f from customer where c_mktsegment = 'BUILDING' union all select c_custkey, 'name' f from customer where c_custkey % 10 = 0)"""
+)
+def required_rule(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 10 == 0, " ").otherwise(F.col("c_name")).alias("name"))
+    return validation.required_issues(c, "c_custkey", ["segment", "name"])
+
+
+@query(
+    """select l_orderkey, l_linenumber, 'shipped_after_ordered' rule, 'error' severity, (l_shipdate::date - date '1970-01-01')::double actual, (o_orderdate::date - date '1970-01-01')::double expected
+    from lineitem join orders on o_orderkey = l_orderkey where l_shipdate::date < o_orderdate::date"""
+)
+def date_order_rule(spark: SparkSession, d: str) -> DataFrame:
+    li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
+    h = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.struct("l_orderkey", "l_linenumber").alias("k"), F.col("o_orderdate").cast("date").alias("ordered"), F.col("l_shipdate").cast("date").alias("shipped"))
+    return validation.date_order_issues(h, "k", "ordered", "shipped").select("k.l_orderkey", "k.l_linenumber", "rule", "severity", "expected", "actual")
+
+
+# Numbers, words, dates, identifiers
+
+
+@query("select o_orderkey, round(o_totalprice)::double full_form, round(o_totalprice)::double plain, round(o_totalprice)::double dashed, round(o_totalprice)::double english, null::double glued, -round(o_totalprice)::double negative from orders where o_totalprice > 1000")
+def number_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    n = F.round("o_totalprice")
+    g = grouped(n)
+    forms = {"full_form": F.concat(F.lit("Rp. "), g, F.lit(",00")), "plain": g, "dashed": F.concat(F.lit("IDR "), g, F.lit(",-")), "english": F.concat(F.translate(g, ".", ","), F.lit(".00")), "glued": F.concat(g, F.lit("50.000.000")), "negative": F.concat(F.lit("-"), g)}
+    return _t(spark, d, "orders").filter("o_totalprice > 1000").select("o_orderkey", *[numbers.parse_number(x).alias(k) for k, x in forms.items()])
+
+
+_NUMBERS = (("Rp. 166.500.000,-", 166500000.0), ("166.500.000,00", 166500000.0), ("1,5", 1.5), ("12.500", 12500.0), ("1,234,567.89", 1234567.89), ("150000000.0", 150000000.0), ("3.200.000.00", 3200000.0), ("7.350 000,00", 7350000.0), ("abc", None), ("", None), ("5.000.00050.000.000", None), ("-1.000", -1000.0))
+
+
+@query("select * from (values " + ", ".join(f"('{a}', {'null::double' if b is None else repr(b)}::double)" for a, b in _NUMBERS) + ") t(raw, value)")
+def number_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array(*[F.lit(a) for a, _ in _NUMBERS])
+    return spark.range(1).select(F.explode(rows).alias("raw")).select("raw", numbers.parse_number(F.col("raw")).alias("value"))
+
+
+@query("select o_orderkey, (o_orderkey * 104729 + o_custkey)::bigint n from orders")
+def spelled_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select("o_orderkey", numbers.spelled_amount(F.concat(numbers.spell(F.col("o_orderkey") * 104729 + F.col("o_custkey")), F.lit(" rupiah"))).alias("n"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then [(o_custkey * 1000)::double] else []::double[] end amounts from orders")
+def confirmed_amounts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_custkey") * 1000
+    words = numbers.spell(F.when(F.col("o_orderkey") % 2 == 0, n).otherwise(n + 7))
+    t = F.concat(F.lit("Nilai Rp "), grouped(n), F.lit(",- ("), words, F.lit(" Rupiah) termasuk pajak"))
+    return _t(spark, d, "orders").select("o_orderkey", numbers.confirmed_amounts(t).alias("amounts"))
+
+
+@query("select o_orderkey, 'NPWP 01.234.567.8-901.000 senilai Rp ' || (round(o_totalprice)::bigint + 1000000) || ' lunas' as text from orders")
+def money_in_text(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit("NPWP 01.234.567.8-901.000 senilai Rp "), grouped(F.round("o_totalprice") + 1000000), F.lit(",- lunas"))
+    return _t(spark, d, "orders").select("o_orderkey", numbers.normalize_money(t).alias("text"))
+
+
+@query("select o_orderkey, o_orderdate::date written, o_orderdate::date iso, o_orderdate::date numeric, null::date bad, 2::bigint found from orders")
+def date_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    iso, dmy = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy")
+    return _t(spark, d, "orders").select(
+        "o_orderkey",
+        dates.parse_date(F.concat(F.lit("Jakarta, "), dates.write_date(day))).alias("written"),
+        dates.parse_date(F.concat(F.lit("per "), iso)).alias("iso"),
+        dates.parse_date_by_priority(F.concat(dmy, F.lit(" s/d"))).alias("numeric"),
+        dates.parse_date(F.lit("31 Februari 2026 dan 2026-13-01")).alias("bad"),
+        F.size(dates.find_dates(F.concat(dmy, F.lit(" sampai "), iso))).cast("long").alias("found"),
+    )
+
+
+@query("select o_orderkey, 'K.TEL.' || o_orderkey || '/HK.810/T1R-0D/' || o_custkey number, true as is_number, 'Nomor ' || o_orderkey || ' tahun 2026' kept, true as same, o_orderkey % 2 = 0 as other from orders")
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    raw = F.concat(F.lit("K. TEL."), k, F.lit("/HK .810/T1R- 0D/"), c)
+    clean = identifiers.normalize_document_number(raw)
+    other = F.when(F.col("o_orderkey") % 2 == 0, F.translate(clean, "01", "OI")).otherwise(F.concat(clean, F.lit("7")))
+    return _t(spark, d, "orders").select("o_orderkey", clean.alias("number"), identifiers.is_document_number(raw).alias("is_number"), identifiers.normalize_document_number(F.concat(F.lit("Nomor "), k, F.lit(" tahun 2026"))).alias("kept"), identifiers.same_identifier(raw, clean).alias("same"), identifiers.same_identifier(other, clean, True).alias("other"))
+
+
+@query(
+    """with w as (select s_suppkey, list_distinct(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '')) ws from supplier)
+    select a.s_suppkey, b.s_suppkey other, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.5 as same from w a join w b on b.s_suppkey = a.s_suppkey + 1"""
+)
+def company_names(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_name")
+    o = s.select(F.col("s_suppkey").alias("other"), F.col("s_name").alias("other_name"))
+    return s.join(o, F.col("other") == F.col("s_suppkey") + 1).select("s_suppkey", "other", identifiers.same_company(F.concat(F.lit("PT "), F.col("s_name"), F.lit(" Tbk")), F.col("other_name")).alias("same"))
+
+
+# Text
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\bji\.', 'jl.', 'g'), '[^\p{L}\p{N}_/%]+', ' ', 'g'))) as canon from documents")
+def canonical_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.canon(F.col("text"))).alias("canon"))
+
+
+@query(
+    r"""with w as (select doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_/%]+', ' ', 'g')), ' '), x -> x <> '')) ws from documents),
+    p as (select a.doc_id, len(list_intersect(a.ws, b.ws))::double c, len(a.ws) x, len(b.ws) y, a.ws aw, b.ws bw from w a join w b on b.doc_id = a.doc_id + 1)
+    select doc_id, round(case when c = 0 then 0 else 2 * (c / x) * (c / y) / (c / x + c / y) end, 9) f1 from p"""
+)
+def token_overlap(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "documents").select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", F.round(text.token_f1(F.col("text"), F.col("other")), 9).alias("f1"))
+
+
+@query(
+    """with t as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), x -> x <> '' and not regexp_matches(x, '[.\\d]')) ws from documents),
+    u as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from t), f as (select *, regexp_matches(w, '^[a-z]{1,2}$') s from u),
+    g as (select doc_id, s, i - row_number() over (partition by doc_id, s order by i) r from f), n as (select doc_id, count(*) n from g where s group by doc_id, r)
+    select d.doc_id, coalesce(max(n), 0)::int run, coalesce(max(n), 0) >= 5 as corrupted from documents d left join n using (doc_id) group by 1"""
+)
+def corruption(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", text.longest_short_run(F.col("text")).alias("run"), text.is_corrupted(F.col("text")).alias("corrupted"))
+
+
+@query()
+def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", text.clean_ocr(F.col("text")).alias("text"))
+
+
+@query(
+    """select o_orderkey, case o_orderkey % 4 when 0 then 'contract' when 1 then 'sph' when 2 then 'bast' else 'contract' end doc_type,
+    (case o_orderkey % 4 when 0 then 0.98 when 1 then 0.98 when 2 then 0.98 else 0.7 end)::double confidence from orders"""
+)
+def document_types(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    title = F.when(k == 0, "Surat Perintah Kerja nomor ").when(k == 1, "SURAT PENAWARAN HARGA ").when(k == 2, "Berita acara serah terima ").otherwise("Catatan ")
+    c = classify.classify(F.concat(title, F.col("o_orderkey").cast("string")))
+    return _t(spark, d, "orders").select("o_orderkey", c["doc_type"].alias("doc_type"), c["confidence"].cast("double").alias("confidence"))
+
+
+# Pages
+
+
+@query(
+    """with p as (select conv_id, turn + 1 page, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}')) w from conversations union all
+      select conv_id, turn + 1 + (select max(turn) + 1 from conversations c where c.conv_id = o.conv_id), list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}')) from conversations o where conv_id % 2 = 0),
+    n as (select conv_id, max(page) pages from p group by 1),
+    k as (select a.conv_id, b.page, b.page - a.page k, len(b.w) > 0 and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6 ok from p a join p b on a.conv_id = b.conv_id and b.page > a.page),
+    t as (select k.conv_id, k, bool_and(ok) ok from k join n on n.conv_id = k.conv_id where page > k and pages - k >= 2 and pages - k <= k group by 1, 2)
+    select conv_id, min(k)::int kept from t where ok group by 1"""
+)
+def duplicate_pages(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    n = c.groupBy("conv_id").agg(F.max("page").alias("pages"))
+    copy = c.filter("conv_id % 2 = 0").join(n, "conv_id").select("conv_id", (F.col("page") + F.col("pages")).alias("page"), "text")
+    return pages.duplicate_tail(c.unionByName(copy), "conv_id")
+
+
+_LOST = """with s as (select source, w, count(*) n from (select source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}')) w from documents) group by 1, 2),
+    r as (select source, w, count(*) n from (select source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}')) w from documents where doc_id % 7 <> 0) group by 1, 2),
+    l as (select s.source, s.w, s.n have, greatest(s.n - coalesce(r.n, 0), 0) lost from s left join r on r.source = s.source and r.w = s.w)"""
+
+
+@query(_LOST + " select source, sum(have)::bigint words, sum(lost)::bigint missing, 1 - sum(lost)::double / sum(have)::double coverage from l group by 1")
+def text_coverage(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return pages.coverage(docs, docs.filter("doc_id % 7 <> 0"), ["source"])
+
+
+@query(_LOST + ", k as (select source, w word, lost::bigint lost, row_number() over (partition by source order by lost desc, w) rank from l where lost > 0) select source, word, lost, rank::int rank from k where rank <= 10")
+def lost_words(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return pages.missing_words(docs, docs.filter("doc_id % 7 <> 0"), ["source"])
+
+
+@query(
+    """with s as (select conv_id, turn, sum((role = 'user')::int) over (partition by conv_id order by turn) section from conversations)
+    select conv_id, section::bigint section, min(turn) begins, max(turn) ends, count(*) lines from s where section > 0 group by 1, 2"""
+)
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    return pages.sections(_t(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user")
+
+
+# Tables and items
+
+
+def _order_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A Markdown document for each order: a priced table of its lines, with a category row and a summary row."""
+    li = _t(spark, d, "lineitem")
+    line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | Barang "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" | Unit | Rp "), grouped(F.col("l_suppkey") * 1000), F.lit(" | "), grouped(F.floor("l_extendedprice")), F.lit(",00 |"))
+    lines = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))), lambda x: x["line"]).alias("l"))
+    head = "# Rincian\n\n| No | Uraian Pekerjaan | Volume | Satuan | Harga Satuan | Jumlah Harga |\n|---|---|---:|:---|---|---|\n|  | A. Perangkat |  |  |  |  |\n"
+    return lines.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(head), F.array_join("l", "\n"), F.lit("\n|  | Total |  |  |  | 999.999.999 |\n\nPenutup.")).alias("text"))
+
+
+@query(
+    """select l_orderkey doc_id, 1 as "table", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey)::int line_no, l_linenumber::varchar item_no, 'A. Perangkat' category, 'Barang ' || l_partkey description,
+    l_quantity::int::double quantity, 'Unit' unit, null::varchar period, (l_suppkey * 1000)::double unit_price, floor(l_extendedprice)::double line_total from lineitem"""
+)
+def markdown_items(spark: SparkSession, d: str) -> DataFrame:
+    return tables.items(_order_documents(spark, d))
+
+
+@query("select l_orderkey doc_id, 1 as \"table\", 6::int columns, (count(*) + 2)::int rows from lineitem group by 1")
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    return tables.markdown_tables(_order_documents(spark, d)).select("doc_id", "table", F.size("headers").alias("columns"), F.size("rows").alias("rows"))
+
+
+@query(
+    """with i as (select l_orderkey k, ((l_linenumber + 1) // 2)::varchar item_no, l_linenumber n, l_partkey p, l_extendedprice t from lineitem where l_linenumber <= 6),
+    d as (select *, row_number() over (partition by k, item_no, n) c from i)
+    select k doc_id, item_no, min(n)::int line_no, string_agg(distinct_p, '; ' order by n) description, 5.0::double unit_price, first(t order by n) line_total
+    from (select *, p::varchar distinct_p from d where c = 1 and (n % 2 = 1 or p not in (select p from d e where e.k = d.k and e.item_no = d.item_no and e.n = d.n - 1))) group by 1, 2"""
+)
+def merged_rows(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").filter("l_linenumber <= 6").dropDuplicates(["l_orderkey", "l_linenumber"])
+    found = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.floor((F.col("l_linenumber") + 1) / 2).cast("string").alias("item_no"), F.col("l_partkey").cast("string").alias("description"), F.lit(5.0).alias("unit_price"), F.col("l_extendedprice").alias("line_total"))
+    return tables.merge_split_rows(found)
+
+
+@query("select p_partkey, [['Nama', 'Harga', ''], [p_name, p_brand || ' ' || p_size, 'x']] as rows from part")
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit("<p>x</p><table><tr><th>Nama</th><th colspan=2>Harga</th></tr><tr><td></td><td> </td></tr><tr><td><b>"), F.col("p_name"), F.lit("</b></td><td>"), F.col("p_brand"), F.lit("<br/>"), F.col("p_size").cast("string"), F.lit("</td><td>x</td></tr></table>"))
+    return _t(spark, d, "part").select("p_partkey", tables.html_rows(html).alias("rows"))
+
+
+# Mapping
+
+
+def _customers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return c.filter("c_custkey % 3 <> 0"), c.filter("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then upper(c_name) else c_name end c_name, c_nationkey from customer where c_custkey % 3 <> 0 or c_custkey % 2 = 0")
+def upserted(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.upsert(*_customers(spark, d), ["c_custkey"])
+
+
+@query("select c_custkey, case when c_custkey % 3 <> 0 then 'update' else 'insert' end as action from customer where c_custkey % 2 = 0")
+def upsert_plan(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.plan_upsert(*_customers(spark, d), ["c_custkey"])
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey % 2 = 0 and l_linenumber > 3")
+def stale_rows(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    new = li.filter("l_orderkey % 2 = 0 and l_linenumber <= 3").unionByName(li.filter("l_orderkey % 2 = 0").select("l_orderkey", F.lit(0).cast("int").alias("l_linenumber")))
+    return mapping.stale(li, new, ["l_orderkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("select s_suppkey, s_nationkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 1)")
+def orphan_rows(spark: SparkSession, d: str) -> DataFrame:
+    n = _t(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    return mapping.orphans(_t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), n, ["s_nationkey"])
+
+
+@query(
+    """with f as (select o_orderkey, o_orderstatus v from orders), r as (select o_orderkey, l_linenumber n, case l_linenumber % 3 when 0 then 'benar' when 1 then 'dikoreksi' else 'salah' end dec, 'fix' || l_linenumber fin,
+      case when l_linenumber = 4 then 'old' else l_linestatus end seen from lineitem join orders on o_orderkey = l_orderkey),
+    j as (select r.*, v from r join f using (o_orderkey) where dec in ('benar', 'dikoreksi') and seen is not distinct from v),
+    x as (select *, row_number() over (partition by o_orderkey order by n desc) k from j)
+    select o_orderkey, case when dec = 'dikoreksi' then fin else v end as value, dec decision from x where k = 1"""
+)
+def verified_values(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("value"))
+    n = F.col("l_linenumber")
+    r = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), n.alias("ordinal"), F.when(n % 3 == 0, "benar").when(n % 3 == 1, "dikoreksi").otherwise("salah").alias("decision"), F.concat(F.lit("fix"), n.cast("string")).alias("final_value"), F.when(n == 4, "old").otherwise(F.col("l_linestatus")).alias("seen_value"))
+    return mapping.verified(o, r, ["o_orderkey"])
+
+
+@query(
+    """select l_orderkey, count(*) fields, count(*) filter (l_returnflag = 'R') decided, round(100.0 * count(*) filter (l_returnflag = 'R') / count(*), 1)::double progress
+    from (select distinct l_orderkey, l_linenumber, max(l_returnflag) over (partition by l_orderkey, l_linenumber) l_returnflag from lineitem) group by 1"""
+)
+def review_progress(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
+    return mapping.review_progress(li, li.select("l_orderkey", "l_linenumber", F.when(F.col("flag") == "R", "benar").alias("decision")), "l_orderkey", "l_linenumber")
+
+
+@query(
+    """select l_orderkey, l_linenumber, case when round(l_quantity * p_retailprice) = round(l_extendedprice) then 'cocok' else 'cek hitungan' end as state from lineitem join part on p_partkey = l_partkey"""
+)
+def arithmetic_view(spark: SparkSession, d: str) -> DataFrame:
+    li, p = _t(spark, d, "lineitem"), _t(spark, d, "part")
+    return li.join(p, li["l_partkey"] == p["p_partkey"]).select("l_orderkey", "l_linenumber", mapping.arithmetic_check(F.col("l_quantity"), F.col("p_retailprice"), F.lit(None).cast("double"), F.col("l_extendedprice")).alias("state"))
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 3 when 'P' then 5 else 6 end as risk from orders")
+def risk_view(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return _t(spark, d, "orders").select("o_orderkey", mapping.risk_order(F.when(s == "F", "bertentangan").when(s == "O", "perlu_dicek").when(s == "P", "bukti_kuat").otherwise("baru")).alias("risk"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'pelaksana' else 'pemberi' end first_role, case when c_custkey % 3 = 0 then 'pemberi' else 'pelaksana' end second_role, c_custkey % 3 = 2 as uncertain from customer")
+def party_roles(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    p = _t(spark, d, "customer").select("c_custkey", F.when(k == 0, "PT Kita Jaya").otherwise(F.col("c_name")).alias("first_name"), F.when(k == 1, "PT Kita Jaya").otherwise(F.lit("CV Lain")).alias("second_name"))
+    return mapping.company_roles(p, "c_custkey", r"(?i)\bkita\b")
+
+
+@query("select n_nationkey, case when n_nationkey % 4 = 0 then 'missing' when n_nationkey % 4 = 1 then 'unexpected' else 'different' end as state from nation where n_nationkey % 4 in (0, 1) or n_nationkey % 4 = 2")
+def schema_differences(spark: SparkSession, d: str) -> DataFrame:
+    n = _t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("kind"))
+    return mapping.compare_schemas(n.filter("n_nationkey % 4 <> 1"), n.filter("n_nationkey % 4 <> 0").withColumn("kind", F.when(F.col("n_nationkey") % 4 == 2, "x").otherwise(F.col("kind"))), ["n_nationkey"], "kind")
+
+
+# Evidence and evaluation
+
+_GOLD = "select o_orderkey, o_orderkey % 6 m, o_totalprice, o_orderdate::date dt, o_orderpriority pr from orders"
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").withColumn("m", F.col("o_orderkey") % 6)
+    day, m = F.to_date("o_orderdate"), F.col("m")
+    golden = o.select("o_orderkey", F.when(m == 0, F.date_format(day, "yyyy-MM-dd")).when(m == 1, F.lit("dua ratus ribu rupiah")).when(m == 2, F.lit("PT. Maju Jaya, Jakarta")).when(m == 3, None).when(m == 4, F.lit("alpha beta")).otherwise(F.lit("nilai")).alias("expected"), (m < 3).alias("critical"))
+    predicted = o.select("o_orderkey", F.when(m == 0, dates.write_date(day)).when(m == 1, F.lit("Dua Ratus Satu Ribu")).when(m == 2, F.lit("pt maju jaya jakarta")).when(m == 3, F.lit("x")).when(m == 4, F.lit("alpha beta gamma")).alias("predicted"), F.when(F.col("o_orderkey") % 2 == 1, "AUTO_VERIFIED").otherwise("UNSUPPORTED").alias("status"))
+    return evaluation.evaluate(golden, predicted, ["o_orderkey"])
+
+
+_VERDICT = "case m when 0 then 'exact' when 1 then 'wrong' when 2 then 'exact' when 3 then 'spurious' when 4 then 'lenient' else 'missing' end"
+
+
+@query(
+    f"""select o_orderkey, case m when 0 then strftime(dt, '%Y-%m-%d') when 1 then 'dua ratus ribu rupiah' when 2 then 'PT. Maju Jaya, Jakarta' when 4 then 'alpha beta' when 5 then 'nilai' end as expected, m < 3 as critical, {_VERDICT} as verdict,
+    case m when 0 then 'date' when 1 then 'terbilang' when 2 then 'canon' when 3 then 'null' when 4 then 'token_f1' else '-' end as method, m in (1, 3) and o_orderkey % 2 = 1 as false_acceptance from ({_GOLD})"""
+)
+def field_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).drop("predicted")
+
+
+@query(
+    f"""with v as (select o_orderkey // 10 as doc, {_VERDICT} v, m < 3 crit, m in (1, 3) and o_orderkey % 2 = 1 fa from ({_GOLD})),
+    p as (select doc, avg((v in ('exact', 'lenient', 'correct_null'))::int) a, avg((v in ('exact', 'lenient', 'correct_null'))::int) filter (crit) c, count(*) filter (fa) f from v group by 1)
+    select count(*) documents, round(avg(a), 9) accuracy, round(avg(c), 9) critical_accuracy, sum(f)::bigint false_acceptances from p"""
+)
+def accuracy_summary(spark: SparkSession, d: str) -> DataFrame:
+    per = evaluation.accuracy(_evaluated(spark, d).withColumn("doc", F.floor(F.col("o_orderkey") / 10)), "doc")
+    return evaluation.summarize(per).withColumns({c: F.round(c, 9) for c in ("accuracy", "critical_accuracy")})
+
+
+@query(
+    """select doc_id, case when quality = 1 then 'exact' else 'wrong' end old_verdict, case when doc_id % 2 = 0 then 'exact' else 'wrong' end new_verdict,
+    case when toxic = 1 and doc_id % 2 = 1 then 'new_false_acceptance' when quality = 1 and doc_id % 2 = 1 then 'regression' when quality = 0 and doc_id % 2 = 0 then 'improvement' else 'same' end change from labels"""
+)
+def run_differences(spark: SparkSession, d: str) -> DataFrame:
+    lab = _t(spark, d, "labels")
+    old = lab.select("doc_id", F.when(F.col("quality") == 1, "exact").otherwise("wrong").alias("verdict"), F.lit(False).alias("false_acceptance"))
+    new = lab.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("wrong").alias("verdict"), ((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 1)).alias("false_acceptance"))
+    return evaluation.compare_runs(old, new, ["doc_id"])
+
+
+@query()
+def evidence_located(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ordinal"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"), "text", F.lit(0.95).alias("confidence"))
+    values = c.filter("ordinal < 3").select("conv_id", F.concat(F.lit("f"), F.col("ordinal").cast("string")).alias("field"), F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("value")).filter("length(value) > 8")
+    return evidence.located(evidence.scored(evidence.candidates(values, c, "conv_id")), "conv_id")
+
+
+@query(
+    """with e as (select l_orderkey, case when l_returnflag = 'N' then null else l_discount * 10 end s, l_linenumber = 7 missing, l_quantity > 45 err, l_quantity < 5 warn from lineitem),
+    t as (select *, case when missing then 'MISSING' when err then 'CONFLICT' when s is null or s < 0.65 then 'UNSUPPORTED' when warn then 'REVIEW_REQUIRED' when s >= 0.9 then 'AUTO_VERIFIED' when s >= 0.8 then 'AUTO_ACCEPTED' else 'REVIEW_REQUIRED' end st from e)
+    select l_orderkey, count(*) fields, count(*) filter (st <> 'MISSING') filled, count(*) filter (s >= 0.65) grounded, round(count(*) filter (st <> 'MISSING') / count(*), 3)::double fill_rate,
+    round(count(*) filter (s >= 0.65) / greatest(count(*) filter (st <> 'MISSING'), 1), 3)::double grounding_rate, count(*) filter (st = 'AUTO_VERIFIED') auto_verified, count(*) filter (st = 'AUTO_ACCEPTED') auto_accepted,
+    count(*) filter (st = 'REVIEW_REQUIRED') review_required, count(*) filter (st = 'UNSUPPORTED') unsupported, count(*) filter (st = 'CONFLICT') as conflict, count(*) filter (st = 'MISSING') missing from t group by 1"""
+)
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    score = F.when(F.col("l_returnflag") != "N", F.col("l_discount") * 10)
+    e = _t(spark, d, "lineitem").select("l_orderkey", score.alias("evidence_score"), evidence.status(F.when(F.col("l_linenumber") != 7, F.lit("x")), score, F.lit("phrase"), F.col("l_quantity") > 45, F.col("l_quantity") < 5).alias("status"))
+    return evidence.quality_report(e, "l_orderkey")
+
+
+@query("""select conv_id, turn, 2 as blocks, text || ' ' || nxt as text from (select *, lead(text) over (partition by conv_id order by turn) nxt from conversations) where nxt is not null""")
+def block_windows(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select("conv_id", F.lit(1).alias("page"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("block_id"), "text")
+    return evidence.block_windows(c, "conv_id", (2,)).select("conv_id", F.col("ordinal").alias("turn"), "blocks", "text")
+
+
+# Layout
+
+
+@query(
+    """with b as (select l_orderkey, l_linenumber n, ((l_linenumber - 1) // 3) r, ((l_linenumber - 1) % 3) * 0.3 x0, case when l_quantity > 25 then 0.25 else 0.1 end w, l_returnflag t from (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)),
+    g as (select *, case when x0 - lag(x0 + w) over (partition by l_orderkey, r order by x0) > 0.15 then 1 else 0 end f from b), s as (select *, sum(f) over (partition by l_orderkey, r order by x0) k from g)
+    select l_orderkey, string_agg(n::varchar, ' ' order by x0) as text, count(*) boxes from s group by l_orderkey, r, k"""
+)
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    n, first = F.col("l_linenumber"), F.min(F.struct("l_partkey", "l_suppkey", "l_quantity"))
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first.alias("f"))
+    x0, y0 = ((n - 1) % 3) * 0.3, F.floor((n - 1) / 3) * 0.1
+    boxes = li.select("l_orderkey", n.cast("string").alias("text"), x0.alias("x0"), (x0 + F.when(F.col("f.l_quantity") > 25, 0.25).otherwise(0.1)).alias("x1"), y0.alias("y0"), (y0 + 0.01).alias("y1"), F.lit(0.9).alias("confidence"))
+    return layout.text_lines(boxes, ["l_orderkey"]).select("l_orderkey", "text", F.size(F.split("text", " ")).cast("long").alias("boxes"))
+
+
+@query(
+    """with c as (select *, role is distinct from lag(role) over (partition by conv_id order by turn) f from conversations), g as (select *, sum(f::int) over (partition by conv_id order by turn) k from c)
+    select conv_id, min(turn) ordinal, count(*) members, string_agg(text, chr(10) order by turn) as text from g group by conv_id, k"""
+)
+def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.when(F.col("role") == "user", "paragraph").when(F.col("role") == "assistant", "list").otherwise("key_value").alias("type"), "text", *[F.lit(0.0).alias(k) for k in ("x0", "y0", "x1", "y1")], F.lit(1.0).alias("confidence"))
+    return layout.merge_adjacent(c, ["conv_id"]).select("conv_id", "ordinal", "members", "text")
+
+
+@query("select o_orderkey, 'Nomor' as label, o_orderkey::varchar as value from orders where o_orderkey % 50 = 0 union all select o_orderkey, 'Tanggal', 'hari ' || o_custkey from orders where o_orderkey % 50 = 0")
+def label_values(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), t.alias("text"), F.lit(a).alias("x0"), F.lit(a + 0.2).alias("x1"), F.lit(y).alias("y0"), F.lit(y + 0.02).alias("y1")) for i, (t, a, y) in enumerate(((F.lit("Nomor:"), 0.1, 0.1), (F.lit("Tanggal :"), 0.1, 0.15), (F.concat(F.lit("hari "), F.col("o_custkey").cast("string")), 0.4, 0.151), (F.col("o_orderkey").cast("string"), 0.4, 0.101)))])
+    return layout.label_pairs(o.select("o_orderkey", F.explode(rows).alias("b")).select("o_orderkey", "b.*"), ["o_orderkey"]).withColumn("label", F.trim("label"))
+
+
+@query("select l_orderkey, l_linenumber, greatest(0, least(1, round(l_discount * 5, 5))) x0, greatest(0, least(1, round(l_tax * 20, 5))) y1 from lineitem")
+def normalized_boxes(spark: SparkSession, d: str) -> DataFrame:
+    b = layout.normalize_box(F.col("l_discount") * 500, F.lit(0.0), F.lit(1000.0), F.col("l_tax") * 2000, F.lit(100.0), F.lit(100.0))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", b["x0"].alias("x0"), b["y1"].alias("y1"))
+
+
+# Sources
+
+
+@query(
+    """select o_orderkey, 'header.status' as path, o_orderstatus as value_text from orders where o_orderkey % 20 = 0 union all select o_orderkey, 'header.customer', o_custkey::varchar from orders where o_orderkey % 20 = 0
+    union all select o_orderkey, 'tags[0].name', o_orderpriority from orders where o_orderkey % 20 = 0 union all select o_orderkey, 'tags[1].name', 'x' from orders where o_orderkey % 20 = 0"""
+)
+def nested_leaves(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").filter("o_orderkey % 20 = 0")
+    nested = o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).alias("header"), F.array(F.struct(F.col("o_orderpriority").alias("name")), F.struct(F.lit("x").alias("name"))).alias("tags"))
+    return readers.leaves(nested, "o_orderkey")
+
+
+@query("select doc_id, 'doc-' || substr(sha256(text), 1, 16) document_id from documents where text is not null")
+def content_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", readers.document_id(F.col("text")).alias("document_id"))
+
+
+# Jobs
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    return _t(spark, d, "events").select(F.col("event_id").alias("job_id"), (F.col("user_id") % 16).alias("worker"), F.col("ts").alias("created_at"), F.when(k == 0, "queued").when(k == 1, "running").when(k == 2, "failed").otherwise("done").alias("status"))
+
+
+_JOBS = "(select event_id job_id, user_id % 16 worker, ts created_at, case event_id % 5 when 0 then 'queued' when 1 then 'running' when 2 then 'failed' else 'done' end status from events)"
+
+
+@query(f"select status, count(*) jobs from {_JOBS} group by 1")
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.state_counts(_jobs(spark, d))
+
+
+@query(f"select worker, job_id, row_number() over (partition by worker order by created_at, job_id)::int as position from {_JOBS} where status = 'queued'")
+def queue_positions(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.queue_positions(_jobs(spark, d), "worker")
+
+
+@query(
+    f"""with r as (select *, count(*) over (partition by worker) n, row_number() over (partition by worker order by case when status in ('done', 'failed') then 0 else 1 end, created_at, job_id) k from {_JOBS})
+    select job_id, worker, status from r where status not in ('done', 'failed') or k > n - 20"""
+)
+def evicted_history(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.evict(_jobs(spark, d), 20, "worker").select("job_id", "worker", "status")
+
+
+@query(f"with r as (select *, row_number() over (partition by worker order by created_at desc, job_id desc) n from {_JOBS}) select job_id, worker, status from r where n <= 5")
+def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.newest(_jobs(spark, d), 5, "worker").select("job_id", "worker", "status")
