@@ -94,7 +94,7 @@ def total_rules(spark: SparkSession, d: str) -> DataFrame:
     return validation.total_issues(h, "o_orderkey")
 
 
-@query("select o_orderkey, 'words_match_amount' rule, 'error' severity, (o_custkey * 1000)::double expected, (o_custkey * 1000 + 5000)::double actual from orders where o_orderkey % 4 = 0")
+@query("select o_orderkey, 'words_match_amount' rule, 'error' severity, (o_custkey * 1000)::double expected, (o_custkey * 1000 + 5000)::double actual from orders where o_orderkey % 4 = 0 and o_custkey > 0")
 def words_rule(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_custkey") * 1000
     h = _t(spark, d, "orders").select("o_orderkey", F.lit(None).cast("double").alias("subtotal"), n.cast("double").alias("total"), F.concat(numbers.spell(F.when(F.col("o_orderkey") % 4 == 0, n + 5000).otherwise(n)), F.lit(" rupiah")).alias("words_text"))
@@ -145,7 +145,7 @@ def spelled_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", numbers.spelled_amount(F.concat(numbers.spell(F.col("o_orderkey") * 104729 + F.col("o_custkey")), F.lit(" rupiah"))).alias("n"))
 
 
-@query("select o_orderkey, case when o_orderkey % 2 = 0 then [(o_custkey * 1000)::double] else []::double[] end amounts from orders")
+@query("select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey > 0 then [(o_custkey * 1000)::double] else []::double[] end amounts from orders")
 def confirmed_amounts(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_custkey") * 1000
     words = numbers.spell(F.when(F.col("o_orderkey") % 2 == 0, n).otherwise(n + 7))
@@ -183,7 +183,7 @@ def document_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with w as (select s_suppkey, list_distinct(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '')) ws from supplier)
+    """with w as (select s_suppkey, list_distinct(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) ws from supplier)
     select a.s_suppkey, b.s_suppkey other, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.5 as same from w a join w b on b.s_suppkey = a.s_suppkey + 1"""
 )
 def company_names(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""with w as (select doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_/%]+', ' ', 'g')), ' '), x -> x <> '')) ws from documents),
+    r"""with w as (select doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_/%]+', ' ', 'g')), ' '), lambda x: x <> '')) ws from documents),
     p as (select a.doc_id, len(list_intersect(a.ws, b.ws))::double c, len(a.ws) x, len(b.ws) y, a.ws aw, b.ws bw from w a join w b on b.doc_id = a.doc_id + 1)
     select doc_id, round(case when c = 0 then 0 else 2 * (c / x) * (c / y) / (c / x + c / y) end, 9) f1 from p"""
 )
@@ -212,7 +212,7 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with t as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), x -> x <> '' and not regexp_matches(x, '[.\\d]')) ws from documents),
+    """with t as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '' and not regexp_matches(x, '[.\\d]')) ws from documents),
     u as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from t), f as (select *, regexp_matches(w, '^[a-z]{1,2}$') s from u),
     g as (select doc_id, s, i - row_number() over (partition by doc_id, s order by i) r from f), n as (select doc_id, count(*) n from g where s group by doc_id, r)
     select d.doc_id, coalesce(max(n), 0)::int run, coalesce(max(n), 0) >= 5 as corrupted from documents d left join n using (doc_id) group by 1"""
@@ -293,7 +293,7 @@ def _order_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey doc_id, 1 as "table", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey)::int line_no, l_linenumber::varchar item_no, 'A. Perangkat' category, 'Barang ' || l_partkey description,
+    """select l_orderkey doc_id, 1 as "table", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity::int::varchar)::int line_no, l_linenumber::varchar item_no, 'A. Perangkat' category, 'Barang ' || l_partkey description,
     l_quantity::int::double quantity, 'Unit' unit, null::varchar period, (l_suppkey * 1000)::double unit_price, floor(l_extendedprice)::double line_total from lineitem"""
 )
 def markdown_items(spark: SparkSession, d: str) -> DataFrame:
@@ -306,14 +306,13 @@ def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with i as (select l_orderkey k, ((l_linenumber + 1) // 2)::varchar item_no, l_linenumber n, l_partkey p, l_extendedprice t from lineitem where l_linenumber <= 6),
-    d as (select *, row_number() over (partition by k, item_no, n) c from i)
-    select k doc_id, item_no, min(n)::int line_no, string_agg(distinct_p, '; ' order by n) description, 5.0::double unit_price, first(t order by n) line_total
-    from (select *, p::varchar distinct_p from d where c = 1 and (n % 2 = 1 or p not in (select p from d e where e.k = d.k and e.item_no = d.item_no and e.n = d.n - 1))) group by 1, 2"""
+    """with i as (select l_orderkey k, l_linenumber n, min(l_partkey) p, min(l_extendedprice) t from lineitem group by 1, 2),
+    j as (select *, (n + 1) // 2 g, lag(p) over (partition by k, (n + 1) // 2 order by n) before from i)
+    select k doc_id, g::varchar item_no, min(n)::int line_no, string_agg(p::varchar, '; ' order by n) filter (before is null or before <> p) description, 5.0::double unit_price, arg_min(t, n) line_total from j group by 1, 2"""
 )
 def merged_rows(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").filter("l_linenumber <= 6").dropDuplicates(["l_orderkey", "l_linenumber"])
-    found = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.floor((F.col("l_linenumber") + 1) / 2).cast("string").alias("item_no"), F.col("l_partkey").cast("string").alias("description"), F.lit(5.0).alias("unit_price"), F.col("l_extendedprice").alias("line_total"))
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_extendedprice").alias("t"))
+    found = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.floor((F.col("l_linenumber") + 1) / 2).cast("string").alias("item_no"), F.col("p").cast("string").alias("description"), F.lit(5.0).alias("unit_price"), F.col("t").alias("line_total"))
     return tables.merge_split_rows(found)
 
 
