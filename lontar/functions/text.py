@@ -64,24 +64,65 @@ def fix_number_dash(text: Column) -> Column:
 
 
 def fix_missing_spaces(text: Column) -> Column:
-    """Blanks that a reader lost: after a comma or full stop before a capital, between digits and words, before brackets."""
+    """Blanks that a reader lost between digits, words, amounts, marks and brackets; the rules build on each other."""
     for pattern, put in (
-        (r"(?<=[a-z]),(?=[A-Za-z])", ", "),
-        (r"(?<=[a-z])\.(?=[A-Z][a-z])", ". "),
-        (r"(?<=[a-z]{2})(?=[A-Z][a-z]{2})", " "),
-        (r"(?<=[A-Za-z]{3})\((?=[A-Za-z])", " ("),
-        (r"\)(?=[A-Za-z]{2})", ") "),
-        (r"(?<=[a-z]{3})(?=\d{2,})", " "),
-        (r"(?<=;)(?=[A-Za-z])", " "),
-        (r"(?<=[a-z]):(?=[A-Za-z])", ": "),
+        (r"(\d)([A-Z][a-z])", "$1 $2"),
+        (r"(?i)\b(nomor|tahun|tanggal|pasal|no\.|lampiran)(\d+)", "$1 $2"),
+        (r"(?m)^(\d+)([A-Z]{2,})", "$1. $2"),
+        (r"(\d{3}\.\d{3})([a-zA-Z])", "$1 $2"),
+        (r"(?<![A-Za-z])([A-Z]?[a-z]{5,})([A-Z][a-z]{2,})", "$1 $2"),
+        (r"([a-z])(Rp[.\s])", "$1 $2"),
+        (r"(Rp\.?)(\d)", "$1 $2"),
+        (r"\.([A-Z])", ". $1"),
+        (r"(?<!\d),(?=[^\s,])", ", "),
+        (r"(\d),([A-Za-z])", "$1, $2"),
+        (r"\bJI\.(?=\s*[A-Z0-9])", "Jl."),
+        (r":([A-Za-z0-9])", ": $1"),
+        (r"\)([A-Za-z])", ") $1"),
+        (r"([a-zA-Z])\(", "$1 ("),
     ):
         text = F.regexp_replace(text, pattern, put)
     return text
 
 
+# Misread words, phrases that lost their blank, and phrases written in capitals.
+MISREAD = {"Nom0r": "Nomor", "nom0r": "nomor", "N0mor": "Nomor", "n0mor": "nomor", "PlHAK": "PIHAK", "PiHAK": "PIHAK", "Plhak": "Pihak", "Isiam": "Islam", "isiam": "islam", "Yangdalam": "Yang dalam", "perbuatanhukum": "perbuatan hukum", "yangberwenang": "yang berwenang", "LampiranII": "Lampiran II", "LampiranI": "Lampiran I"}
+GLUED = {"PIHAKPERTAMA": "PIHAK PERTAMA", "PIHAKKEDUA": "PIHAK KEDUA", "PIHAKKESATU": "PIHAK KESATU", "KONTRAKLAYANAN": "KONTRAK LAYANAN", "LINGKUPPEKERJAAN": "LINGKUP PEKERJAAN", "SURATPERINTAHKERJA": "SURAT PERINTAH KERJA", "BERITAACARA": "BERITA ACARA", "JawaBarat": "Jawa Barat"}
+CAPITALS = ("pihak pertama", "pihak kedua", "pihak kesatu", "surat perintah kerja", "berita acara serah terima")
+
+
+def fix_misread(text: Column, table: dict[str, str] = MISREAD) -> Column:
+    """Whole words by a table, then look-alike small letters inside capitals (KERJAsAMA)."""
+    for wrong, right in table.items():
+        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9]){wrong}(?![A-Za-z0-9])", right)
+    for small in "cksovwxz":
+        text = F.regexp_replace(text, rf"(?<=\b[A-Z]{{2,40}}){small}(?=[A-Z]{{2,}}\b)", small.upper())
+    return text
+
+
+def fix_phrases(text: Column, glued: dict[str, str] = GLUED, capitals: tuple[str, ...] = CAPITALS) -> Column:
+    """Glued phrases apart, and set phrases in capitals."""
+    for wrong, right in glued.items():
+        text = F.regexp_replace(text, rf"(?i)\b{wrong}\b", right)
+    for phrase in capitals:
+        text = F.regexp_replace(text, r"(?i)\b" + phrase.replace(" ", r"\s+") + r"\b", phrase.upper())
+    return text
+
+
+def clean_signature(text: Column) -> Column:
+    """Without short lines of consonants only, the traces of stamps and signatures, and with a leading lone X cut off."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s*[Xx]\s+(?=[A-Z])", ""))
+    return F.array_join(F.filter(lines, lambda x: ~F.trim(x).rlike(r"(?i)^[bcdfghjklmnpqrstvwxyz~_.'`-]{1,4}$")), "\n")
+
+
+def clean_footer(text: Column) -> Column:
+    """Without lines that are a web address or a telephone number alone."""
+    return F.regexp_replace(text, r"(?mi)^[ \t]*(?:(?:https?://|www\.)\S+|(?:telp|tel|fax|phone)?[.: ]*\+?[0-9][0-9 ()-]{7,})[ \t]*(?:\n|$)", "")
+
+
 def clean_ocr(text: Column) -> Column:
     """The cleaning steps in their fixed order."""
-    for step in (strip_invisible, fix_missing_spaces, fix_number_dash, normalize_spaces):
+    for step in (strip_invisible, fix_misread, fix_missing_spaces, fix_phrases, clean_signature, clean_footer, fix_number_dash, normalize_spaces):
         text = step(text)
     return text
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import dates, identifiers, numbers, text
-from lontar.operators import classify, evaluation, evidence, layout, mapping, pages, tables, validation
+from lontar.operators import classify, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
 from lontar.sources import readers
 from lontar.streaming import jobs
 
@@ -322,6 +322,49 @@ def html_tables(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", tables.html_rows(html).alias("rows"))
 
 
+# Reconciliation
+
+
+@query(
+    """select o_orderkey, case o_orderkey % 4 when 3 then 'model' else 'table' end as source, case o_orderkey % 4 when 0 then 2 when 1 then 2 when 2 then 1 else 3 end::int as items from orders where o_custkey > 0"""
+)
+def chosen_items(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("o_orderkey") % 4, (F.col("o_custkey") * 100000).cast("double")
+
+    def item(number: str, total: Column, price: Column = None) -> Column:
+        return F.struct(F.lit(number).alias("number"), F.lit("barang").alias("description"), (total if price is None else price).alias("price"), total.alias("total"))
+
+    one = F.array(item("1", n), item("2", n * 2))
+    copies, merged = F.array(one, one), F.array(F.array(item("1", n * 3), item("1", n * 3)))
+    found = F.when(k == 1, copies).when(k == 2, merged).otherwise(F.array(one))
+    model = F.when(k == 3, F.array(item("1", n), item("2", n), item("3", n * 3))).otherwise(F.array(item("1", n)))
+    stated = F.when(k == 3, n * 5).otherwise(n * 3)
+    o = _t(spark, d, "orders").filter("o_custkey > 0").select("o_orderkey", found.alias("tables"), model.alias("model"), F.array(stated).alias("references"), F.concat(F.lit("Total Rp "), grouped(stated)).alias("text"))
+    return reconcile.choose_items(o, "tables", "model", "references", "text").select("o_orderkey", "source", F.size("chosen").alias("items"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'belum termasuk PPN 11%' when 1 then 'sudah termasuk PPN' end as mention from orders")
+def vat_mentions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    t = F.when(k == 0, "Harga  belum termasuk\nPPN 11%.").when(k == 1, "Harga sudah termasuk PPN").when(k == 2, "sebelum PPN dan setelah PPN").otherwise("termasuk pajak-pajak")
+    return _t(spark, d, "orders").select("o_orderkey", reconcile.vat_mention(t).alias("mention"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then 'A/ANG/' else 'A/XYZ/' end || o_orderkey as number, case when o_orderkey % 2 = 0 then 'B/MAJ/' else 'B/MAJ/' end || o_orderkey as internal from orders")
+def contract_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k, even = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 2 == 0
+    a, b = F.concat(F.when(even, "A/ANG/").otherwise("A/XYZ/"), k), F.concat(F.lit("B/MAJ/"), k)
+    c = reconcile.contract_numbers(F.when(even, b).otherwise(a), F.when(even, a).otherwise(b), F.lit("PT Angkasa Raya"), F.lit("CV Maju Terus"))
+    return _t(spark, d, "orders").select("o_orderkey", c["number"].alias("number"), c["internal"].alias("internal"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then (o_custkey * 1000)::double else 7.0::double end as preferred, case when o_orderkey % 2 = 0 then null else 7.0::double end as kept from orders where o_custkey > 0")
+def confirmed_first(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_custkey") * 1000
+    t = F.concat(F.lit("Rp "), grouped(n), F.lit(",- ("), numbers.spell(n), F.lit(" rupiah)"), F.when(F.col("o_orderkey") % 2 == 1, " dan 7").otherwise(""))
+    return _t(spark, d, "orders").filter("o_custkey > 0").select("o_orderkey", reconcile.prefer_confirmed(F.lit(7.0), t).alias("preferred"), reconcile.drop_unwritten(F.lit(7.0), t).alias("kept"))
+
+
 # Mapping
 
 
