@@ -286,7 +286,10 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
 
 
 def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame:
-    """row, rest_known and rest_base: what the tokens outside of the head add to each row, by a join with their exact counts."""
+    """row, rest_known and rest_base: what the tokens outside of the head add to each row, by a join with their exact counts.
+
+    Occurrences go out packed by slice of the hash, and come back packed by block of rows (those of one scan task).
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +304,12 @@ def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame
             parts = list(zip(at.tolist(), ends.tolist(), strict=False))
             yield pa.RecordBatch.from_arrays([pa.array(s[at].astype(np.int32)), pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in parts], pa.binary())], names=["slice", "hashes", "rows"])
 
-    schema = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("base", pa.float64())])
+    packed = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary())])
+    plain = pa.schema([("row", pa.int64()), ("rest_known", pa.int64()), ("rest_base", pa.float64())])
+
+    def summed(rows: np.ndarray, known: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        unique, at = np.unique(rows, return_inverse=True)
+        return unique, np.bincount(at, weights=known, minlength=len(unique)).astype(np.int64), np.bincount(at, weights=base, minlength=len(unique))
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(left.column("hashes").to_pylist()), np.uint64)
@@ -312,10 +320,16 @@ def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame
         if len(own):
             at = np.minimum(np.searchsorted(own, h), len(own) - 1)
             n = np.where(own[at] == h, counts[at], 0)
-        unique, at = np.unique(rows, return_inverse=True)
-        base = np.bincount(at, weights=np.log10(n + 1.0) - below, minlength=len(unique))
-        return pa.table([unique, np.bincount(at, weights=n > 0, minlength=len(unique)).astype(np.int64), base], schema=schema)
+        unique, known, base = summed(rows, n > 0, np.log10(n + 1.0) - below)
+        block = unique >> 33
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(unique) else np.zeros(0, np.int64)
+        parts = list(zip(at.tolist(), np.append(at[1:], len(unique)).tolist(), strict=False))
+        return pa.table([block[at], *([x[i:j].tobytes() for i, j in parts] for x in (unique, known, base))], schema=packed)
+
+    def added(table: pa.Table) -> pa.Table:
+        rows, known, base = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("rows", np.int64), ("known", np.int64), ("base", np.float64)))
+        return pa.table(summed(rows, known, base), schema=plain)
 
     left = scored.select("row", "rest").filter("length(rest) > 0").mapInArrow(dealt, "slice int, hashes binary, rows binary")
-    sums = left.groupBy("slice").cogroup(model.counts.groupBy("slice")).applyInArrow(met, "row long, known long, base double")
-    return sums.groupBy("row").agg(F.sum("known").alias("rest_known"), F.sum("base").alias("rest_base"))
+    met_counts = left.groupBy("slice").cogroup(model.counts.groupBy("slice")).applyInArrow(met, "block long, rows binary, known binary, base binary")
+    return met_counts.groupBy("block").applyInArrow(added, "row long, rest_known long, rest_base double")
