@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import dates, identifiers, numbers, text
-from lontar.operators import classify, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
+from lontar.operators import classify, contracts, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
 from lontar.sources import readers
 from lontar.streaming import jobs
 
@@ -365,6 +365,55 @@ def confirmed_first(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").filter("o_custkey > 0").select("o_orderkey", reconcile.prefer_confirmed(F.lit(7.0), t).alias("preferred"), reconcile.drop_unwritten(F.lit(7.0), t).alias("kept"))
 
 
+# Contract wording
+
+
+@query("select o_orderkey, case when o_orderkey % 3 < 2 then 'Termin 1' end as label, case when o_orderkey % 3 = 0 then (o_custkey * 1000)::double end as amount, case when o_orderkey % 3 = 1 then '30%' end as percentage from orders where o_custkey > 0")
+def payment_terms(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("o_orderkey") % 3, grouped(F.col("o_custkey") * 1000)
+    t = F.when(k == 0, F.concat(F.lit("Termin 1 sebesar Rp "), n, F.lit(",- setelah BAST"))).when(k == 1, "Termin 1 sebesar 30 % dari nilai, 30% itu").otherwise("Termin 1 50% dan Termin 2 50 persen, 40%")
+    p = contracts.payment_term(t)
+    return _t(spark, d, "orders").filter("o_custkey > 0").select("o_orderkey", p["label"].alias("label"), p["amount"].alias("amount"), p["percentage"].alias("percentage"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'customer' when 1 then 'vendor' when 2 then 'customer' else 'unknown' end as direction from orders")
+def handover_direction(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    t = F.when(k == 0, "PIHAK KEDUA menyerahkan  kepada PIHAK PERTAMA").when(k == 1, "PIHAK PERTAMA menyerahkan kepada PIHAK KEDUA").when(k == 2, "selanjutnya Pihak Kedua\n## MENYERAHKAN").otherwise("kosong")
+    return _t(spark, d, "orders").select("o_orderkey", contracts.direction(F.lit("CV Lain"), F.lit("PT Kita Jaya"), t, r"(?i)\bkita\b").alias("direction"))
+
+
+@query(
+    """select o_orderkey doc_id, s as section, a::int first_line, b::int last_line from orders, (values ('preamble', 0, 1), ('scope', 2, 3), ('price', 4, 4), ('closing', 5, 6)) t(s, a, b) where o_orderkey % 10 = 0"""
+)
+def contract_sections(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit("# SURAT PERINTAH KERJA\nNomor "), F.col("o_orderkey").cast("string"), F.lit("\n1. Lingkup Pekerjaan\nisi\nPasal 2 HARGA\nDemikian surat ini\nttd"))
+    return contracts.section_rows(_t(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
+
+
+_LIST = ("1. satu", "a. dua", "b. tiga", "i. empat", "ii. lima", "c. enam", "2. tujuh", "teks", "# Judul", "A) delapan", "B) sembilan")
+_LEVELS = (0, 1, 1, 2, 2, 1, 0, None, None, 0, 0)
+
+
+@query("select o_orderkey doc_id, n::int as line, l::int as level from orders, (values " + ", ".join(f"({i}, {v})" for i, v in enumerate(_LEVELS) if v is not None) + ") t(n, l) where o_orderkey % 50 = 0")
+def nested_lists(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*[F.lit(x) for x in _LIST])).alias("line", "text"))
+    return contracts.list_levels(o.withColumn("heading", F.col("text").startswith("#")), "doc_id", "line", "text", "heading")
+
+
+@query(
+    """with l as (select l_orderkey k, count(*) filter (l_quantity > 25) n from lineitem group by 1)
+    select o_orderkey, coalesce(n, 0) > 0 and o_orderkey % 2 = 0 and o_orderkey % 5 <> 0 as ready,
+    list_concat(case when o_orderkey % 2 = 1 then ['o_clerk: not confirmed'] else [] end, list_concat(case when o_orderkey % 5 = 0 then ['o_status: empty'] else [] end, case when coalesce(n, 0) = 0 then ['no delivered item'] else [] end)) as problems, coalesce(n, 0) as items
+    from orders left join l on k = o_orderkey"""
+)
+def handover_drafts(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("o_status"), F.lit("x").alias("o_clerk"))
+    sure = o.select("o_orderkey", F.explode(F.array(F.lit("o_status"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("o_clerk")).otherwise("none"))).alias("path"))
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("delivered"))
+    return contracts.handover_drafts(o, li, sure, ["o_status", "o_clerk"], "o_orderkey")
+
+
 # Mapping
 
 
