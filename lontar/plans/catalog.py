@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.functions import dates, identifiers, numbers, text
+from lontar.functions import dates, identifiers, numbers, predicates, text
 from lontar.operators import classify, contracts, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
 from lontar.sources import readers
 from lontar.streaming import jobs
@@ -237,6 +237,32 @@ def document_types(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", c["doc_type"].alias("doc_type"), c["confidence"].cast("double").alias("confidence"))
 
 
+_VALUES = (("Tidak ada informasi", True, False, None), ("N/A", True, False, None), ("Rp 1.500.000,-", False, True, None), ("12.5", False, True, None), ("Biaya OTC dan MRC", False, False, "OTC dan MRC"), ("otc", False, False, "OTC"), ("Bulanan", False, False, "MRC"), ("", True, False, None))
+
+
+@query("select * from (values " + ", ".join(f"('{a}', {b}, {c}, {'null::varchar' if d is None else repr(d)})" for a, b, c, d in _VALUES) + ") t(raw, placeholder, numeric, charge)")
+def value_predicates(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("raw")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v[0]) for v in _VALUES])).alias("raw")).select("raw", predicates.is_placeholder(x).alias("placeholder"), predicates.is_numeric_text(x).alias("numeric"), predicates.charge_type(x).alias("charge"))
+
+
+@query("select p_partkey, 'right' as price, 'center' as unit, 'right' as digits, case when length(p_size::varchar) <= 4 then 'center' end as short, 'left' as words from part")
+def column_alignment(spark: SparkSession, d: str) -> DataFrame:
+    a = predicates.alignment
+    c = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    return _t(spark, d, "part").select(
+        "p_partkey", a(F.lit("Harga (Rp)"), c("x")).alias("price"), a(F.lit("Satuan"), c("paket lengkap")).alias("unit"), a(F.lit("a"), c("1.000", "2.500,00", "", F.col("p_partkey").cast("string"))).alias("digits"),
+        a(F.lit("b"), c("ab", F.concat(F.lit("s"), F.col("p_size").cast("string")))).alias("short"), a(F.lit("c"), c(F.concat(F.col("p_name"), F.lit(" panjang")))).alias("words"),
+    )
+
+
+@query(r"""select doc_id, length(text) <= 2000 as whole, case when length(text) <= 2000 then md5(text) else md5(array_to_string(list_concat(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(trim(x), '^\|.*\|$'))[1:3], list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^\|.*\|$'))), chr(10))) end as text
+    from documents""")
+def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", (F.length(t) <= 2000).alias("whole"), F.md5(predicates.prompt_text(t, 2000, 3, 0, 0)).alias("text"))
+
+
 # Pages
 
 
