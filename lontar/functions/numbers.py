@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lontar.functions import let
+
 _PLAIN = r"^\d*\.?\d*$"
 TOKEN = r"\d[\d.,]*\d|\d"
 _GROUPED_MONEY = r"(?<![\d.,/\-])(\d{1,3}(?:\.\d{3}){2,})(?:,(?:00|-))?(?!\d|[.,/\-]\d)"
@@ -32,7 +34,7 @@ def _value(text: Column) -> Column:
         .when(commas > 0, F.replace(text, F.lit(","), F.lit(".")))
         .otherwise(text)
     )
-    return F.when(chosen.rlike(_PLAIN) & chosen.rlike(r"\d"), chosen.cast("double"))
+    return let(chosen, lambda c: F.when(c.rlike(_PLAIN) & c.rlike(r"\d"), c.cast("double")))
 
 
 def parse_number(text: Column) -> Column:
@@ -44,10 +46,13 @@ def parse_number(text: Column) -> Column:
     t = F.regexp_replace(t, r",\s*(?:-+|0{2})\s*$", "")
     t = F.regexp_replace(t, r"(?<=\.\d{3})\s(?=\d{3}(?![\d.]))", ".")
     t = F.regexp_replace(t, r"[^\d.,\-]", "")
-    negative = t.startswith("-")
-    t = F.regexp_replace(F.regexp_replace(t, r"^-+|-+$", ""), r"\.+$", "")
-    number = F.when(t.rlike(r"\d"), _value(t))
-    return F.when(negative, -number).otherwise(number)
+
+    def signed(t: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(t, r"^-+|-+$", ""), r"\.+$", "")
+        number = let(plain, lambda p: F.when(p.rlike(r"\d"), _value(p)))
+        return number * F.when(t.startswith("-"), -1.0).otherwise(1.0)
+
+    return let(t, signed)
 
 
 def parse_number_or_zero(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lontar.functions import let
+
 _WORD_CHARS = r"[^\p{L}\p{N}_/%]+"
 
 
@@ -32,7 +34,7 @@ def _f1(a: Column, b: Column) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of the canonical forms' word sets; 0 if either is empty."""
-    return _f1(words(canon(a)), words(canon(b)))
+    return let(F.struct(words(canon(a)).alias("a"), words(canon(b)).alias("b")), lambda p: _f1(p["a"], p["b"]))
 
 
 def long_words(text: Column) -> Column:
