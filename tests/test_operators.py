@@ -70,3 +70,32 @@ def test_queries_match_sql(spark, name):
 
 def test_every_query_has_a_name_and_the_flagship_is_one():
     assert catalog.FLAGSHIP in catalog.QUERIES and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_item_choice_prefers_the_copy_whose_sum_is_written(spark):
+    from lontar.operators import reconcile
+
+    item = "struct<number:string,description:string,price:double,total:double>"
+    one = [("1", "a", 100000.0, 100000.0), ("2", "b", 200000.0, 200000.0)]
+    rows = [(1, [one, one], [("1", "a", 5.0, 5.0)], [300000.0], "Total Rp 300.000"), (2, [], [("1", "a", 5.0, 5.0)], [300000.0], "Total Rp 300.000"), (3, [one], [("1", "a", 300000.0, 300000.0)] * 1, [None], None)]
+    df = spark.createDataFrame(rows, f"id int, tables array<array<{item}>>, model array<{item}>, refs array<double>, text string")
+    got = {r.id: (r.source, len(r.chosen)) for r in reconcile.choose_items(df, "tables", "model", "refs", "text").collect()}
+    assert got == {1: ("table", 2), 2: ("model", 1), 3: ("table", 2)}
+
+
+def test_list_levels_and_sections(spark):
+    from lontar.operators import contracts
+
+    lines = [(1, i, t, t.startswith("#")) for i, t in enumerate(["1. a", "a. b", "b. c", "i. d", "ii. e", "2. f", "# h", "(1) g", "kosong"])]
+    got = contracts.list_levels(spark.createDataFrame(lines, "doc int, line int, text string, heading boolean"), "doc", "line", "text", "heading")
+    assert [r.level for r in got.orderBy("line").collect()] == [0, 1, 1, 2, 2, 0, 0]
+    s = contracts.section_rows(spark.createDataFrame([(1, "1. GARANSI\nx\nPasal 2 DENDA\ny"), (2, None)], "doc_id int, text string")).orderBy("first_line").collect()
+    assert [(r.section, r.first_line, r.last_line) for r in s] == [("guarantee", 0, 1), ("penalty", 2, 3)]
+
+
+def test_nested_leaves_and_block_types(spark):
+    from lontar.sources import readers
+
+    df = spark.createDataFrame([(1, ("x", [(1,), (2,)]))], "id int, a struct<b:string,c:array<struct<d:int>>>")
+    assert [(r.path, r.value_text) for r in readers.leaves(df, "id").collect()] == [("a.b", "x"), ("a.c[0].d", "1"), ("a.c[1].d", "2")]
+    assert spark.range(1).select(readers.block_type(F.lit("List_Item")), readers.block_type(F.lit("?"))).first()[:] == ("list", "unknown")
