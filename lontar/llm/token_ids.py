@@ -34,13 +34,14 @@ STEP = 64
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 1_000_000
+GROUP = 2000
 # Marks that may end a piece; the pre-tokenizer always cuts between a letter or digit and one of them.
 _MARKS = ".,;:!?%$#&*+=/|)]}>\""
 _HEAD = struct.Struct("<4sIQI")
 
 
 class Encoder:
-    """Ids by the tokenizers library, with a bounded memo of what it gave for each space-led piece.
+    """Ids by the tokenizers library, with a bounded memo (in two ages) of what it gave for each space-led piece.
 
     The pre-tokenizer never joins a space to what stands before it, so a text cut before each single space
     gives the same ids piece by piece; texts in which a space follows white space go to the library whole.
@@ -52,20 +53,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes | None] = {"": b""}
+        self.older: dict[str, bytes | None] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.byte_lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
+        for token, i in vocabulary.items():
+            self.byte_lengths[i] = len(token)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encoded_together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of space-led pieces, encoded as one text and cut where each piece starts."""
-        if not pieces:
-            return []
-        done = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        ids = np.array(done.ids, "<u4").tobytes()
-        begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids) // 4)
-        at = np.cumsum([0, *map(len, pieces)])
-        cuts = (4 * np.searchsorted(begins, at)).tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        """Ids of space-led pieces: some thousand are encoded as one text and cut where each piece's bytes end."""
+        out: list[bytes] = []
+        groups = [pieces[k : k + GROUP] for k in range(0, len(pieces), GROUP)]
+        for group, done in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(done.ids, "<u4")
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in group])
+            cuts = (4 * np.searchsorted(np.cumsum(self.byte_lengths[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
+        return out
 
     def _learn(self, new: set[str]) -> None:
         """Put pieces into the memo: None for one that ends in white space, else its stem's ids and its closing marks' ids."""
@@ -77,7 +84,7 @@ class Encoder:
             stem = w.rstrip(_MARKS)
             parts[w] = (stem, w[len(stem) :]) if stem != w and stem[-1:].isalnum() else (w, "")
         unknown = {x for pair in parts.values() for x in pair if x and x not in self.memo}
-        led = [x for x in unknown if x[0] == " "]
+        led = sorted(x for x in unknown if x[0] == " ")  # neighbours share merges, which the library's own cache likes
         rest = [x for x in unknown if x[0] != " "]
         self.memo.update(zip(led, self._encoded_together(led), strict=True))
         self.memo.update(zip(rest, self._encoded(rest), strict=True))
@@ -89,10 +96,12 @@ class Encoder:
         """uint32 ids of each text, without the end id."""
         pieces = [text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
         new = {w for words in pieces if words for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > CACHE_ENTRIES:
-            self.memo = {"": b""}
+        if len(self.memo) + len(new) > CACHE_ENTRIES // 2:
+            self.older, self.memo = self.memo, {"": b""}
             new = {w for words in pieces if words for w in words if w}
-        self._learn(new)
+        known = {w: self.older[w] for w in new if w in self.older}
+        self.memo.update(known)
+        self._learn(new.difference(known))
         get = self.memo.__getitem__
         out: list[bytes | None] = []
         for words in pieces:
