@@ -82,16 +82,16 @@ def item_line_total(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with h as (select o_orderkey, o_totalprice s, case when o_orderkey % 3 = 0 then o_totalprice * 0.11 when o_orderkey % 3 = 1 then o_totalprice * 0.05 end v,
       case when o_orderkey % 5 = 0 then o_totalprice * 0.5 when o_orderkey % 3 = 0 then o_totalprice * 1.11 else o_totalprice end t from orders)
-    select o_orderkey, 'total_equals_subtotal_plus_vat' rule, 'error' severity, s + coalesce(v, 0) expected, t actual from h where s <> 0 and t <> 0 and abs(s + coalesce(v, 0) - t) > 1000
-    union all select o_orderkey, 'total_not_below_subtotal', 'error', s, t from h where s <> 0 and t <> 0 and t < s
-    union all select o_orderkey, 'vat_matches_rate', 'warning', round(s * 0.11, 2), v from h where s <> 0 and v <> 0 and abs(v - s * 0.11) > 1000 and abs(v - s * 0.11 * 11 / 12) > 1000"""
+    select o_orderkey, 'total_equals_subtotal_plus_vat' rule, 'error' severity, floor(s + coalesce(v, 0)) expected, t actual from h where s <> 0 and t <> 0 and abs(s + coalesce(v, 0) - t) > 1000
+    union all select o_orderkey, 'total_not_below_subtotal', 'error', floor(s), t from h where s <> 0 and t <> 0 and t < s
+    union all select o_orderkey, 'vat_matches_rate', 'warning', floor(round(s * 0.11, 2)), v from h where s <> 0 and v <> 0 and abs(v - s * 0.11) > 1000 and abs(v - s * 0.11 * 11 / 12) > 1000"""
 )
 def total_rules(spark: SparkSession, d: str) -> DataFrame:
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     h = _t(spark, d, "orders").select(
         "o_orderkey", p.alias("subtotal"), F.when(k % 3 == 0, p * 0.11).when(k % 3 == 1, p * 0.05).alias("vat"), F.when(k % 5 == 0, p * 0.5).when(k % 3 == 0, p * 1.11).otherwise(p).alias("total"), F.lit("PPN 11%").alias("rate_text")
     )
-    return validation.total_issues(h, "o_orderkey")
+    return validation.total_issues(h, "o_orderkey").withColumn("expected", F.floor("expected").cast("double"))
 
 
 @query("select o_orderkey, 'words_match_amount' rule, 'error' severity, (o_custkey * 1000)::double expected, (o_custkey * 1000 + 5000)::double actual from orders where o_orderkey % 4 = 0 and o_custkey > 0")
