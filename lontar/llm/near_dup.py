@@ -9,7 +9,9 @@ probability of their weighted Jaccard similarity, and a document takes about m l
 Exact copies are one node. Nodes that share a band of six components are candidates; in each bucket all are
 compared with a pivot (the node that has most company in all its buckets, as the origin of many edited copies
 has), by exact multiset overlap. Where a bucket's nodes are not in one class after that, each node outside of
-the pivot's class is held against all others of the bucket that aren't in its own class.
+the pivot's class is held against all others of the bucket that aren't in its own class, but for those that can't
+be similar: a node's shingles that no other open node has are lost for every overlap, which bounds its similarity
+to any of them, and leaves out the far ends of large clouds of edited copies without comparing them.
 Classes are the connected components of the verified links.
 
 Results for odd input: words are lower-cased and split at ASCII white space; a text of one to four words is a
@@ -37,11 +39,12 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class NearDup:
-    """Least similarity, bands and their width."""
+    """Least similarity, bands and their width, and the nodes of a large bucket that are compared as one block."""
 
     similarity: float = 0.8
     bands: int = 42
     width: int = 6
+    block: int = 256
 
     @property
     def components(self) -> int:
@@ -49,9 +52,9 @@ class NearDup:
 
     @property
     def least_agreement(self) -> int:
-        """Components that agree in a pair of this similarity but for a chance under 1e-8 (six standard deviations)."""
+        """Components that agree in a pair of this similarity but for a chance under 1e-6 (five standard deviations)."""
         p, m = self.similarity, self.components
-        return max(0, int(m * p - 6 * (m * p * (1 - p)) ** 0.5))
+        return max(0, int(m * p - 5 * (m * p * (1 - p)) ** 0.5))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,17 +196,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, rules: NearDup) -> DataFrame:
     return out
 
 
-def _alike(pairs: DataFrame, rules: NearDup) -> DataFrame:
-    """Of pairs with both sketches, those whose components agree often enough to be worth a comparison of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint8).reshape(len(batch), rules.components) for k in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= rules.least_agreement))
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
-
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -222,7 +214,7 @@ def links(docs: DataFrame, rules: NearDup = NearDup(), features: DataFrame | Non
     pairs = scratch.checkpoint(members.filter("node <> pivot").select(*_ordered("node", "pivot")).distinct())
     found = _verified(pairs, docs, rules)
     roots = scratch.checkpoint(components(found))
-    rest = scratch.checkpoint(_open_pairs(members, roots, reps, rules).join(pairs, ["a", "b"], "left_anti"))
+    rest = scratch.checkpoint(_open_pairs(members, roots, reps, docs, rules).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = scratch.checkpoint(found.union(_verified(rest, docs, rules)))
         roots = scratch.checkpoint(components(found))
@@ -232,17 +224,68 @@ def links(docs: DataFrame, rules: NearDup = NearDup(), features: DataFrame | Non
     return found, roots
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, rules: NearDup) -> DataFrame:
-    """In buckets of several classes: nodes outside of the pivot's class with nodes of other classes, if their sketches are alike."""
+def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, rules: NearDup) -> DataFrame:
+    """In buckets of several classes: nodes outside of the pivot's class with nodes of other classes, if they may be similar."""
     of = lambda name, out: roots.select(F.col("node").alias(name), F.col("root").alias(out))
     placed = members.join(of("node", "root"), "node", "left").join(of("pivot", "main"), "pivot", "left")
     placed = scratch.checkpoint(placed.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("main", "pivot").alias("main")))
-    apart = placed.filter("root <> main")
-    some = placed.join(apart.select("key").distinct(), "key", "left_semi")
-    met = apart.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")), "key")
-    met = met.filter("root_a <> root_b").select(*_ordered("a", "b")).distinct()
-    sketch = lambda side: reps.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    return _alike(met.join(sketch("a"), "a").join(sketch("b"), "b"), rules)
+    some = scratch.checkpoint(placed.join(placed.filter("root <> main").select("key").distinct(), "key", "left_semi"))
+    weights = scratch.checkpoint(_shared_weights(scratch.checkpoint(some.select("node").distinct()), docs).filter(F.col("shared") >= F.col("weight") * (rules.similarity - 1e-9)))
+    some = scratch.checkpoint(some.join(weights, "node"))
+    some = some.join(reps.select("node", "sketch"), "node")
+    sizes = some.groupBy("key").agg((F.count("*") / rules.block + 1).cast("int").alias("blocks"))
+    dealt = scratch.checkpoint(some.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))))
+    columns = ["node", "root", "weight", "shared", "sketch"]
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        listed = rows.groupBy("key", "block").agg(F.collect_list(F.struct(*columns)).alias("l"))
+        return listed.select("key", *[F.expr(f"transform(l, x -> x.{c})").alias(f"{c}_{side}") for c in columns])
+
+    return _alike(packed(dealt.filter("root <> main"), "a").join(packed(dealt, "b"), "key"), rules)
+
+
+def _alike(blocks: DataFrame, rules: NearDup) -> DataFrame:
+    """Of a block of nodes and another of the same bucket: the pairs of different classes that may be similar.
+
+    Only these leave the task. They must agree in enough components and share enough weight; a block has about
+    rules.block nodes, so a bucket of any size is dealt over many tasks.
+    """
+
+    def column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                a, b = ({c: column(batch, f"{c}_{side}", i) for c in ("node", "root", "weight", "shared")} for side in "ab")
+                x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{side}")[i].as_py()), np.uint8).reshape(-1, rules.components) for side in "ab")
+                for k in range(len(x)):
+                    most = np.minimum(a["shared"][k], b["shared"])
+                    ok = np.flatnonzero((a["root"][k] != b["root"]) & (most >= (a["weight"][k] + b["weight"] - most) * (rules.similarity - 1e-9)))
+                    ok = ok[(y[ok] == x[k]).sum(1) >= rules.least_agreement]
+                    if len(ok):
+                        here, there = np.full(len(ok), a["node"][k]), b["node"][ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(here, there)), pa.array(np.maximum(here, there))], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared_weights(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, weight (all its shingles) and shared (those that another of the nodes has too)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.chunks(batch):
+                row, h, count = shingles(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(count)], names=["node", "h", "n"])
+
+    texts = keyed.among(_nodes(docs).filter("text is not null").select("node", "text"), "node", nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    each = scratch.table(texts.mapInArrow(run, "node long, h long, n long"), "shingles")
+    lone = each.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n")).filter("nodes = 1").groupBy("node").agg(F.sum("n").alias("lone"))
+    total = each.groupBy("node").agg(F.sum("n").alias("weight"))
+    out = scratch.checkpoint(total.join(lone, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("lone", F.lit(0))).alias("shared")))
+    scratch.drop(each)
+    return out
 
 
 def classes(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
