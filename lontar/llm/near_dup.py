@@ -232,10 +232,10 @@ def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: Dat
     some = scratch.checkpoint(placed.join(placed.filter("root <> main").select("key").distinct(), "key", "left_semi"))
     weights = scratch.checkpoint(_shared_weights(scratch.checkpoint(some.select("node").distinct()), docs).filter(F.col("shared") >= F.col("weight") * (rules.similarity - 1e-9)))
     some = scratch.checkpoint(some.join(weights, "node"))
-    some = some.join(reps.select("node", "sketch"), "node")
+    some = some.join(reps.select("node", "sketch", "bands"), "node")
     sizes = some.groupBy("key").agg((F.count("*") / rules.block + 1).cast("int").alias("blocks"))
     dealt = scratch.checkpoint(some.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))))
-    columns = ["node", "root", "weight", "shared", "sketch"]
+    columns = ["node", "root", "weight", "shared", "sketch", "bands"]
 
     def packed(rows: DataFrame, side: str) -> DataFrame:
         listed = rows.groupBy("key", "block").agg(F.collect_list(F.struct(*columns)).alias("l"))
@@ -247,7 +247,7 @@ def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: Dat
 def _alike(blocks: DataFrame, rules: NearDup) -> DataFrame:
     """Of a block of nodes and another of the same bucket: the pairs of different classes that may be similar.
 
-    Only these leave the task. They must agree in enough components and share enough weight; a block has about
+    Only these leave the task, each from the first band that its nodes have in common. They must agree in enough components and share enough weight; a block has about
     rules.block nodes, so a bucket of any size is dealt over many tasks.
     """
 
@@ -259,10 +259,13 @@ def _alike(blocks: DataFrame, rules: NearDup) -> DataFrame:
             for i in range(len(batch)):
                 a, b = ({c: column(batch, f"{c}_{side}", i) for c in ("node", "root", "weight", "shared")} for side in "ab")
                 x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{side}")[i].as_py()), np.uint8).reshape(-1, rules.components) for side in "ab")
+                own, other = (batch.column(f"bands_{side}")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, rules.bands) for side in "ab")
+                key = batch.column("key")[i].as_py()
                 for k in range(len(x)):
                     most = np.minimum(a["shared"][k], b["shared"])
                     ok = np.flatnonzero((a["root"][k] != b["root"]) & (most >= (a["weight"][k] + b["weight"] - most) * (rules.similarity - 1e-9)))
                     ok = ok[(y[ok] == x[k]).sum(1) >= rules.least_agreement]
+                    ok = ok[own[k][(other[ok] == own[k]).argmax(1)] == key]
                     if len(ok):
                         here, there = np.full(len(ok), a["node"][k]), b["node"][ok]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(here, there)), pa.array(np.maximum(here, there))], names=["a", "b"])
