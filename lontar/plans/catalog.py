@@ -414,7 +414,7 @@ def handover_direction(spark: SparkSession, d: str) -> DataFrame:
 )
 def contract_sections(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("# SURAT PERINTAH KERJA\nNomor "), F.col("o_orderkey").cast("string"), F.lit("\n1. Lingkup Pekerjaan\nisi\nPasal 2 HARGA\nDemikian surat ini\nttd"))
-    return contracts.section_rows(_t(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
+    return contracts.section_rows(_t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
 
 
 _LIST = ("1. satu", "a. dua", "b. tiga", "i. empat", "ii. lima", "c. enam", "2. tujuh", "teks", "# Judul", "A) delapan", "B) sembilan")
@@ -423,7 +423,7 @@ _LEVELS = (0, 1, 1, 2, 2, 1, 0, None, None, 0, 0)
 
 @query("select o_orderkey doc_id, n::int as line, l::int as level from orders, (values " + ", ".join(f"({i}, {v})" for i, v in enumerate(_LEVELS) if v is not None) + ") t(n, l) where o_orderkey % 50 = 0")
 def nested_lists(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*[F.lit(x) for x in _LIST])).alias("line", "text"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*[F.lit(x) for x in _LIST])).alias("line", "text"))
     return contracts.list_levels(o.withColumn("heading", F.col("text").startswith("#")), "doc_id", "line", "text", "heading")
 
 
@@ -569,7 +569,7 @@ def run_differences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def evidence_located(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ordinal"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"), "text", F.lit(0.95).alias("confidence"))
-    values = c.filter("ordinal < 3").select("conv_id", F.concat(F.lit("f"), F.col("ordinal").cast("string")).alias("field"), F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("value")).filter("length(value) > 8")
+    values = c.select("conv_id", F.concat(F.lit("f"), F.col("ordinal").cast("string")).alias("field"), F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("value")).filter("length(value) > 8")
     return evidence.located(evidence.scored(evidence.candidates(values, c, "conv_id")), "conv_id")
 
 
@@ -619,7 +619,7 @@ def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, 'Nomor' as label, o_orderkey::varchar as value from orders where o_orderkey % 50 = 0 union all select o_orderkey, 'Tanggal', 'hari ' || o_custkey from orders where o_orderkey % 50 = 0")
 def label_values(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    o = _t(spark, d, "orders")
     rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), t.alias("text"), F.lit(a).alias("x0"), F.lit(a + 0.2).alias("x1"), F.lit(y).alias("y0"), F.lit(y + 0.02).alias("y1")) for i, (t, a, y) in enumerate(((F.lit("Nomor:"), 0.1, 0.1), (F.lit("Tanggal :"), 0.1, 0.15), (F.concat(F.lit("hari "), F.col("o_custkey").cast("string")), 0.4, 0.151), (F.col("o_orderkey").cast("string"), 0.4, 0.101)))])
     return layout.label_pairs(o.select("o_orderkey", F.explode(rows).alias("b")).select("o_orderkey", "b.*"), ["o_orderkey"]).withColumn("label", F.trim("label"))
 
@@ -638,7 +638,7 @@ def normalized_boxes(spark: SparkSession, d: str) -> DataFrame:
     union all select o_orderkey, 'tags[0].name', o_orderpriority from orders where o_orderkey % 20 = 0 union all select o_orderkey, 'tags[1].name', 'x' from orders where o_orderkey % 20 = 0"""
 )
 def nested_leaves(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").filter("o_orderkey % 20 = 0")
+    o = _t(spark, d, "orders")
     nested = o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).alias("header"), F.array(F.struct(F.col("o_orderpriority").alias("name")), F.struct(F.lit("x").alias("name"))).alias("tags"))
     return readers.leaves(nested, "o_orderkey")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -99,3 +100,28 @@ def test_nested_leaves_and_block_types(spark):
     df = spark.createDataFrame([(1, ("x", [(1,), (2,)]))], "id int, a struct<b:string,c:array<struct<d:int>>>")
     assert [(r.path, r.value_text) for r in readers.leaves(df, "id").collect()] == [("a.b", "x"), ("a.c[0].d", "1"), ("a.c[1].d", "2")]
     assert spark.range(1).select(readers.block_type(F.lit("List_Item")), readers.block_type(F.lit("?"))).first()[:] == ("list", "unknown")
+
+
+@pytest.mark.parametrize("name", ["contract_sections", "nested_lists", "label_values", "nested_leaves"])
+def test_queries_take_every_order(spark, tmp_path, name):
+    """The rows of the registered SQL without its filter on order keys, and with that filter exactly the registered ones."""
+    spark.createDataFrame([(k, k * 7, "FOP"[k % 3], f"{k % 5}-X") for k in range(1, 121)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    sql = catalog.ORACLE_SQL[name]
+    modulo = re.search(r"o_orderkey % (\d+) = 0", sql)
+    whole = con.execute(re.sub(r" where o_orderkey % \d+ = 0", "", sql))
+    columns = [c[0] for c in whole.description]
+    got = sorted(repr([r[c] for c in columns]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(repr(list(r)) for r in whole.fetchall())
+    if modulo:
+        key = next(c for c in columns if c in ("doc_id", "o_orderkey"))
+        some = [r for r in catalog.QUERIES[name](spark, str(tmp_path)).collect() if r[key] % int(modulo[1]) == 0]
+        assert sorted(repr([r[c] for c in columns]) for r in some) == sorted(repr(list(r)) for r in con.execute(sql).fetchall())
+
+
+def test_evidence_is_located_for_every_turn(spark, tmp_path):
+    texts = [f"a b value{t}word second{t}word third{t}word x{t} y z" for t in range(6)]
+    spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.field, r.block_id) for r in catalog.QUERIES["evidence_located"](spark, str(tmp_path)).collect()}
+    assert got == {(f"f{t}", f"b{t}") for t in range(6)}
