@@ -1,11 +1,12 @@
 """Operator 2, language-model scoring with a log-frequency Bloom filter.
 
 Uni- and bigram counts are gathered from the whole training fold. A count is quantised to its binary logarithm and
-kept as that many entries (n-gram, 1), (n-gram, 2), ... of one Bloom filter of fixed size, which is broadcast; a
-reader probes one level after the other until one is missing. Probabilities interpolate the bigram's relative frequency with
+kept as that many entries (n-gram, 1), (n-gram, 2), ... of one Bloom filter in slices of the hash; a reader probes
+one level after the other until one is missing. A slice grows with its entries, so none is left out at any size. While
+the filter keeps to a fixed size it is broadcast; beyond that the documents' distinct n-grams meet the slices in a
+co-grouped join, and their levels come back to the documents. Probabilities interpolate the bigram's relative frequency with
 the unigram's, all read from the filter; the bigram's weight is the leave-one-out chance, over the training fold, that
-a bigram has been seen elsewhere. Bigrams seen once are left out; where a filter of
-this size is full, so are the rarest n-grams of each slice, whose probability then comes from the unigrams.
+a bigram has been seen elsewhere. Only bigrams seen once are left out.
 
 The exact baseline needs every token's count. The most frequent tokens (a fixed number) are broadcast with their
 counts; the other tokens' occurrences meet their counts in a co-grouped join by slices of the hash. Counts travel
@@ -33,11 +34,12 @@ from lontar.llm.language import fold
 END = np.uint64(0x2545F4914F6CDD1D)
 _BUFFER = 3_000_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
+_MIDDLES = np.array([0.0, 1.0, *(1.5 * 2.0 ** (k - 1) for k in range(2, 65))])  # of the counts of each level
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Folds and the held-out one, the filter's bits (log2), hashes and bits an entry at least, least bigram count, tokens broadcast with exact counts, and documents a slice."""
+    """Folds and the held-out one, the bits (log2) of a filter that is broadcast and the least of any, hashes and bits an entry at least, least bigram count, tokens broadcast with exact counts, and documents a slice."""
 
     folds: int = 7
     held_out: int = 2
@@ -135,15 +137,15 @@ class LogFilter:
 
     def places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
         block = np.uint64(len(self.words) * 64 >> self.slice_bits)
-        base = (h >> np.uint64(64 - self.slice_bits)) * block
+        base = (h >> np.uint64(64 - self.slice_bits)) * block if self.slice_bits else np.uint64(0)
         x = tokens.mix(h ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         step = (x >> np.uint64(32)) | np.uint64(1)
         for k in range(self.hashes):
             yield base + (x + np.uint64(k) * step) % block
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts by repeated probes: 0, or the middle of the last level found."""
-        out = np.zeros(len(h))
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """The last level found by repeated probes, 0 for none."""
+        out = np.zeros(len(h), np.uint8)
         alive, level = np.arange(len(h)), 0
         while len(alive) and level < 64:
             level += 1
@@ -151,9 +153,13 @@ class LogFilter:
             for p in self.places(h[alive], level):
                 found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
             alive = alive[found]
-            out[alive] = 1.0 if level == 1 else 1.5 * 2.0 ** (level - 1)
+            out[alive] = level
         return out
 
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """0, or the middle of the last level found."""
+        return _MIDDLES[self.level(h)]
+
     def add(self, h: np.ndarray, level: np.ndarray) -> None:
         for k in range(1, int(level.max(initial=0)) + 1):
             for p in self.places(h[level >= k], k):
@@ -162,9 +168,9 @@ class LogFilter:
 
 @dataclass
 class Model:
-    """The filter, the most frequent tokens with exact counts, the totals, the bigrams' weight and the table of all exact counts by slice."""
+    """The filter (None if it is too large to broadcast), the most frequent tokens with exact counts, the totals, the bigrams' weight, the table of all exact counts and of the filter by slice, and how many entries the filter holds and bigrams seen once it doesn't."""
 
-    log_filter: LogFilter
+    log_filter: LogFilter | None
     head: np.ndarray
     head_counts: np.ndarray
     total: int
@@ -172,6 +178,8 @@ class Model:
     bigram_weight: float
     counts: DataFrame
     slice_bits: int
+    kept: int
+    left_out: int
 
 
 def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
@@ -190,42 +198,34 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
         bi, n_bi = _unpacked(table, 1)
         often = n_bi >= rules.least_bigram
         h, n = np.concatenate((uni, bi[often])), np.concatenate((n_uni, n_bi[often]))
-        order = np.argsort(-n, kind="stable")
-        level = levels(n[order])
-        fits = np.cumsum(level) <= block // rules.bits_an_entry
-        small = LogFilter(np.zeros(block // 64, np.uint64), 0, rules.hashes)
-        _fill(small, h[order][fits], level[fits])
+        level = levels(n)
+        kept = int(level.sum())
+        small = LogFilter(np.zeros(max(block, kept * rules.bits_an_entry + 63) // 64, np.uint64), 0, rules.hashes)
+        small.add(h, level)
         top = np.sort(np.argsort(-n_uni, kind="stable")[:head])
         row = {
             "slice": [s], "bits": [small.words.tobytes()], "head": [uni[top].tobytes()], "head_counts": [n_uni[top].tobytes()],
             "hashes": [uni.tobytes()], "counts": [n_uni.tobytes()], "total": [int(n_uni.sum())], "distinct": [len(uni)], "again": [int((n_bi - 1).sum())],
+            "kept": [kept], "left_out": [int((~often).sum())],
         }
-        return pa.table(row, schema=pa.schema([(k, pa.int32() if k == "slice" else pa.int64() if k in ("total", "distinct", "again") else pa.binary()) for k in row]))
+        return pa.table(row, schema=pa.schema([(k, pa.int32() if k == "slice" else pa.binary() if k in ("bits", "head", "head_counts", "hashes", "counts") else pa.int64()) for k in row]))
 
-    schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long"
+    schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, left_out long"
     counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
-    words = np.zeros((1 << bits) * block // 64, np.uint64)
-    heads, head_counts, total, distinct, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0, 0
-    for row in counts.select("slice", "bits", "head", "head_counts", "total", "distinct", "again").toLocalIterator():  # the filter's size and the head's in all
-        words[row["slice"] * block // 64 : (row["slice"] + 1) * block // 64] = np.frombuffer(row["bits"], np.uint64)
+    sums = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.sum("left_out"), F.max(F.length("bits"))).first()
+    total, distinct, again, kept, left_out, largest = (x or 0 for x in sums)
+    small = largest * 8 <= block  # then the whole filter is of 2**filter_bits bits
+    words = np.zeros((1 << bits) * block // 64 if small else 0, np.uint64)
+    heads, head_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for row in counts.select("slice", "head", "head_counts", *(["bits"] if small else [])).toLocalIterator():  # the filter's size and the head's in all
+        if small:
+            words[row["slice"] * block // 64 : (row["slice"] + 1) * block // 64] = np.frombuffer(row["bits"], np.uint64)
         heads.append(np.frombuffer(row["head"], np.uint64))
         head_counts.append(np.frombuffer(row["head_counts"], np.int64))
-        total, distinct, again = total + row["total"], distinct + row["distinct"], again + row["again"]
     h, n = np.concatenate(heads), np.concatenate(head_counts)
     order = np.argsort(h)
-    return Model(LogFilter(words, bits, rules.hashes), h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts"), bits)
-
-
-def _fill(block: LogFilter, h: np.ndarray, level: np.ndarray) -> None:
-    """Fill one slice's block: its places are those of the whole filter less the block's start."""
-    size = np.uint64(len(block.words) * 64)
-    for k in range(1, int(level.max(initial=0)) + 1):
-        some = h[level >= k]
-        x = tokens.mix(some ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        step = (x >> np.uint64(32)) | np.uint64(1)
-        for i in range(block.hashes):
-            p = (x + np.uint64(i) * step) % size
-            np.bitwise_or.at(block.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+    shared = LogFilter(words, bits, rules.hashes) if small else None
+    return Model(shared, h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts", "bits"), bits, kept, left_out)
 
 
 def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -> DataFrame:
@@ -235,6 +235,7 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     shared = spark.sparkContext.broadcast((model.log_filter, model.head, model.head_counts))
     total, distinct, bits, weight = model.total, model.distinct, model.slice_bits, model.bigram_weight
     below = np.log10(total + distinct + 1.0)
+    direct = model.log_filter is not None
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +251,9 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
                 count = np.where(in_head, head_counts[place] if len(head) else 0, 0)
                 known = in_head[at]
                 base = np.bincount(row, weights=np.where(known, np.log10(count + 1.0)[at] - below, 0.0), minlength=n)
-                rough = log_filter.count(own)[at]
-                context, pair = bigrams(h, row)
-                before = np.empty_like(rough)
-                before[1:] = rough[:-1]
-                before[:1] = log_filter.count(np.array([END]))
-                together = np.minimum(log_filter.count(pair), before)
-                single = (rough + 1.0) / (total + distinct + 1.0)
-                logs = np.log10(weight * together / np.maximum(before, 1.0) + (1 - weight) * np.minimum(single, 1.0))
+                logs = np.zeros(len(h))
+                if direct:
+                    logs = _logs(log_filter.count(own)[at], log_filter.count(bigrams(h, row)[1]), log_filter.count(np.array([END])), total + distinct, weight)
                 rest = np.flatnonzero(~known)
                 cuts = np.searchsorted(row[rest], np.arange(n + 1)) * 8
                 packed = h[rest].tobytes()
@@ -270,9 +266,13 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = scratch.table(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest binary"), "scored")
+    if not direct:
+        rows = scratch.table(rows.mapInArrow(_chunked, "chunk long, row long, doc_id long, text string"), "rows")
+    scored = scratch.table(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest binary"), "scored")
     rest = _rest(scored, model, bits, below)
     joined = scored.drop("rest").join(rest, "row", "left")
+    if not direct:
+        joined = joined.drop("score").join(_joined_scores(rows, model, rules), "row")
     fill = lambda name: F.coalesce(F.col(name), F.lit(0))
     return joined.select(
         "doc_id",
@@ -285,6 +285,63 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     )
 
 
+def _logs(rough: np.ndarray, pair: np.ndarray, end: np.ndarray, known: int, weight: float) -> np.ndarray:
+    """log10 of every token's probability from its count, its bigram's, and the end token's count."""
+    before = np.empty_like(rough)
+    before[1:] = rough[:-1]
+    before[:1] = end
+    together = np.minimum(pair, before)
+    single = (rough + 1.0) / (known + 1.0)
+    return np.log10(weight * together / np.maximum(before, 1.0) + (1 - weight) * np.minimum(single, 1.0))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with the number of its chunk, which is that of the chunk's first row."""
+    for batch in batches:
+        for part in tokens.chunks(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), part.column("row")[0].as_py())), *part.columns], names=["chunk", *part.schema.names])
+
+
+def _joined_scores(rows: DataFrame, model: Model, rules: Rules) -> DataFrame:
+    """row and score by a join with the filter's slices: each chunk's distinct n-grams go out by slice, and their levels come back."""
+    bits, known, weight = model.slice_bits, model.total + model.distinct, model.bigram_weight
+
+    def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, row = text_tokens(texts)
+        pair = bigrams(h, row)[1]
+        return h, row, pair, np.unique(np.concatenate((h, pair, [END])))
+
+    def asked(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        own = grams(table.column("text").combine_chunks())[3]
+        cuts = np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        used = np.flatnonzero(np.diff(cuts))
+        parts = [own[a:b].tobytes() for a, b in zip(cuts[used].tolist(), cuts[used + 1].tolist(), strict=True)]
+        return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk)), pa.array(parts, pa.binary())], names=["slice", "chunk", "hashes"])
+
+    def probed(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = right.column("bits").to_pylist()
+        block = LogFilter(np.frombuffer(words[0], np.uint64), 0, rules.hashes) if words else None
+        found = []
+        for raw in left.column("hashes"):
+            h = np.frombuffer(raw.as_py(), np.uint64)
+            found.append((block.level(h) if block else np.zeros(len(h), np.uint8)).tobytes())
+        return pa.table([left.column("slice"), left.column("chunk"), pa.array(found, pa.binary())], names=["slice", "chunk", "levels"])
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, row, pair, own = grams(left.column("text").combine_chunks())
+        right = right.sort_by("slice")  # a slice is the hash's upper bits, so that the levels follow the sorted hashes
+        count = _MIDDLES[np.frombuffer(b"".join(right.column("levels").to_pylist()), np.uint8)]
+        logs = _logs(count[np.searchsorted(own, h)], count[np.searchsorted(own, pair)], count[np.searchsorted(own, END)], known, weight)
+        return pa.table([left.column("row"), pa.array(np.bincount(row, weights=logs, minlength=len(left)))], names=["row", "score"])
+
+    texts = rows.select("chunk", "row", "text")
+    asks = texts.groupBy("chunk").applyInArrow(asked, "slice int, chunk long, hashes binary")
+    found = asks.groupBy("slice").cogroup(model.counts.select("slice", "bits").groupBy("slice")).applyInArrow(probed, "slice int, chunk long, levels binary")
+    # a slice that no document asks for gives no rows
+    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(summed, "row long, score double")
+
+
 def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame:
     """row, rest_known and rest_base: what the tokens outside of the head add to each row, by a join with their exact counts.
 
@@ -331,5 +388,5 @@ def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame
         return pa.table(summed(rows, known, base), schema=plain)
 
     left = scored.select("row", "rest").filter("length(rest) > 0").mapInArrow(dealt, "slice int, hashes binary, rows binary")
-    met_counts = left.groupBy("slice").cogroup(model.counts.groupBy("slice")).applyInArrow(met, "block long, rows binary, known binary, base binary")
+    met_counts = left.groupBy("slice").cogroup(model.counts.select("slice", "hashes", "counts").groupBy("slice")).applyInArrow(met, "block long, rows binary, known binary, base binary")
     return met_counts.groupBy("block").applyInArrow(added, "row long, rest_known long, rest_base double")

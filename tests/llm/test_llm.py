@@ -88,6 +88,19 @@ def test_lm_scores(spark, docs):
     assert lm_score.score(docs.limit(0), rules).count() == 0
 
 
+def test_lm_filter_grows_with_its_entries(spark):
+    some = [(i, f"rare{i} the common words rare{i}x and the common words", "en", "a") for i in range(300)]
+    d = fixtures.documents(spark, some)
+    wide, narrow = (lm_score.Rules(filter_bits=b, head=64, slice_docs=4) for b in (22, 8))
+    model = lm_score.train(d, narrow)
+    assert lm_score.train(d, wide).log_filter is not None and model.log_filter is None and model.kept >= model.distinct > 500
+    held = {i for i, *_ in some if zlib.crc32(str(i).encode()) % 7 == 2}
+    got, want = ({r.doc_id: r for r in lm_score.score(d, rules).collect()} for rules in (narrow, wide))
+    assert len(got) == len(some) and all((got[i].n_known, got[i].base_score) == (want[i].n_known, pytest.approx(want[i].base_score)) for i in got)
+    assert np.mean([got[i].score == pytest.approx(want[i].score) for i in got]) > 0.7  # false positives of the small slices aside
+    assert min(got[i].score for i in got if i not in held) > max(want[i].score for i in held)  # every rare word of the training is known
+
+
 def test_log_filter_holds_every_count():
     h, n = tokens.mix(np.arange(1000, dtype=np.uint64)), np.arange(1, 1001)
     f = lm_score.LogFilter(np.zeros(1 << 12, np.uint64), 0, 3)
