@@ -2,10 +2,11 @@
 
 Numbers, names (capitalised words inside a sentence) and units (unit words after a number) of benchmark items
 and documents become typed placeholders; windows of eight template tokens are hash-joined. Where windows of an
-item follow each other in a document, the values in their slots must correspond one to one: equal values of
-the item stand for equal values of the document. So verbatim passages and re-parameterised questions are found
-alike, and a template that is only filled by chance is not. An item counts as leaked into a document when enough
-of its windows are found that way.
+item follow each other in a document, equal values of the item must stand for equal values of the document; windows
+that hold a value which doesn't are left out, the others count (different values may become equal). So verbatim
+passages and re-parameterised questions are found alike, and a template that is only filled by chance is not. An item
+counts as leaked into a document when enough of its windows are found that way, or when a run of twice the window's
+tokens stands there with the item's own values.
 
 Windows without four literal tokens (for items of under eight tokens: three) identify nothing and are left out.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.llm import keyed, scratch, tokens
@@ -161,6 +162,17 @@ def item_windows(benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_windows long, length int, hash long, slots array<long>")
 
 
+def _longest_run(places: Column) -> Column:
+    """How many numbers of an array follow each other without a gap, at most."""
+    start = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda s: s["best"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, node (the text's hash), item_id, n_found, n_windows, exact and score of each item leaked into a document."""
     items = scratch.checkpoint(item_windows(benchmark, rules))
@@ -188,12 +200,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
     side = F.broadcast(items) if items.count() <= rules.broadcast_rows else items
     met = hits.join(side, ["hash", "length"]).withColumn("shift", F.col("at") - F.col("place"))
     pairs = F.transform(F.arrays_zip("slots", "values"), lambda p: F.struct(p["slots"].alias("i"), p["values"].alias("d")))
-    aligned = met.groupBy("doc_id", "node", "item_id", "n_windows", "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    side_of = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    one_to_one = (side_of("i") == F.size("pairs")) & (side_of("d") == F.size("pairs"))
-    aligned = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    found = aligned.groupBy("doc_id", "node", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"), F.min("same").alias("exact"))
-    return found.withColumn("score", F.col("n_found") / F.col("n_windows")).filter(F.col("score") >= rules.share)
+    aligned = met.groupBy("doc_id", "node", "item_id", "n_windows", "shift").agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("hits"))
+    values = F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))), lambda p: p["i"])
+    aligned = aligned.withColumn("values", values).withColumn("torn", F.filter(F.array_distinct("values"), lambda i: F.size(F.filter("values", lambda v: v == i)) > 1))
+    good = F.filter("hits", lambda h: ~F.arrays_overlap(F.transform(h["pairs"], lambda p: p["i"]), F.col("torn")))
+    verbatim = F.filter("hits", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"]))
+    aligned = aligned.select("doc_id", "node", "item_id", "n_windows", good.alias("good"), _longest_run(F.transform(verbatim, lambda h: h["place"])).alias("run"))
+    aligned = aligned.withColumn("places", F.transform("good", lambda h: h["place"])).withColumn("same", F.forall("good", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"])))
+    found = aligned.groupBy("doc_id", "node", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"), F.min("same").alias("exact"), F.max("run").alias("run"))
+    found = found.withColumn("score", F.col("n_found") / F.col("n_windows")).filter((F.col("score") >= rules.share) | (F.col("run") > rules.window))
+    return found.drop("run")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -145,6 +145,16 @@ def test_decontamination(spark, docs):
     assert decontaminate.drop_contaminated(docs, b.limit(0)).count() == docs.count() and decontaminate.leaks(docs.limit(0), b).count() == 0
 
 
+def test_a_changed_value_does_not_hide_the_rest(spark):
+    plain = "the farmer near the river counted his sheep every single morning before the sun came up over the long green hills and"
+    long = f"{plain} sold 12 of them and {plain.replace('farmer', 'miller')} sold 12 of them"
+    fruit = "a basket holds 3 apples and 5 pears when it is full to the brim"
+    texts = [long[::-1].replace("21", "7", 1)[::-1], fruit.replace("3", "4").replace("5", "4"), fruit.replace("apples", "plums").replace("pears", "figs").replace("full", "half")]
+    d = fixtures.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame([(1, long), (2, fruit)], "item_id long, text string")).collect()}
+    assert got == {(0, 1), (1, 2)}
+
+
 # 5
 
 
