@@ -8,7 +8,9 @@ passages and re-parameterised questions are found alike, and a template that is
 counts as leaked into a document when enough of its windows are found that way, or when a run of twice the window's
 tokens stands there with the item's own values.
 
-Windows without four literal tokens (for items of under eight tokens: three) identify nothing and are left out.
+The template of a window without four literal tokens (for items of under eight tokens: three) identifies nothing. Every
+window also has an exact hash of its tokens, values included, so that verbatim passages of figures and names are found
+too; the template windows found count as a share of the item's template windows, all windows as a share of all.
 
 Results for odd input: null or empty texts and items have no windows and never match; items of under three
 tokens can't be searched for; repeated documents or items give a row each pair of ids; null ids stay null; a
@@ -54,6 +56,7 @@ _UPPER[65:91] = True
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 _POINT[[ord("."), ord(",")]] = True
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_EXACT = np.uint64(0x9FB21C651E98DF25)
 _KINDS = tokens.mix(np.arange(0x5107, 0x510B, dtype=np.uint64))
 
 
@@ -112,14 +115,15 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 @dataclass
 class Windows:
-    """Hash, first token and length of the windows that identify something."""
+    """Hash, first token, length and sort of the windows that identify something: by their template, or by their very tokens."""
 
     h: np.ndarray
     at: np.ndarray
     n: np.ndarray
+    exact: np.ndarray
 
 
-def windows(template: np.ndarray, kind: np.ndarray, row: np.ndarray, n_rows: int, rules: Rules, lengths: list[int], short_only: bool) -> Windows:
+def windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, row: np.ndarray, n_rows: int, rules: Rules, lengths: list[int], short_only: bool) -> Windows:
     """Windows of the given lengths; short_only: those under the full length only for rows of just that many tokens (the items)."""
     per_row = np.bincount(row, minlength=n_rows)
     literals = np.concatenate(([0], np.cumsum(kind == 0)))
@@ -127,9 +131,11 @@ def windows(template: np.ndarray, kind: np.ndarray, row: np.ndarray, n_rows: int
     for n in lengths:
         h, at = tokens.windows(template, row, n)
         keep = literals[at + n] - literals[at] >= (rules.literals if n == rules.window else rules.shortest)
-        if n < rules.window and short_only:
-            keep &= per_row[row[at]] == n
-        found.append((h[keep], at[keep], np.full(int(keep.sum()), n)))
+        whole = per_row[row[at]] == n if n < rules.window and short_only else np.ones(len(at), bool)
+        keep &= whole
+        found.append((h[keep], at[keep], np.full(int(keep.sum()), n), np.zeros(int(keep.sum()), bool)))
+        h = tokens.mix(tokens.windows(literal, row, n)[0] ^ _EXACT)
+        found.append((h[whole], at[whole], np.full(int(whole.sum()), n), np.ones(int(whole.sum()), bool)))
     return Windows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -143,23 +149,23 @@ def _slots(w: Windows, literal: np.ndarray, kind: np.ndarray) -> pa.Array:
 
 
 def item_windows(benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """item_id, place, n_windows of its item, length, hash and slot values of every benchmark window."""
+    """item_id, place, n_template and n_windows of its item, length, hash, sort and slot values of every benchmark window."""
     lengths = list(range(rules.shortest, rules.window + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.chunks(batch):
                 template, literal, kind, row = templates(part.column("text"))
-                w = windows(template, kind, row, len(part), rules, lengths, True)
+                w = windows(template, literal, kind, row, len(part), rules, lengths, True)
                 rows = row[w.at] if len(w.at) else np.zeros(0, np.int64)
-                count = np.bincount(rows, minlength=len(part))
+                by_template, count = (np.bincount(rows[w.exact == x], minlength=len(part)) for x in (False, True))  # each place has an exact window
                 begin = np.searchsorted(row, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("item_id").take(pa.array(rows)), pa.array(w.at - begin), pa.array(count[rows].astype(np.int64)), pa.array(w.n.astype(np.int32)), pa.array(w.h.view(np.int64)), _slots(w, literal, kind)],
-                    names=["item_id", "place", "n_windows", "length", "hash", "slots"],
+                    [part.column("item_id").take(pa.array(rows)), pa.array(w.at - begin), pa.array(by_template[rows].astype(np.int64)), pa.array(count[rows].astype(np.int64)), pa.array(w.n.astype(np.int32)), pa.array(w.h.view(np.int64)), pa.array(w.exact), _slots(w, literal, kind)],
+                    names=["item_id", "place", "n_template", "n_windows", "length", "hash", "by_tokens", "slots"],
                 )
 
-    return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_windows long, length int, hash long, slots array<long>")
+    return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_template long, n_windows long, length int, hash long, by_tokens boolean, slots array<long>")
 
 
 def _longest_run(places: Column) -> Column:
@@ -184,9 +190,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
         for batch in batches:
             for part in tokens.chunks(batch):
                 template, literal, kind, row = templates(part.column("text"))
-                w = windows(template, kind, row, len(part), rules, lengths, False) if lengths else Windows(*(np.zeros(0, np.int64),) * 3)
+                w = windows(template, literal, kind, row, len(part), rules, lengths, False) if lengths else Windows(*(np.zeros(0, np.int64),) * 4)
                 keep = keyed.may_hold(words.value, w.h) if len(w.h) else np.zeros(0, bool)
-                w = Windows(w.h[keep], w.at[keep], w.n[keep])
+                w = Windows(w.h[keep], w.at[keep], w.n[keep], w.exact[keep])
                 if not len(w.h):
                     continue
                 rows = pa.array(row[w.at])
@@ -199,17 +205,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
     hits = source.mapInArrow(run, "doc_id long, node long, at long, length int, hash long, values array<long>").distinct()
     side = F.broadcast(items) if items.count() <= rules.broadcast_rows else items
     met = hits.join(side, ["hash", "length"]).withColumn("shift", F.col("at") - F.col("place"))
-    pairs = F.transform(F.arrays_zip("slots", "values"), lambda p: F.struct(p["slots"].alias("i"), p["values"].alias("d")))
-    aligned = met.groupBy("doc_id", "node", "item_id", "n_windows", "shift").agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("hits"))
+    own = F.transform("slots", lambda v: F.struct(v.alias("i"), v.alias("d")))
+    pairs = F.when(F.col("by_tokens"), own).otherwise(F.transform(F.arrays_zip("slots", "values"), lambda p: F.struct(p["slots"].alias("i"), p["values"].alias("d"))))
+    item = ["doc_id", "node", "item_id", "n_template", "n_windows"]
+    aligned = met.groupBy(*item, "shift").agg(F.collect_set(F.struct("place", "by_tokens", pairs.alias("pairs"))).alias("hits"))
     values = F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))), lambda p: p["i"])
     aligned = aligned.withColumn("values", values).withColumn("torn", F.filter(F.array_distinct("values"), lambda i: F.size(F.filter("values", lambda v: v == i)) > 1))
     good = F.filter("hits", lambda h: ~F.arrays_overlap(F.transform(h["pairs"], lambda p: p["i"]), F.col("torn")))
-    verbatim = F.filter("hits", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"]))
-    aligned = aligned.select("doc_id", "node", "item_id", "n_windows", good.alias("good"), _longest_run(F.transform(verbatim, lambda h: h["place"])).alias("run"))
-    aligned = aligned.withColumn("places", F.transform("good", lambda h: h["place"])).withColumn("same", F.forall("good", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"])))
-    found = aligned.groupBy("doc_id", "node", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"), F.min("same").alias("exact"), F.max("run").alias("run"))
-    found = found.withColumn("score", F.col("n_found") / F.col("n_windows")).filter((F.col("score") >= rules.share) | (F.col("run") > rules.window))
-    return found.drop("run")
+    verbatim = F.filter("hits", lambda h: h["by_tokens"])
+    aligned = aligned.select(*item, good.alias("good"), _longest_run(F.transform(verbatim, lambda h: h["place"])).alias("run"))
+    by_template = F.filter("good", lambda h: ~h["by_tokens"])
+    aligned = aligned.select(*item, "run", F.transform("good", lambda h: h["place"]).alias("places"), F.transform(by_template, lambda h: h["place"]).alias("templates"), F.forall("good", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"])).alias("same"))
+    number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
+    found = aligned.groupBy(*item).agg(number("places").alias("n_all"), number("templates").alias("n_by_template"), F.min("same").alias("exact"), F.max("run").alias("run"))
+    share, over_all = F.coalesce(F.try_divide("n_by_template", "n_template"), F.lit(0.0)), F.col("n_all") / F.col("n_windows")
+    counted = F.when(share >= over_all, F.struct(F.col("n_by_template").alias("n_found"), F.col("n_template").alias("n_windows"), share.alias("score"))).otherwise(F.struct(F.col("n_all").alias("n_found"), "n_windows", over_all.alias("score")))
+    found = found.withColumn("c", counted).filter((F.col("c.score") >= rules.share) | (F.col("run") > rules.window))
+    return found.select("doc_id", "node", "item_id", "c.n_found", "c.n_windows", "exact", "c.score")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:

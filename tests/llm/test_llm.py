@@ -155,6 +155,14 @@ def test_a_changed_value_does_not_hide_the_rest(spark):
     assert got == {(0, 1), (1, 2)}
 
 
+def test_items_of_figures_are_found_verbatim(spark):
+    items = ["Solve 3x + 5 = 20", "Compute 12 + 7 * 3 - 45 / 9 + 6", "Anna Bert Carl Dora Emil Fred Gina Hans Ida Jan 4 8 15 16 23 42"]
+    texts = [*(f"and then {x} was asked" for x in items), "and then Solve 3x + 5 = 21 was asked", "Compute 11 + 6 * 3 - 44 / 9 + 5"]
+    d = fixtures.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(0, 0, True), (1, 1, True), (2, 2, True)}
+
+
 # 5
 
 
