@@ -10,7 +10,9 @@ tokens stands there with the item's own values.
 
 The template of a window without four literal tokens (for items of under eight tokens: three) identifies nothing. Every
 window also has an exact hash of its tokens, values included, so that verbatim passages of figures and names are found
-too; the template windows found count as a share of the item's template windows, all windows as a share of all.
+too; the template windows found count as a share of the item's template windows, all windows as a share of all. So
+that changed words cost no more than themselves, an item also leaks when windows and verbatim runs of four tokens, in
+one alignment without conflicting values, cover that share of its tokens.
 
 Results for odd input: null or empty texts and items have no windows and never match; items of under three
 tokens can't be searched for; repeated documents or items give a row each pair of ids; null ids stay null; a
@@ -40,11 +42,12 @@ UNITS = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Window length, literal tokens it needs, share of an item's windows that make a leak, and the limits of what is broadcast."""
+    """Window length, literal tokens it needs, tokens of a short item and of a verbatim run at least, share of an item's windows or tokens that make a leak, and the limits of what is broadcast."""
 
     window: int = 8
     literals: int = 4
     shortest: int = 3
+    seed: int = 4
     share: float = 0.5
     filter_bits: int = 28
     broadcast_rows: int = 20_000
@@ -136,6 +139,9 @@ def windows(template: np.ndarray, literal: np.ndarray, kind: np.ndarray, row: np
         found.append((h[keep], at[keep], np.full(int(keep.sum()), n), np.zeros(int(keep.sum()), bool)))
         h = tokens.mix(tokens.windows(literal, row, n)[0] ^ _EXACT)
         found.append((h[whole], at[whole], np.full(int(whole.sum()), n), np.ones(int(whole.sum()), bool)))
+        if n == rules.seed and short_only:
+            part = per_row[row[at]] >= rules.window
+            found.append((h[part], at[part], np.full(int(part.sum()), n), np.ones(int(part.sum()), bool)))
     return Windows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -149,7 +155,7 @@ def _slots(w: Windows, literal: np.ndarray, kind: np.ndarray) -> pa.Array:
 
 
 def item_windows(benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """item_id, place, n_template and n_windows of its item, length, hash, sort and slot values of every benchmark window."""
+    """item_id, place, n_template, n_windows and n_tokens of its item, length, hash, sort and slot values of every benchmark window."""
     lengths = list(range(rules.shortest, rules.window + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +164,16 @@ def item_windows(benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 template, literal, kind, row = templates(part.column("text"))
                 w = windows(template, literal, kind, row, len(part), rules, lengths, True)
                 rows = row[w.at] if len(w.at) else np.zeros(0, np.int64)
-                by_template, count = (np.bincount(rows[w.exact == x], minlength=len(part)) for x in (False, True))  # each place has an exact window
+                size = np.bincount(row, minlength=len(part))
+                seed = (w.n < rules.window) & (size[rows] >= rules.window)
+                by_template, count = (np.bincount(rows[(w.exact == x) & ~seed], minlength=len(part)) for x in (False, True))  # each place has an exact window
                 begin = np.searchsorted(row, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("item_id").take(pa.array(rows)), pa.array(w.at - begin), pa.array(by_template[rows].astype(np.int64)), pa.array(count[rows].astype(np.int64)), pa.array(w.n.astype(np.int32)), pa.array(w.h.view(np.int64)), pa.array(w.exact), _slots(w, literal, kind)],
-                    names=["item_id", "place", "n_template", "n_windows", "length", "hash", "by_tokens", "slots"],
+                    [part.column("item_id").take(pa.array(rows)), pa.array(w.at - begin), pa.array(by_template[rows].astype(np.int64)), pa.array(count[rows].astype(np.int64)), pa.array(size[rows].astype(np.int64)), pa.array(w.n.astype(np.int32)), pa.array(w.h.view(np.int64)), pa.array(w.exact), pa.array(seed), _slots(w, literal, kind)],
+                    names=["item_id", "place", "n_template", "n_windows", "n_tokens", "length", "hash", "by_tokens", "seed", "slots"],
                 )
 
-    return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_template long, n_windows long, length int, hash long, by_tokens boolean, slots array<long>")
+    return benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").mapInArrow(run, "item_id long, place long, n_template long, n_windows long, n_tokens long, length int, hash long, by_tokens boolean, seed boolean, slots array<long>")
 
 
 def _longest_run(places: Column) -> Column:
@@ -179,8 +187,19 @@ def _longest_run(places: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda s: s["best"])
 
 
+def _covered(hits: Column) -> Column:
+    """How many tokens the (place, length) pairs of an array cover."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        end = F.greatest(s["end"], x["place"] + x["length"])
+        return F.struct(end.alias("end"), (s["n"] + end - F.greatest(s["end"], x["place"])).alias("n"))
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, node (the text's hash), item_id, n_found, n_windows, exact and score of each item leaked into a document."""
+    """doc_id, node (the text's hash), item_id, n_found, n_windows, exact and score (share of windows or of tokens, the greater) of each item leaked into a document."""
     items = scratch.checkpoint(item_windows(benchmark, rules))
     spark = docs.sparkSession
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most the window's length
@@ -207,21 +226,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
     met = hits.join(side, ["hash", "length"]).withColumn("shift", F.col("at") - F.col("place"))
     own = F.transform("slots", lambda v: F.struct(v.alias("i"), v.alias("d")))
     pairs = F.when(F.col("by_tokens"), own).otherwise(F.transform(F.arrays_zip("slots", "values"), lambda p: F.struct(p["slots"].alias("i"), p["values"].alias("d"))))
-    item = ["doc_id", "node", "item_id", "n_template", "n_windows"]
-    aligned = met.groupBy(*item, "shift").agg(F.collect_set(F.struct("place", "by_tokens", pairs.alias("pairs"))).alias("hits"))
-    values = F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))), lambda p: p["i"])
+    item = ["doc_id", "node", "item_id", "n_template", "n_windows", "n_tokens"]
+    aligned = met.groupBy(*item, "shift").agg(F.collect_set(F.struct("place", "length", "by_tokens", "seed", pairs.alias("pairs"))).alias("hits"))
+    values = F.transform(F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: ~h["by_tokens"]), lambda h: h["pairs"]))), lambda p: p["i"])  # as the templates have them
     aligned = aligned.withColumn("values", values).withColumn("torn", F.filter(F.array_distinct("values"), lambda i: F.size(F.filter("values", lambda v: v == i)) > 1))
     good = F.filter("hits", lambda h: ~F.arrays_overlap(F.transform(h["pairs"], lambda p: p["i"]), F.col("torn")))
-    verbatim = F.filter("hits", lambda h: h["by_tokens"])
-    aligned = aligned.select(*item, good.alias("good"), _longest_run(F.transform(verbatim, lambda h: h["place"])).alias("run"))
+    verbatim = F.filter("hits", lambda h: h["by_tokens"] & ~h["seed"])
+    covered = F.when(F.size("torn") == 0, _covered(F.transform("hits", lambda h: F.struct(h["place"], h["length"])))).otherwise(F.lit(0).cast("long"))
+    aligned = aligned.select(*item, covered.alias("covered"), F.filter(good, lambda h: ~h["seed"]).alias("good"), _longest_run(F.transform(verbatim, lambda h: h["place"])).alias("run"))
     by_template = F.filter("good", lambda h: ~h["by_tokens"])
-    aligned = aligned.select(*item, "run", F.transform("good", lambda h: h["place"]).alias("places"), F.transform(by_template, lambda h: h["place"]).alias("templates"), F.forall("good", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"])).alias("same"))
+    aligned = aligned.select(*item, "run", "covered", F.transform("good", lambda h: h["place"]).alias("places"), F.transform(by_template, lambda h: h["place"]).alias("templates"), F.forall("good", lambda h: F.forall(h["pairs"], lambda p: p["i"] == p["d"])).alias("same"))
     number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
-    found = aligned.groupBy(*item).agg(number("places").alias("n_all"), number("templates").alias("n_by_template"), F.min("same").alias("exact"), F.max("run").alias("run"))
+    found = aligned.groupBy(*item).agg(number("places").alias("n_all"), number("templates").alias("n_by_template"), F.min("same").alias("exact"), F.max("run").alias("run"), F.max("covered").alias("covered"))
     share, over_all = F.coalesce(F.try_divide("n_by_template", "n_template"), F.lit(0.0)), F.col("n_all") / F.col("n_windows")
     counted = F.when(share >= over_all, F.struct(F.col("n_by_template").alias("n_found"), F.col("n_template").alias("n_windows"), share.alias("score"))).otherwise(F.struct(F.col("n_all").alias("n_found"), "n_windows", over_all.alias("score")))
-    found = found.withColumn("c", counted).filter((F.col("c.score") >= rules.share) | (F.col("run") > rules.window))
-    return found.select("doc_id", "node", "item_id", "c.n_found", "c.n_windows", "exact", "c.score")
+    found = found.withColumn("c", counted).withColumn("score", F.greatest("c.score", F.col("covered") / F.col("n_tokens"))).withColumn("exact", F.col("exact") & (F.col("n_all") > 0)).filter((F.col("score") >= rules.share) | (F.col("run") > rules.window))
+    return found.select("doc_id", "node", "item_id", "c.n_found", "c.n_windows", "exact", "score")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:

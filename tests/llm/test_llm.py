@@ -163,6 +163,16 @@ def test_items_of_figures_are_found_verbatim(spark):
     assert got == {(0, 0, True), (1, 1, True), (2, 2, True)}
 
 
+def test_near_copies_and_long_passages_are_found(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    short, long = words[:15], words[20:59] + [x + "z" for x in words[:20]]
+    changed = lambda w, *at: " ".join("other" if i in at else x for i, x in enumerate(w))
+    texts = [changed(short, 7), changed(long, 6, 13, 20, 27, 34, 41, 48, 55), " ".join(long[15:45]), " ".join(long[:6] + long[30:36])]
+    d = fixtures.documents(spark, [(i, f"before {t} after", "en", "a") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")).collect()}
+    assert got == {(0, 1), (1, 2), (2, 2)}
+
+
 # 5
 
 
