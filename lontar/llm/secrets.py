@@ -3,7 +3,8 @@
 Base patterns find assigned passwords, access keys and long hex strings. The method adds
 spans: over candidate strings it slides a window whose Shannon entropy is kept up to date
 by incremental counts (one character in, one out, so a step costs O(1)), with a threshold
-for each character class. An allow-list suppresses known harmless strings among them.
+for each character class (hexadecimal strings also need three digits). An allow-list suppresses known harmless strings
+among them: whole candidates, segments of paths, and hot ranges.
 
 Results for odd input: a null or empty text has no spans; repeated rows give equal rows; a null
 doc_id stays null; other columns are ignored. Texts of any length are scanned whole.
@@ -96,19 +97,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def not_allowed(string: str, rules: EntropyRules) -> list[tuple[int, str]]:
+    """Start and text of what remains of a candidate: all of it, or of an allowed one the runs of path segments that aren't allowed."""
+    if not rules.allowed(string):
+        return [(0, string)]
+    runs, at, begin = [], 0, None
+    for segment in [*string.split("/"), ""]:  # the last one ends a run
+        if segment and not rules.allowed(segment):
+            begin = at if begin is None else begin
+        elif begin is not None:
+            runs.append((begin, string[begin : at - 1]))
+            begin = None
+        at += len(segment) + 1
+    return [(a, s) for a, s in runs if len(s) >= rules.window]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], rules: EntropyRules) -> list[tuple[int, int, int]]:
     """High-entropy parts of candidate strings that touch no base span and aren't allowed."""
     spans = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if sum(map(str.isdigit, s)) < rules.least_digits or rules.allowed(s):
-            continue
-        hexadecimal = not s.lower().strip("0123456789abcdef")
-        for a, b in hot_windows(s, rules.window, rules.least_hex if hexadecimal else rules.least_base64):
-            part = s[a:b]
-            if sum(map(str.isdigit, part)) < rules.least_digits or rules.allowed(part):
-                continue
-            spans.append((m.start() + a, 3 if hexadecimal else 4, m.start() + b))
+        for at, s in not_allowed(m[0], rules):
+            hexadecimal = not s.lower().strip("0123456789abcdef")
+            for a, b in hot_windows(s, rules.window, rules.least_hex if hexadecimal else rules.least_base64):
+                part = s[a:b]
+                if hexadecimal and sum(map(str.isdigit, part)) < rules.least_digits or rules.allowed(part):
+                    continue
+                spans.append((m.start() + at + a, 3 if hexadecimal else 4, m.start() + at + b))
     return [x for x in spans if not any(x[0] < e and s < x[2] for s, _, e in base)] if base else spans
 
 

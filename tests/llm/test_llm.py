@@ -65,6 +65,15 @@ def test_secret_spans(spark, docs):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_keys_with_few_digits_and_in_paths():
+    kinds = lambda text: [(k, text[s:e]) for s, k, e in secrets.scan_text(text)[1]]
+    key = "qBRzkLmXp7TbhKsWfnYcjPdEv"
+    assert kinds(f"go {key} on") == [(4, key)]
+    for path in ("config/example/prod/", "/config/prod/"):
+        assert kinds(f"see {path}{key} on") == [(4, key)]
+    assert not kinds("see /config/example/prod/some-long-name-of-a-file and averylongwordwithoutanydigits")
+
+
 # 2
 
 
