@@ -125,3 +125,15 @@ def test_evidence_is_located_for_every_turn(spark, tmp_path):
     spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r.field, r.block_id) for r in catalog.QUERIES["evidence_located"](spark, str(tmp_path)).collect()}
     assert got == {(f"f{t}", f"b{t}") for t in range(6)}
+
+
+def test_identifiers_and_numbers_become_candidates(spark):
+    from lontar.operators import evidence
+
+    v = [(1, "a", "AB12.34CD"), (2, "b", "HKT81O"), (3, "c", "1,499.4"), (4, "d", "1.499,4")]
+    b = [(1, "No. AB1234CD"), (2, "HKT810"), (3, "1499.6"), (4, "jumlah 1.499,6")]
+    values = spark.createDataFrame(v, "doc int, field string, value string")
+    blocks = spark.createDataFrame([(d, "x", 0, t, 0.95) for d, t in b], "doc int, block_id string, ordinal int, text string, confidence double")
+    sure = {r.doc for r in evidence.scored(values.join(blocks.withColumnRenamed("text", "block"), "doc")).filter("score > 0").collect()}
+    got = {r.doc for r in evidence.scored(evidence.candidates(values, blocks, "doc")).filter("score > 0").collect()}
+    assert got == sure and {1, 2} <= got and got & {3, 4}
