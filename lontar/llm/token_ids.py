@@ -44,14 +44,15 @@ class Encoder:
     """Ids by the tokenizers library, with a bounded memo (in two ages) of what it gave for each space-led piece.
 
     The pre-tokenizer never joins a space to what stands before it, so a text cut before each single space
-    gives the same ids piece by piece; texts in which a space follows white space go to the library whole.
+    gives the same ids piece by piece; texts in which a space follows white space, or that hold an added token's
+    text, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes | None] = {"": b""}
         self.older: dict[str, bytes | None] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -94,7 +95,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """uint32 ids of each text, without the end id."""
-        pieces = [text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
+        pieces = [text.replace(" ", "\0 ").split("\0") if "\0" not in text and not any(x in text for x in self.added) else None for text in texts]
         new = {w for words in pieces if words for w in words if w not in self.memo}
         if len(self.memo) + len(new) > CACHE_ENTRIES // 2:
             self.older, self.memo = self.memo, {"": b""}

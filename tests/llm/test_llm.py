@@ -291,6 +291,15 @@ def test_memo_gives_the_library_s_ids():
     assert encode(texts) == want and encode(texts[::-1]) == want[::-1]
 
 
+def test_added_tokens_get_their_ids():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a <|endoftext b", "x y<|endoftext|>, z"]
+    plain = Tokenizer.from_file(path)
+    assert token_ids.Encoder(path)(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 # 9
 
 
