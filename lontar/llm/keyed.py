@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BITS = 28
+SEEN_KEYS = 500_000
 
 
 def key_bits(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
@@ -37,19 +38,28 @@ def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _split(df: DataFrame, column: str, shared, wanted: bool) -> DataFrame:
+def _split(df: DataFrame, column: str, shared, wanted: bool, once: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             keys = batch.column(column)
             held = may_hold(shared.value, keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(held == wanted))
+            keep = held == wanted
+            if once:
+                if len(seen) > SEEN_KEYS:
+                    seen = set()
+                for i in np.flatnonzero(keep).tolist():
+                    key = keys[i].as_py()
+                    keep[i] = key not in seen
+                    seen.add(key)
+            yield batch.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
 
 
-def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose long column may be among the keys' (all that are, and a few more)."""
-    return _split(df, column, df.sparkSession.sparkContext.broadcast(key_bits(keys, column)), True)
+def among(df: DataFrame, column: str, keys: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of df whose long column may be among the keys' (all that are, and a few more); once: a task leaves out most repeats of a key."""
+    return _split(df, column, df.sparkSession.sparkContext.broadcast(key_bits(keys, column)), True, once)
 
 
 def without(df: DataFrame, column: str, bad: DataFrame, on: list[str]) -> DataFrame:

@@ -14,6 +14,8 @@ be similar: a node's shingles that no other open node has are lost for every ove
 to any of them, and leaves out the far ends of large clouds of edited copies without comparing them.
 Classes are the connected components of the verified links.
 
+A text is worked through in pieces of words and shingles, so a very long one needs about 40 bytes a word and no more.
+
 Results for odd input: words are lower-cased and split at ASCII white space; a text of one to four words is a
 single shingle; null texts and texts without words are classes of their own; equal texts always share a class;
 class_id is the least non-null doc_id of the class (null if there is none); repeated rows get equal rows; rows
@@ -30,21 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm import keyed, scratch, tokens
+from lontar.llm import keyed, names, scratch, tokens
 from lontar.llm.components import components
 
 SHINGLE = 5
+ELEMENTS = 100_000
+ROWS = 1024
+POINTS = 16_384
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """Least similarity, bands and their width, and the nodes of a large bucket that are compared as one block."""
+    """Least similarity, bands and their width, the nodes of a large bucket that are compared as one block, and whether the second step may pass over pairs by their sketches."""
 
     similarity: float = 0.8
     bands: int = 42
     width: int = 6
-    block: int = 256
+    block: int = 1024
+    sketch: bool = True
 
     @property
     def components(self) -> int:
@@ -59,9 +65,14 @@ class NearDup:
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, hash and count of every distinct shingle of every row, sorted by row and hash."""
-    data, offsets = tokens.utf8(column)
-    start, end, bounds = tokens.word_bounds(data, offsets)
-    hashes, rows, counts = tokens.word_hashes(data, start, end), tokens.rows_of_words(bounds), np.diff(bounds)
+    hashes, bounds = tokens.hashed_words(*tokens.utf8(column))
+    if len(column) == 1 and len(hashes) > SHINGLE:  # as below, without arrays for the row
+        h = tokens.runs(hashes, SHINGLE)
+        del hashes
+        h.sort()
+        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return np.zeros(len(new), np.int64), h[new], np.diff(np.append(new, len(h)))
+    rows, counts = tokens.rows_of_words(bounds), np.diff(bounds)
     h, at = tokens.windows(hashes, rows, SHINGLE)
     found, where = [h], [rows[at]]
     for n in range(1, SHINGLE):
@@ -84,6 +95,20 @@ def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, n_rows: int, m
     weight = np.bincount(row, weights=count, minlength=n_rows)
     with np.errstate(divide="ignore"):
         until = m * (np.log(m) + 3) / weight
+    todo = weight > 0
+    while todo.any():
+        for at in range(0, len(h), ELEMENTS):
+            part = np.flatnonzero(todo[row[at : at + ELEMENTS]]) + at
+            _race(row[part], h[part], count[part], until, best, ids, m)
+        todo &= np.isinf(best.reshape(n_rows, m)).any(1)
+        until = until * 4  # a point's time and place don't depend on how far its process is followed
+        again = todo.repeat(m)
+        best[again], ids[again] = np.inf, 0
+    return ids.reshape(n_rows, m)
+
+
+def _race(row: np.ndarray, h: np.ndarray, count: np.ndarray, until: np.ndarray, best: np.ndarray, ids: np.ndarray, m: int) -> None:
+    """Follow the processes of some shingles up to their rows' time limits; each round's points go into best and ids at once."""
     ranges = 1 + np.ceil(np.log2(count)).astype(np.int64)
     element = np.repeat(np.arange(len(h)), ranges)
     level = np.arange(len(element)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
@@ -91,39 +116,29 @@ def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, n_rows: int, m
     rate = np.where(level == 0, 1.0, low)
     seed = tokens.mix(h[element] ^ tokens.mix(level.astype(np.uint64) + np.uint64(1)))
     owner, most = row[element], count[element].astype(np.float64)
-    active = np.arange(len(element))
-    while len(active):
-        _race(active, seed, rate, low, most, owner, until, best, ids, m)
-        missing = np.isinf(best.reshape(n_rows, m)).any(1) & (weight > 0)
-        until = until * 4  # a point's time and place don't depend on how far its process is followed
-        active = np.flatnonzero(missing[owner])
-        if len(active):
-            again = missing.repeat(m)
-            best[again], ids[again] = np.inf, 0
-    return ids.reshape(n_rows, m)
-
-
-def _race(active, seed, rate, low, most, owner, until, best, ids, m) -> None:
-    """Follow the active processes up to their rows' time limits, and keep the earliest point of each component."""
-    seed, rate, low, most, owner = (x[active] for x in (seed, rate, low, most, owner))
-    limit, time, k = until[owner], np.zeros(len(active)), 0
-    found = []
+    time, limit, k = np.zeros(len(seed)), until[owner], 0
     while len(seed):
-        k += 1
-        r = tokens.mix(seed + np.uint64(k * _GOLDEN & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-        go = time <= limit
-        if not go.all():
-            seed, rate, low, most, owner, limit, time, r = (x[go] for x in (seed, rate, low, most, owner, limit, time, r))
-        place = tokens.mix(r ^ np.uint64(_GOLDEN))
-        under = low + rate * ((place & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32) < most
-        component = ((place >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        slot = owner * m + component
-        found.append((slot[under], time[under], r[under]) if not under.all() else (slot, time, r))
-    slot, time, r = (np.concatenate(x) for x in zip(*found, strict=True))
-    np.minimum.at(best, slot, time)
-    first = time == best[slot]
-    ids[slot[first]] = r[first]
+        points = max(1, min(64, POINTS // len(seed)))  # of each process in this round
+        step = np.arange(k + 1, k + points + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+        k += points
+        r = tokens.mix(seed[:, None] + step) if points > 1 else tokens.mix(seed + step)[:, None]
+        times = np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -rate[:, None]
+        times[:, 0] += time
+        times = np.cumsum(times, axis=1) if points > 1 else times
+        go = times <= limit[:, None]
+        who, point, when = np.nonzero(go)[0], r[go], times[go]
+        place = tokens.mix(point ^ np.uint64(_GOLDEN))
+        slot = owner[who] * m + ((place >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        ahead = when < best[slot]
+        if low.any():  # of a range above the first, not all places are under the count
+            ahead &= low[who] + rate[who] * ((place & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32) < most[who]
+        slot, point, when = slot[ahead], point[ahead], when[ahead]
+        np.minimum.at(best, slot, when)
+        first = when == best[slot]
+        ids[slot[first]] = point[first]
+        go = go[:, -1]
+        time = times[go, -1]
+        seed, rate, low, most, owner, limit = (x[go] for x in (seed, rate, low, most, owner, limit))
 
 
 def band_keys(ids: np.ndarray, bands: int, width: int) -> np.ndarray:
@@ -148,7 +163,7 @@ def _features(docs: DataFrame, rules: NearDup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.chunks(batch):
+            for part in tokens.chunks(batch, most_rows=ROWS):
                 row, h, count = shingles(part.column("text"))
                 n = len(part)
                 ids = signatures(row, h, count, n, rules.components)
@@ -177,10 +192,15 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.divide(both, total - both, out=np.zeros(n), where=total > both)
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the nodes, once each; copies of a text go no further than the task that reads them."""
+    some = keyed.among(_nodes(docs).filter("text is not null").select("node", "text"), "node", nodes, once=True)
+    return some.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rules: NearDup) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the similarity."""
-    needed = scratch.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = scratch.table(keyed.among(_nodes(docs).filter("text is not null").select("node", "text"), "node", needed).dropDuplicates(["node"]), "texts")
+    texts = scratch.table(_texts(docs, scratch.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "texts")
     least = rules.similarity - 1e-12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +257,21 @@ def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: Dat
     dealt = scratch.checkpoint(some.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))))
     columns = ["node", "root", "weight", "shared", "sketch", "bands"]
 
-    def packed(rows: DataFrame, side: str) -> DataFrame:
-        listed = rows.groupBy("key", "block").agg(F.collect_list(F.struct(*columns)).alias("l"))
-        return listed.select("key", *[F.expr(f"transform(l, x -> x.{c})").alias(f"{c}_{side}") for c in columns])
+    def packed(rows: DataFrame, side: str, other: str) -> DataFrame:
+        """A row for each block and each block of the other side that it meets, so that every pair of blocks is a key of its own."""
+        listed = rows.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("l"))
+        met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        return listed.select("key", F.col("block").cast("int").alias(f"block_{side}"), met.alias(f"block_{other}"), *[F.expr(f"transform(l, x -> x.{c})").alias(f"{c}_{side}") for c in columns])
 
-    return _alike(packed(dealt.filter("root <> main"), "a").join(packed(dealt, "b"), "key"), rules)
+    return _alike(packed(dealt.filter("root <> main"), "a", "b").join(packed(dealt, "b", "a"), ["key", "block_a", "block_b"]), rules)
 
 
 def _alike(blocks: DataFrame, rules: NearDup) -> DataFrame:
     """Of a block of nodes and another of the same bucket: the pairs of different classes that may be similar.
 
-    Only these leave the task, each from the first band that its nodes have in common. They must agree in enough components and share enough weight; a block has about
-    rules.block nodes, so a bucket of any size is dealt over many tasks.
+    Only these leave the task, each from the first band that its nodes have in common. They must share enough weight and,
+    unless rules.sketch is off, agree in enough components; a block has about rules.block nodes and each pair of blocks
+    is a task's row, so a bucket of any size is dealt over many tasks.
     """
 
     def column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -264,7 +287,7 @@ def _alike(blocks: DataFrame, rules: NearDup) -> DataFrame:
                 for k in range(len(x)):
                     most = np.minimum(a["shared"][k], b["shared"])
                     ok = np.flatnonzero((a["root"][k] != b["root"]) & (most >= (a["weight"][k] + b["weight"] - most) * (rules.similarity - 1e-9)))
-                    ok = ok[(y[ok] == x[k]).sum(1) >= rules.least_agreement]
+                    ok = ok[(y[ok] == x[k]).sum(1) >= rules.least_agreement] if rules.sketch else ok
                     ok = ok[own[k][(other[ok] == own[k]).argmax(1)] == key]
                     if len(ok):
                         here, there = np.full(len(ok), a["node"][k]), b["node"][ok]
@@ -282,8 +305,7 @@ def _shared_weights(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 row, h, count = shingles(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(count)], names=["node", "h", "n"])
 
-    texts = keyed.among(_nodes(docs).filter("text is not null").select("node", "text"), "node", nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    each = scratch.table(texts.mapInArrow(run, "node long, h long, n long"), "shingles")
+    each = scratch.table(_texts(docs, nodes).mapInArrow(run, "node long, h long, n long"), "shingles")
     lone = each.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n")).filter("nodes = 1").groupBy("node").agg(F.sum("n").alias("lone"))
     total = each.groupBy("node").agg(F.sum("n").alias("weight"))
     out = scratch.checkpoint(total.join(lone, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("lone", F.lit(0))).alias("shared")))
@@ -307,15 +329,15 @@ def classes(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id (one of its repeated rows) stays."""
-    found = scratch.checkpoint(classes(docs, rules).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "class_id", "class_size"))
-    keys = ["__node", "__id"]
-    drop = found.filter("not (__id <=> class_id)").select(*keys).distinct()
-    repeated = found.filter("__id <=> class_id and class_size > 1").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = scratch.checkpoint(classes(docs, rules))
+    first, keys = F.col("doc_id").eqNullSafe(F.col("class_id")), ["node", "doc_id"]
+    drop = found.filter(~first).select(*keys).distinct()
+    repeated = found.filter(first & (F.col("class_size") > 1)).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = scratch.checkpoint(drop.union(repeated))
-    staged = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = keyed.without(staged, "__node", gone, keys)
+    staged = names.plain(docs, node=F.xxhash64(F.col("text").cast("string")), doc_id=F.col("doc_id").cast("long"))
+    left = keyed.without(staged, "node", gone, keys)
     if not repeated.isEmpty():
         back = scratch.checkpoint(repeated).alias("back")
-        same = staged["__node"].eqNullSafe(back["__node"]) & staged["__id"].eqNullSafe(back["__id"])
-        kept = kept.unionByName(staged.join(back, same, "left_semi").dropDuplicates(keys))
-    return kept.select(*docs.columns)
+        same = staged["node"].eqNullSafe(back["node"]) & staged["doc_id"].eqNullSafe(back["doc_id"])
+        left = left.unionByName(staged.join(back, same, "left_semi").dropDuplicates(keys))
+    return names.restored(left, docs)
