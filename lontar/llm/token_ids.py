@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,86 +34,132 @@ LIMIT = 16
 STEP = 64
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-CACHE_ENTRIES = 1_000_000
+MEMO_ENTRIES = 1_000_000
+CHUNK_BYTES, CHUNK_ROWS, SLAB = 1_000_000, 4096, 200_000
 GROUP = 2000
 # Marks that may end a piece; the pre-tokenizer always cuts between a letter or digit and one of them.
-_MARKS = ".,;:!?%$#&*+=/|)]}>\""
+_MARK, _PLAIN, _BLANK, _WHITE_END, _CUT = (np.zeros(256, bool) for _ in range(5))
+_CUT[[0x20, *range(0x09, 0x0E)]] = True
+_MARK[[ord(c) for c in ".,;:!?%$#&*+=/|)]}>\""]] = True
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_WHITE_END[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True  # last bytes of white space beyond ASCII
 _HEAD = struct.Struct("<4sIQI")
 
 
 class Encoder:
-    """Ids by the tokenizers library, with a bounded memo (in two ages) of what it gave for each space-led piece.
+    """Ids by the tokenizers library, with a bounded memo of what it gave for each piece.
 
-    The pre-tokenizer never joins a space to what stands before it, so a text cut before each single space
-    gives the same ids piece by piece; texts in which a space follows white space, or that hold an added token's
-    text, go to the library whole.
+    The pre-tokenizer never joins white space to what stands before it, unless that is white space too, so a text cut
+    before each run of white space, and before the marks that close a word, gives the same ids piece by piece. Texts
+    that hold an added token's text go to the library whole. Pieces are known by 64-bit hashes of their bytes; the memo is
+    sorted arrays of hashes and places in a pool of ids, and is begun anew with a chunk's own pieces when it is full.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes | None] = {"": b""}
-        self.older: dict[str, bytes | None] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.byte_lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
         for token, i in vocabulary.items():
             self.byte_lengths[i] = len(token)
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encoded_together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of space-led pieces: some thousand are encoded as one text and cut where each piece's bytes end."""
-        out: list[bytes] = []
-        groups = [pieces[k : k + GROUP] for k in range(0, len(pieces), GROUP)]
-        for group, done in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(done.ids, "<u4")
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in group])
-            cuts = (4 * np.searchsorted(np.cumsum(self.byte_lengths[ids]), ends) + 4).tolist()
-            raw = ids.tobytes()
-            out += [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
+        self.keys, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of some pieces, where each begins there and how many it has; those led by white space are encoded some thousand as one text and cut by bytes."""
+        led = np.array([_CUT[x[0]] and x[-1] < 0x80 and not _BLANK[x[-1]] for x in raw], bool)
+        counts, order = np.zeros(len(raw), np.int64), np.argsort(~led, kind="stable")
+        n = int(led.sum())
+        groups = [[raw[i] for i in order[k : min(k + GROUP, n)].tolist()] for k in range(0, n, GROUP)]
+        ids = self._encoded([b"".join(g).decode() for g in groups])
+        for k, (group, got) in enumerate(zip(groups, ids, strict=True)):
+            cuts = np.searchsorted(np.cumsum(self.byte_lengths[got]), np.cumsum([len(x) for x in group])) + 1
+            counts[order[k * GROUP : k * GROUP + len(group)]] = np.diff(cuts, prepend=0)
+        rest = self._encoded([raw[i].decode() for i in order[n:].tolist()])
+        counts[order[n:]] = [len(x) for x in rest]
+        first = np.empty(len(raw), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([np.zeros(0, np.uint32), *ids, *rest]), first, counts
+
+    def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts of data, and how many each has."""
+        own, sample, at = np.unique(tokens.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, own)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != own) if len(self.keys) else np.arange(len(own))
+        if len(new):
+            if len(self.keys) + len(new) > MEMO_ENTRIES:
+                self.keys, self.first, self.count, self.pool = self.keys[:0], self.first[:0], self.count[:0], self.pool[:0]
+                return self._known(data, start, end) if len(new) < len(own) else self._learned(data, start, end, own, sample, at, new, place * 0)
+            return self._learned(data, start, end, own, sample, at, new, place)
+        return self._taken(place, at)
+
+    def _learned(self, data, start, end, own, sample, at, new, place) -> tuple[np.ndarray, np.ndarray]:
+        ids, first, counts = self._pieces([data[a:b].tobytes() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+        self.first = np.insert(self.first, place[new], len(self.pool) + first)
+        self.count = np.insert(self.count, place[new], counts)
+        self.keys = np.insert(self.keys, place[new], own[new])
+        self.pool = np.concatenate((self.pool, ids))
+        return self._taken(np.searchsorted(self.keys, own), at)
+
+    def _taken(self, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.count[place][at]
+        ends = np.cumsum(counts)
+        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place][at] - ends + counts, counts)
+        return self.pool[index], counts
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """uint32 ids of each text (null: none), without the end id."""
+        data, offsets = tokens.utf8(column)
+        n = len(column)
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * n
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        space = _CUT[data]
+        space[:1] = False
+        space[1:] &= ~first[1:-1]
+        places = np.flatnonzero(space)
+        before = data[places - 1]
+        odd = _BLANK[before] | (_WHITE_END[before] & (data[np.maximum(places - 2, 0)] >= 0x80))
+        space[places[odd]] = False
+        whole = np.zeros(n, bool)
+        for word in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, word), False).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(space | first[:-1])
+        row = np.searchsorted(offsets, start, "right") - 1
+        end = np.append(start[1:], len(data))
+        keep = ~whole[row]
+        start, end, row = start[keep], end[keep], row[keep]
+        marks = end.copy()
+        for _ in range(3):
+            more = (marks > start) & _MARK[data[marks - 1]]
+            marks[more] -= 1
+        last = data[np.maximum(marks - 1, 0)]
+        lead = data[np.maximum(marks - 2, 0)]
+        worded = _PLAIN[last] | ((last >= 0x80) & (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC8))))
+        closed = (marks < end) & (marks > start) & worded
+        parts = 1 + closed.astype(np.int64)
+        at = np.cumsum(parts) - parts
+        starts, ends, rows = np.repeat(start, parts), np.repeat(end, parts), np.repeat(row, parts)
+        ends[at[closed]] = marks[closed]
+        starts[at[closed] + 1] = marks[closed]
+        found = [self._known(data, starts[k : k + SLAB], ends[k : k + SLAB]) for k in range(0, len(starts), SLAB)]
+        ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint32)
+        sizes = np.bincount(rows, weights=np.concatenate([c for _, c in found]), minlength=n).astype(np.int64) if found else np.zeros(n, np.int64)
+        out = np.split(ids, np.cumsum(sizes)[:-1])
+        rest = np.flatnonzero(whole)
+        for i, got in zip(rest.tolist(), self._encoded([column[i].as_py() for i in rest.tolist()]), strict=True):
+            out[i] = got
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Put pieces into the memo: None for one that ends in white space, else its stem's ids and its closing marks' ids."""
-        parts = {}
-        for w in new:
-            if w[-1:].isspace():
-                self.memo[w] = None
-                continue
-            stem = w.rstrip(_MARKS)
-            parts[w] = (stem, w[len(stem) :]) if stem != w and stem[-1:].isalnum() else (w, "")
-        unknown = {x for pair in parts.values() for x in pair if x and x not in self.memo}
-        led = sorted(x for x in unknown if x[0] == " ")  # neighbours share merges, which the library's own cache likes
-        rest = [x for x in unknown if x[0] != " "]
-        self.memo.update(zip(led, self._encoded_together(led), strict=True))
-        self.memo.update(zip(rest, self._encoded(rest), strict=True))
-        for w, (stem, marks) in parts.items():
-            if marks:
-                self.memo[w] = self.memo[stem] + self.memo[marks]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """uint32 ids of each text, without the end id."""
-        pieces = [text.replace(" ", "\0 ").split("\0") if "\0" not in text and not any(x in text for x in self.added) else None for text in texts]
-        new = {w for words in pieces if words for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > CACHE_ENTRIES // 2:
-            self.older, self.memo = self.memo, {"": b""}
-            new = {w for words in pieces if words for w in words if w}
-        known = {w: self.older[w] for w in new if w in self.older}
-        self.memo.update(known)
-        self._learn(new.difference(known))
-        get = self.memo.__getitem__
-        out: list[bytes | None] = []
-        for words in pieces:
-            try:
-                out.append(None if words is None else b"".join(map(get, words)))
-            except TypeError:  # a piece that ends in white space
-                out.append(None)
-        whole = iter(self._encoded([t for t, x in zip(texts, out, strict=True) if x is None]))
-        return [next(whole) if x is None else x for x in out]
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -130,20 +177,19 @@ TOKEN_SCHEMA = "doc_id long, tie long, n_tokens long, ids_crc32 long, ids binary
 def tokenize(docs: DataFrame, path: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
     """doc_id, a tie-breaker, the number of ids with the end id, their crc32 as uint32, and the ids (uint16 if they fit)."""
     kind = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in tokens.chunks(batch):
-                ids = [x + end for x in encode([t.as_py() or "" for t in part.column("text")])]
+            for part in tokens.chunks(batch, limit=CHUNK_BYTES, most_rows=CHUNK_ROWS):
+                ids = [np.append(x, np.uint32(end_id)) for x in encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("tie"),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids], pa.binary()),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in ids], pa.int64()),
+                        pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
                     ],
                     names=["doc_id", "tie", "n_tokens", "ids_crc32", "ids"],
                 )
