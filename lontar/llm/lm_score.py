@@ -1,21 +1,25 @@
 """Operator 2, language-model scoring with a log-frequency Bloom filter.
 
-Uni- and bigram counts are gathered from the whole training fold. A count is quantised to its binary logarithm and
-kept as that many entries (n-gram, 1), (n-gram, 2), ... of one Bloom filter in slices of the hash; a reader probes
-one level after the other until one is missing. A slice grows with its entries, so none is left out at any size. While
-the filter keeps to a fixed size it is broadcast; beyond that the documents' distinct n-grams meet the slices in a
-co-grouped join, and their levels come back to the documents. Probabilities interpolate the bigram's relative frequency with
-the unigram's, all read from the filter; the bigram's weight is the leave-one-out chance, over the training fold, that
-a bigram has been seen elsewhere. Only bigrams seen once are left out.
-
-The exact baseline needs every token's count. The most frequent tokens (a fixed number) are broadcast with their
-counts; the other tokens' occurrences meet their counts in a co-grouped join by slices of the hash. Counts travel
-as packed arrays by slice, added up in each task before the shuffle, so no token, however frequent, weighs on one
-task. Tokens are told apart by 64-bit hashes.
+Uni- and bigram counts are gathered from the whole training fold. A count is quantised to a level on a logarithmic scale
+and kept as that many entries (n-gram, 1), (n-gram, 2), ... of one Bloom filter in slices of the hash; a reader probes
+one level after the other until one is missing, and takes the mean count of the level found, as the training fold has it.
+A slice grows with its entries, and every uni- and bigram is in it, at any size. While the filter keeps to a fixed size it
+is broadcast; beyond that the n-grams of each chunk of documents meet the slices in a co-grouped join, and their levels
+come back to the chunk. The results are the same.
+
+Probabilities interpolate the bigram's relative frequency with the unigram's, smoothed by one; the bigram's weight is the
+leave-one-out chance, over the training fold, that a bigram has been seen elsewhere, and goes to the unigram after a
+context that hasn't been seen. As level means keep the sum of all counts, the unigrams' probabilities and that of all
+unseen tokens together add up to one; the bigrams' do so but for the quantisation within a context.
+
+The exact baseline needs every token's count. The most frequent tokens (a fixed number) are broadcast with their counts;
+a chunk asks for those of its other tokens by the same join. Counts travel as packed arrays by slice, added up in each
+task before the shuffle, so no token, however frequent, weighs on one task. Tokens are told apart by 64-bit hashes, pairs
+within a slice by 40 bits more than the slice's.
 
 Results for odd input: a null or empty text is its end token alone; without training documents the counts, N and V are
 0 and base_score is 0.0 or a sum of log10(1 / 1); a null doc_id counts as an empty one for the fold; repeated rows get
-equal rows and count as often in training; other columns are ignored.
+equal rows and count as often in training; a very long text is a chunk of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,42 +36,56 @@ from lontar.llm import scratch, tokens
 from lontar.llm.language import fold
 
 END = np.uint64(0x2545F4914F6CDD1D)
+CHUNK_BYTES = 2_000_000
+CHUNK_ROWS = 8192
 _BUFFER = 3_000_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
-_MIDDLES = np.array([0.0, 1.0, *(1.5 * 2.0 ** (k - 1) for k in range(2, 65))])  # of the counts of each level
+#: Steps of the scale in which a count doubles, of unigrams and of bigrams.
+STEPS = (4, 2)
+_SCALES = [np.unique(np.ceil(2.0 ** (np.arange(63 * k) / k) - 1e-9)).astype(np.int64) for k in STEPS]
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Folds and the held-out one, the bits (log2) of a filter that is broadcast and the least of any, hashes and bits an entry at least, least bigram count, tokens broadcast with exact counts, and documents a slice."""
+    """Folds and the held-out one, the bits (log2) of a filter that is broadcast and the least of any, hashes and bits an entry at least, tokens broadcast with exact counts, documents a slice, and the least and most slices."""
 
     folds: int = 7
     held_out: int = 2
-    filter_bits: int = 28
+    filter_bits: int = 27
     hashes: int = 3
     bits_an_entry: int = 10
-    least_bigram: int = 2
     head: int = 1 << 20
     slice_docs: int = 4000
     slices: tuple[int, int] = (16, 1 << 20)
 
 
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words, bounds = tokens.hashed_words(data, offsets, lower=True)
+    return np.insert(words, bounds[1:], END), np.repeat(np.arange(len(offsets) - 1), np.diff(bounds) + 1)
+
+
 def text_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every token: the words of each row in lower case, then its end."""
-    data, offsets = tokens.utf8(column)
-    data = tokens.lower_ascii(data)
-    start, end, bounds = tokens.word_bounds(data, offsets)
-    n = len(column)
-    h = np.insert(tokens.word_hashes(data, start, end), bounds[1:], END)
-    return h, np.repeat(np.arange(n), np.diff(bounds) + 1)
+    return _tokens(*tokens.utf8(column))
 
 
-def bigrams(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every token's context (the end before a row's first word) and the pair's hash."""
+def bigrams(h: np.ndarray, bits: int) -> np.ndarray:
+    """The hash of every token and the one before it (the end before a row's first word), cut after the 40 bits that follow the slice's."""
     context = np.empty_like(h)
     context[:1] = END
     context[1:] = h[:-1]  # what stands before a row's first token is the end of the row before
-    return context, tokens.mix(context * _PAIR + h)
+    return tokens.mix(context * _PAIR + h) >> np.uint64(24 - bits) << np.uint64(24 - bits)
+
+
+def _narrow(pairs: np.ndarray, bits: int) -> bytes:
+    """Five bytes for each pair of one slice."""
+    return (pairs << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _widened(raw: bytes, bits: int, part: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return (out.view("<u8").reshape(-1) << np.uint64(24 - bits)) | np.uint64(part << (64 - bits) if bits else 0)
 
 
 def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +96,21 @@ def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each slice's part of sorted hashes begins (and ends)."""
+    return np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(h)] if bits else [0, len(h)]
+
+
 def _count_packs(texts: DataFrame, bits: int) -> DataFrame:
-    """(slice, kind, once, more, counts): the hashes of one slice that a task saw once, and the others with their counts."""
+    """(slice, kind, once, more, counts): the n-grams of one slice that a task saw once, and the others with their counts."""
+    raw = (lambda part: part.tobytes(), lambda part: _narrow(part, bits))
 
     def packs(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        cuts = _cuts(h, bits)
         rows = []
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             part, count = h[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]]
-            rows.append((s, kind, part[count == 1].tobytes(), part[count > 1].tobytes(), count[count > 1].astype("<u4").tobytes()))
+            rows.append((s, kind, raw[kind](part[count == 1]), raw[kind](part[count > 1]), count[count > 1].astype("<u4").tobytes()))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["slice", "kind", "once", "more", "counts"])
 
@@ -103,9 +127,9 @@ def _count_packs(texts: DataFrame, bits: int) -> DataFrame:
                     held[kind], sizes[kind] = [], 0
 
         for batch in batches:
-            for part in tokens.chunks(batch):
-                h, row = text_tokens(part.column("text"))
-                for kind, x in enumerate((h, bigrams(h, row)[1])):
+            for part in tokens.chunks(batch, limit=CHUNK_BYTES, most_rows=CHUNK_ROWS):
+                h, _ = text_tokens(part.column("text"))
+                for kind, x in enumerate((h, bigrams(h, bits))):
                     held[kind].append(_added(x, np.ones(len(x), np.int64)))
                     sizes[kind] += len(held[kind][-1][0])
                     yield from flush(kind, _BUFFER)
@@ -115,16 +139,17 @@ def _count_packs(texts: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(run, "slice int, kind int, once binary, more binary, counts binary")
 
 
-def _unpacked(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [r for r in table.select(["kind", "once", "more", "counts"]).to_pylist() if r["kind"] == kind]
+def _unpacked(table: pa.Table, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = [r for r in table.to_pylist() if r["kind"] == kind]
     once, more, counts = (b"".join(r[k] for r in rows) for k in ("once", "more", "counts"))
-    once, more = np.frombuffer(once, np.uint64), np.frombuffer(more, np.uint64)
+    part = rows[0]["slice"] if rows else 0
+    once, more = (_widened(x, bits, part) if kind else np.frombuffer(x, np.uint64) for x in (once, more))
     return _added(np.concatenate((once, more)), np.concatenate((np.ones(len(once), np.int64), np.frombuffer(counts, "<u4").astype(np.int64))))
 
 
-def levels(n: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
-    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+def levels(n: np.ndarray, kind: int) -> np.ndarray:
+    """The level of each count: 1 for 1, then one more at each step of the kind's scale."""
+    return np.searchsorted(_SCALES[kind], n, "right")
 
 
 @dataclass
@@ -135,42 +160,45 @@ class LogFilter:
     slice_bits: int
     hashes: int
 
-    def places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def _starts(self, h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First bit of each hash's slice, and the start and step of its places there."""
         block = np.uint64(len(self.words) * 64 >> self.slice_bits)
-        base = (h >> np.uint64(64 - self.slice_bits)) * block if self.slice_bits else np.uint64(0)
+        base = (h >> np.uint64(64 - self.slice_bits)) * block if self.slice_bits else np.zeros(len(h), np.uint64)
         x = tokens.mix(h ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        step = (x >> np.uint64(32)) | np.uint64(1)
-        for k in range(self.hashes):
-            yield base + (x + np.uint64(k) * step) % block
+        return base, x, (x >> np.uint64(32)) | np.uint64(1)
+
+    def _place(self, base: np.ndarray, x: np.ndarray, step: np.ndarray, k: int) -> np.ndarray:
+        return base + (x + np.uint64(k) * step) % np.uint64(len(self.words) * 64 >> self.slice_bits)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The last level found by repeated probes, 0 for none."""
         out = np.zeros(len(h), np.uint8)
         alive, level = np.arange(len(h)), 0
-        while len(alive) and level < 64:
+        while len(alive) and level < 255:
             level += 1
-            found = np.ones(len(alive), bool)
-            for p in self.places(h[alive], level):
-                found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-            alive = alive[found]
+            state = (alive, *self._starts(h[alive], level))
+            for k in range(self.hashes):
+                p = self._place(*state[1:], k)
+                found = (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+                state = tuple(x[found] for x in state)
+            alive = state[0]
             out[alive] = level
         return out
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """0, or the middle of the last level found."""
-        return _MIDDLES[self.level(h)]
-
     def add(self, h: np.ndarray, level: np.ndarray) -> None:
-        for k in range(1, int(level.max(initial=0)) + 1):
-            for p in self.places(h[level >= k], k):
+        for least in range(1, int(level.max(initial=0)) + 1):
+            starts = self._starts(h[level >= least], least)
+            for k in range(self.hashes):
+                p = self._place(*starts, k)
                 np.bitwise_or.at(self.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
 
 
 @dataclass
 class Model:
-    """The filter (None if it is too large to broadcast), the most frequent tokens with exact counts, the totals, the bigrams' weight, the table of all exact counts and of the filter by slice, and how many entries the filter holds and bigrams seen once it doesn't."""
+    """The filter (None if it is too large to broadcast), the mean count of each level (of unigrams and of bigrams), the most frequent tokens with exact counts, the totals, the bigrams' weight, the table of exact counts and filter by slice, and how many entries the filter holds."""
 
     log_filter: LogFilter | None
+    means: tuple[np.ndarray, np.ndarray]
     head: np.ndarray
     head_counts: np.ndarray
     total: int
@@ -179,7 +207,16 @@ class Model:
     counts: DataFrame
     slice_bits: int
     kept: int
-    left_out: int
+
+    def logs(self, unigram: np.ndarray, bigram: np.ndarray, end: int) -> np.ndarray:
+        """log10 of every token's probability from its level, its bigram's, and the end token's."""
+        count = self.means[0][unigram]
+        before = np.empty_like(count)
+        before[1:] = count[:-1]
+        before[:1] = self.means[0][end]
+        single = (count + 1) / (self.total + self.distinct + 1)
+        weight = np.where(before > 0, self.bigram_weight, 0.0)
+        return np.log10(weight * np.minimum(self.means[1][bigram], before) / np.maximum(before, 1) + (1 - weight) * single)
 
 
 def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
@@ -191,29 +228,29 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
     head = max(1, rules.head >> bits)
     training = docs.filter(fold(F.col("doc_id"), rules.folds) != rules.held_out).select(F.col("text").cast("string").alias("text"))
     packs = _count_packs(training, bits)
+    kinds = {"slice": pa.int32(), "bits": pa.binary(), "head": pa.binary(), "head_counts": pa.binary(), "hashes": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64(), "again": pa.int64(), "kept": pa.int64(), "sums": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64())}
 
     def reduced(table: pa.Table) -> pa.Table:
-        s = table.column("slice")[0].as_py()
-        uni, n_uni = _unpacked(table, 0)
-        bi, n_bi = _unpacked(table, 1)
-        often = n_bi >= rules.least_bigram
-        h, n = np.concatenate((uni, bi[often])), np.concatenate((n_uni, n_bi[often]))
-        level = levels(n)
-        kept = int(level.sum())
+        grams = [_unpacked(table, kind, bits) for kind in (0, 1)]
+        level = [levels(n, kind) for kind, (_, n) in enumerate(grams)]
+        (uni, n_uni), (_, n_bi) = grams
+        kept = int(sum(x.sum() for x in level))
         small = LogFilter(np.zeros(max(block, kept * rules.bits_an_entry + 63) // 64, np.uint64), 0, rules.hashes)
-        small.add(h, level)
+        for (h, _), x in zip(grams, level, strict=True):
+            small.add(h, x)
         top = np.sort(np.argsort(-n_uni, kind="stable")[:head])
-        row = {
-            "slice": [s], "bits": [small.words.tobytes()], "head": [uni[top].tobytes()], "head_counts": [n_uni[top].tobytes()],
-            "hashes": [uni.tobytes()], "counts": [n_uni.tobytes()], "total": [int(n_uni.sum())], "distinct": [len(uni)], "again": [int((n_bi - 1).sum())],
-            "kept": [kept], "left_out": [int((~often).sum())],
-        }
-        return pa.table(row, schema=pa.schema([(k, pa.int32() if k == "slice" else pa.binary() if k in ("bits", "head", "head_counts", "hashes", "counts") else pa.int64()) for k in row]))
-
-    schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, left_out long"
+        sums, sizes = ([int(x) for kind in (0, 1) for x in np.bincount(level[kind], grams[kind][1] if add else None, 256)] for add in (True, False))
+        row = [table.column("slice")[0].as_py(), small.words.tobytes(), uni[top].tobytes(), n_uni[top].tobytes(), uni.tobytes(), n_uni.tobytes(), int(n_uni.sum()), len(uni), int((n_bi - 1).sum()), kept, sums, sizes]
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
+
+    schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, sums array<long>, sizes array<long>"
     counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
-    sums = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.sum("left_out"), F.max(F.length("bits"))).first()
-    total, distinct, again, kept, left_out, largest = (x or 0 for x in sums)
+    totals = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.max(F.length("bits"))).first()
+    total, distinct, again, kept, largest = (x or 0 for x in totals)
+    means = np.zeros(512)
+    for row in counts.select(F.posexplode(F.arrays_zip("sums", "sizes")).alias("level", "x")).groupBy("level").agg(F.sum("x.sums").alias("s"), F.sum("x.sizes").alias("n")).filter("n > 0").collect():  # 512 rows at most
+        means[row["level"]] = row["s"] / row["n"]
+    means[[0, 256]] = 0
     small = largest * 8 <= block  # then the whole filter is of 2**filter_bits bits
     words = np.zeros((1 << bits) * block // 64 if small else 0, np.uint64)
     heads, head_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -225,168 +262,116 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
     h, n = np.concatenate(heads), np.concatenate(head_counts)
     order = np.argsort(h)
     shared = LogFilter(words, bits, rules.hashes) if small else None
-    return Model(shared, h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts", "bits"), bits, kept, left_out)
+    return Model(shared, (_filled(means[:256], 0), _filled(means[256:], 1)), h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts", "bits"), bits, kept)
 
 
-def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    model = model or train(docs, rules)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.log_filter, model.head, model.head_counts))
-    total, distinct, bits, weight = model.total, model.distinct, model.slice_bits, model.bigram_weight
-    below = np.log10(total + distinct + 1.0)
-    direct = model.log_filter is not None
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
+def _filled(means: np.ndarray, kind: int) -> np.ndarray:
+    """The level's least count where no n-gram of the training has it (a false positive may lead there)."""
+    least = np.concatenate(([0], _SCALES[kind]))[:256].astype(np.float64)
+    least = np.concatenate((least, np.full(256 - len(least), least[-1])))
+    return np.where(means > 0, means, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_filter, head, head_counts = shared.value
-        for batch in batches:
-            for part in tokens.chunks(batch):
-                n = len(part)
-                h, row = text_tokens(part.column("text"))
-                own, at = np.unique(h, return_inverse=True)
-                place = np.searchsorted(head, own)
-                place[place == len(head)] = 0
-                in_head = head[place] == own if len(head) else np.zeros(len(own), bool)
-                count = np.where(in_head, head_counts[place] if len(head) else 0, 0)
-                known = in_head[at]
-                base = np.bincount(row, weights=np.where(known, np.log10(count + 1.0)[at] - below, 0.0), minlength=n)
-                logs = np.zeros(len(h))
-                if direct:
-                    logs = _logs(log_filter.count(own)[at], log_filter.count(bigrams(h, row)[1]), log_filter.count(np.array([END])), total + distinct, weight)
-                rest = np.flatnonzero(~known)
-                cuts = np.searchsorted(row[rest], np.arange(n + 1)) * 8
-                packed = h[rest].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"), part.column("doc_id"), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, weights=known, minlength=n).astype(np.int64)), pa.array(base),
-                        pa.array(np.bincount(row, weights=logs, minlength=n)), pa.array([packed[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=names,
-                )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not direct:
-        rows = scratch.table(rows.mapInArrow(_chunked, "chunk long, row long, doc_id long, text string"), "rows")
-    scored = scratch.table(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest binary"), "scored")
-    rest = _rest(scored, model, bits, below)
-    joined = scored.drop("rest").join(rest, "row", "left")
-    if not direct:
-        joined = joined.drop("score").join(_joined_scores(rows, model, rules), "row")
-    fill = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return joined.select(
-        "doc_id",
-        (fold(F.col("doc_id"), rules.folds) == rules.held_out).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + fill("rest_known")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + fill("rest_base")).alias("base_score"),
-        "score",
-    )
-
-
-def _logs(rough: np.ndarray, pair: np.ndarray, end: np.ndarray, known: int, weight: float) -> np.ndarray:
-    """log10 of every token's probability from its count, its bigram's, and the end token's count."""
-    before = np.empty_like(rough)
-    before[1:] = rough[:-1]
-    before[:1] = end
-    together = np.minimum(pair, before)
-    single = (rough + 1.0) / (known + 1.0)
-    return np.log10(weight * together / np.maximum(before, 1.0) + (1 - weight) * np.minimum(single, 1.0))
+
+CHUNKS = "chunk long, ids array<long>, sizes binary, texts binary"
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row with the number of its chunk, which is that of the chunk's first row."""
+    """One row for each chunk of documents: a number of its own, their ids, the bytes of each text, and all texts."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for part in tokens.chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), part.column("row")[0].as_py())), *part.columns], names=["chunk", *part.schema.names])
-
-
-def _joined_scores(rows: DataFrame, model: Model, rules: Rules) -> DataFrame:
-    """row and score by a join with the filter's slices: each chunk's distinct n-grams go out by slice, and their levels come back."""
-    bits, known, weight = model.slice_bits, model.total + model.distinct, model.bigram_weight
-
-    def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        h, row = text_tokens(texts)
-        pair = bigrams(h, row)[1]
-        return h, row, pair, np.unique(np.concatenate((h, pair, [END])))
-
-    def asked(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        own = grams(table.column("text").combine_chunks())[3]
-        cuts = np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        used = np.flatnonzero(np.diff(cuts))
-        parts = [own[a:b].tobytes() for a, b in zip(cuts[used].tolist(), cuts[used + 1].tolist(), strict=True)]
-        return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk)), pa.array(parts, pa.binary())], names=["slice", "chunk", "hashes"])
-
-    def probed(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("bits").to_pylist()
-        block = LogFilter(np.frombuffer(words[0], np.uint64), 0, rules.hashes) if words else None
-        found = []
-        for raw in left.column("hashes"):
-            h = np.frombuffer(raw.as_py(), np.uint64)
-            found.append((block.level(h) if block else np.zeros(len(h), np.uint8)).tobytes())
-        return pa.table([left.column("slice"), left.column("chunk"), pa.array(found, pa.binary())], names=["slice", "chunk", "levels"])
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, row, pair, own = grams(left.column("text").combine_chunks())
-        right = right.sort_by("slice")  # a slice is the hash's upper bits, so that the levels follow the sorted hashes
-        count = _MIDDLES[np.frombuffer(b"".join(right.column("levels").to_pylist()), np.uint8)]
-        logs = _logs(count[np.searchsorted(own, h)], count[np.searchsorted(own, pair)], count[np.searchsorted(own, END)], known, weight)
-        return pa.table([left.column("row"), pa.array(np.bincount(row, weights=logs, minlength=len(left)))], names=["row", "score"])
-
-    texts = rows.select("chunk", "row", "text")
-    asks = texts.groupBy("chunk").applyInArrow(asked, "slice int, chunk long, hashes binary")
-    found = asks.groupBy("slice").cogroup(model.counts.select("slice", "bits").groupBy("slice")).applyInArrow(probed, "slice int, chunk long, levels binary")
-    # a slice that no document asks for gives no rows
-    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(summed, "row long, score double")
-
-
-def _rest(scored: DataFrame, model: Model, bits: int, below: float) -> DataFrame:
-    """row, rest_known and rest_base: what the tokens outside of the head add to each row, by a join with their exact counts.
-
-    Occurrences go out packed by slice of the hash, and come back packed by block of rows (those of one scan task).
+        for part in tokens.chunks(batch, limit=CHUNK_BYTES, most_rows=CHUNK_ROWS):
+            data, offsets = tokens.utf8(part.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([np.diff(offsets).astype("<i8").tobytes()]), pa.array([data.tobytes()], pa.binary())], names=["chunk", "ids", "sizes", "texts"])
+            number += 1
+
+
+def _chunk_tokens(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.frombuffer(batch.column("sizes")[i].as_buffer(), "<i8")
+    return _tokens(np.frombuffer(batch.column("texts")[i].as_buffer() or b"", np.uint8), np.concatenate(([0], np.cumsum(sizes))))
+
+
+def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
+    return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
+
+
+def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    A chunk asks the slices for the exact counts of its tokens outside of the head and, where the filter isn't
+    broadcast, for the levels of all its tokens and pairs: each n-gram once, packed by slice. The answers come back
+    packed, in the same order.
     """
+    model = model or train(docs, rules)
+    bits, direct, counts = model.slice_bits, model.log_filter is not None, model.counts
+    light = Model(model.log_filter, model.means, model.head, model.head_counts, model.total, model.distinct, model.bigram_weight, None, bits, model.kept)
+    shared = docs.sparkSession.sparkContext.broadcast(light)
+    chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks")
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value.head
+        for batch in batches:
+            for i in range(len(batch)):
+                h, _ = _chunk_tokens(batch, i)
+                own = np.unique(np.append(h, END))
+                known = _in(head, own)[1]
+                pairs = np.zeros(0, np.uint64) if direct else np.unique(bigrams(h, bits))
+                common, tail = own[known] if not direct else pairs, own[~known]
+                cuts = [_cuts(x, bits) for x in (common, tail, pairs)]
+                used = [s for s in range(1 << bits) if any(c[s] < c[s + 1] for c in cuts)]
+                columns = [pa.array(used, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64())]
+                for x, c, raw in zip((common, tail, pairs), cuts, (np.ndarray.tobytes, np.ndarray.tobytes, lambda y: _narrow(y, bits)), strict=True):
+                    columns.append(pa.array([raw(x[c[s] : c[s + 1]]) for s in used], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "chunk", "common", "tail", "pairs"])
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = left.column("slice")[0].as_py() if len(left) else 0
+        hashes, n = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("counts", np.int64)))
+        words = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64)
+        block = LogFilter(words, 0, rules.hashes) if len(words) else None
+        level = lambda h: (block.level(h) if block else np.zeros(len(h), np.uint8)).tobytes()
+        out = []
+        for common, tail, pairs in zip(*(left.column(c) for c in ("common", "tail", "pairs")), strict=True):
+            common, tail, pairs = np.frombuffer(common.as_py(), np.uint64), np.frombuffer(tail.as_py(), np.uint64), _widened(pairs.as_py(), bits, part)
+            at, known = _in(hashes, tail)
+            exact = np.where(known, n[at] if len(n) else 0, 0).astype("<i8").tobytes()
+            out.append((exact, *([b""] * 3 if direct else map(level, (common, tail, pairs)))))
+        made = [pa.array([r[k] for r in out], pa.binary()) for k in range(4)]
+        return pa.table([left.column("slice"), left.column("chunk"), *made], names=["slice", "chunk", "exact", "common", "tail", "pairs"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        below = np.log10(model.total + model.distinct + 1.0)
         for batch in batches:
-            raw = [x.as_py() for x in batch.column("rest")]
-            h = np.frombuffer(b"".join(raw), np.uint64)
-            rows = np.repeat(batch.column("row").to_numpy(), [len(x) // 8 for x in raw])
-            order = np.argsort(h)
-            h, rows = h[order], rows[order]
-            s = (h >> np.uint64(64 - bits)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(h) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(h))
-            parts = list(zip(at.tolist(), ends.tolist(), strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(s[at].astype(np.int32)), pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in parts], pa.binary())], names=["slice", "hashes", "rows"])
-
-    packed = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary())])
-    plain = pa.schema([("row", pa.int64()), ("rest_known", pa.int64()), ("rest_base", pa.float64())])
-
-    def summed(rows: np.ndarray, known: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        unique, at = np.unique(rows, return_inverse=True)
-        return unique, np.bincount(at, weights=known, minlength=len(unique)).astype(np.int64), np.bincount(at, weights=base, minlength=len(unique))
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(left.column("hashes").to_pylist()), np.uint64)
-        rows = np.frombuffer(b"".join(left.column("rows").to_pylist()), np.int64)
-        own = np.frombuffer(b"".join(right.column("hashes").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
-        n = np.zeros(len(h), np.int64)
-        if len(own):
-            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-            n = np.where(own[at] == h, counts[at], 0)
-        unique, known, base = summed(rows, n > 0, np.log10(n + 1.0) - below)
-        block = unique >> 33
-        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(unique) else np.zeros(0, np.int64)
-        parts = list(zip(at.tolist(), np.append(at[1:], len(unique)).tolist(), strict=False))
-        return pa.table([block[at], *([x[i:j].tobytes() for i, j in parts] for x in (unique, known, base))], schema=packed)
-
-    def added(table: pa.Table) -> pa.Table:
-        rows, known, base = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("rows", np.int64), ("known", np.int64), ("base", np.float64)))
-        return pa.table(summed(rows, known, base), schema=plain)
-
-    left = scored.select("row", "rest").filter("length(rest) > 0").mapInArrow(dealt, "slice int, hashes binary, rows binary")
-    met_counts = left.groupBy("slice").cogroup(model.counts.select("slice", "hashes", "counts").groupBy("slice")).applyInArrow(met, "block long, rows binary, known binary, base binary")
-    return met_counts.groupBy("block").applyInArrow(added, "row long, rest_known long, rest_base double")
+            for i in range(len(batch)):
+                h, row = _chunk_tokens(batch, i)
+                parts = (batch.column("parts")[i].as_py() or [])
+                parts.sort(key=lambda x: x["slice"])  # a slice is the hash's upper bits, so that the answers follow the sorted hashes
+                exact, common, tail, pairs = (np.frombuffer(b"".join(x[k] for x in parts), t) for k, t in (("exact", "<i8"), ("common", np.uint8), ("tail", np.uint8), ("pairs", np.uint8)))
+                own = np.unique(np.append(h, END))
+                place, known = _in(model.head, own)
+                count = np.zeros(len(own), np.int64)
+                count[known], count[~known] = model.head_counts[place[known]], exact
+                pair = bigrams(h, bits)
+                if direct:
+                    unigram, bigram = model.log_filter.level(own), model.log_filter.level(pair)
+                else:
+                    unigram = np.zeros(len(own), np.uint8)
+                    unigram[known], unigram[~known] = common, tail
+                    bigram = pairs[np.unique(pair, return_inverse=True)[1]]
+                at = np.searchsorted(own, h)
+                n = len(batch.column("ids")[i])
+                logs = model.logs(unigram[at], bigram, unigram[np.searchsorted(own, END)])
+                total = lambda x: np.bincount(row, weights=x, minlength=n)  # noqa: B023, E731
+                columns = [total(None).astype(np.int64), total(count[at] > 0).astype(np.int64), total(np.log10(count[at] + 1.0) - below), total(logs)]
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asks = chunks.mapInArrow(asked, "slice int, chunk long, common binary, tail binary, pairs binary")
+    answers = asks.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(answered, "slice int, chunk long, exact binary, common binary, tail binary, pairs binary")
+    parts = answers.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("slice", "exact", "common", "tail", "pairs")).alias("parts"))
+    scored = chunks.join(parts, "chunk", "left").mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id"), rules.folds) == rules.held_out).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
