@@ -1,21 +1,22 @@
 """Operator 2, language-model scoring with a log-frequency Bloom filter.
 
-Uni- and bigram counts are gathered from the whole training fold. A count is quantised to a level on a logarithmic scale
-and kept as that many entries (n-gram, 1), (n-gram, 2), ... of one Bloom filter in slices of the hash; a reader probes
-one level after the other until one is missing, and takes the mean count of the level found, as the training fold has it.
-A slice grows with its entries, and every uni- and bigram is in it, at any size. While the filter keeps to a fixed size it
-is broadcast; beyond that the n-grams of each chunk of documents meet the slices in a co-grouped join, and their levels
-come back to the chunk. The results are the same.
+Uni- and bigram counts are gathered from the whole training fold. A bigram's count is quantised to a level on a
+logarithmic scale and kept as that many entries (bigram, 1), (bigram, 2), ... of one Bloom filter in slices of the hash; a
+reader probes one level after the other until one is missing, and takes the mean count of the level found, as the
+training fold has it. A slice grows with its entries, and every bigram is in it, at any size. While the filter keeps to a
+fixed size it is broadcast; beyond that the bigrams of each chunk of documents meet the slices in a co-grouped join, and
+their levels come back to the chunk. The results are the same.
 
 Probabilities interpolate the bigram's relative frequency with the unigram's, smoothed by one; the bigram's weight is the
 leave-one-out chance, over the training fold, that a bigram has been seen elsewhere, and goes to the unigram after a
-context that hasn't been seen. As level means keep the sum of all counts, the unigrams' probabilities and that of all
-unseen tokens together add up to one; the bigrams' do so but for the quantisation within a context.
+context that hasn't been seen. Unigram counts are exact, as the baseline needs them anyway, so the unigrams' probabilities
+and that of all unseen tokens together add up to one; the bigrams' do so but for the quantisation within a context (level
+means keep the sum of all counts).
 
-The exact baseline needs every token's count. The most frequent tokens (a fixed number) are broadcast with their counts;
-a chunk asks for those of its other tokens by the same join. Counts travel as packed arrays by slice, added up in each
-task before the shuffle, so no token, however frequent, weighs on one task. Tokens are told apart by 64-bit hashes, pairs
-within a slice by 40 bits more than the slice's.
+The most frequent tokens (a fixed number) are broadcast with their counts; a chunk asks for those of its other tokens by
+the same join. Counts travel as packed arrays by slice, added up in each task before the shuffle, so no token, however
+frequent, weighs on one task. Tokens are told apart by 64-bit hashes, pairs by a slice and 32 bits more, a chance of
+error far below the filter's own.
 
 Results for odd input: a null or empty text is its end token alone; without training documents the counts, N and V are
 0 and base_score is 0.0 or a sum of log10(1 / 1); a null doc_id counts as an empty one for the fold; repeated rows get
@@ -25,7 +26,7 @@ equal rows and count as often in training; a very long text is a chunk of its ow
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,14 @@ from lontar.llm import scratch, tokens
 from lontar.llm.language import fold
 
 END = np.uint64(0x2545F4914F6CDD1D)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 8192
 _BUFFER = 3_000_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
-#: Steps of the scale in which a count doubles, of unigrams and of bigrams.
-STEPS = (4, 2)
-_SCALES = [np.unique(np.ceil(2.0 ** (np.arange(63 * k) / k) - 1e-9)).astype(np.int64) for k in STEPS]
+#: Steps of the scale in which a count doubles.
+STEPS = 2
+_SCALE = np.unique(np.ceil(2.0 ** (np.arange(63 * STEPS) / STEPS) - 1e-9)).astype(np.int64)
+PAIR_BITS = 32  # of a pair's identity beyond its slice's
 
 
 @dataclass(frozen=True)
@@ -70,22 +72,21 @@ def text_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bigrams(h: np.ndarray, bits: int) -> np.ndarray:
-    """The hash of every token and the one before it (the end before a row's first word), cut after the 40 bits that follow the slice's."""
+    """The hash of every token and the one before it (the end before a row's first word), cut after the PAIR_BITS that follow the slice's."""
     context = np.empty_like(h)
     context[:1] = END
     context[1:] = h[:-1]  # what stands before a row's first token is the end of the row before
-    return tokens.mix(context * _PAIR + h) >> np.uint64(24 - bits) << np.uint64(24 - bits)
+    cut = np.uint64(64 - PAIR_BITS - bits)
+    return tokens.mix(context * _PAIR + h) >> cut << cut
 
 
 def _narrow(pairs: np.ndarray, bits: int) -> bytes:
-    """Five bytes for each pair of one slice."""
-    return (pairs << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Four bytes for each pair of one slice."""
+    return (pairs << np.uint64(bits) >> np.uint64(64 - PAIR_BITS)).astype("<u4").tobytes()
 
 
 def _widened(raw: bytes, bits: int, part: int) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return (out.view("<u8").reshape(-1) << np.uint64(24 - bits)) | np.uint64(part << (64 - bits) if bits else 0)
+    return np.frombuffer(raw, "<u4").astype(np.uint64) << np.uint64(64 - PAIR_BITS - bits) | np.uint64(part << (64 - bits) if bits else 0)
 
 
 def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +148,9 @@ def _unpacked(table: pa.Table, kind: int, bits: int) -> tuple[np.ndarray, np.nda
     return _added(np.concatenate((once, more)), np.concatenate((np.ones(len(once), np.int64), np.frombuffer(counts, "<u4").astype(np.int64))))
 
 
-def levels(n: np.ndarray, kind: int) -> np.ndarray:
-    """The level of each count: 1 for 1, then one more at each step of the kind's scale."""
-    return np.searchsorted(_SCALES[kind], n, "right")
+def levels(n: np.ndarray) -> np.ndarray:
+    """The level of each count: 1 for 1, then one more at each step of the scale."""
+    return np.searchsorted(_SCALE, n, "right")
 
 
 @dataclass
@@ -195,10 +196,10 @@ class LogFilter:
 
 @dataclass
 class Model:
-    """The filter (None if it is too large to broadcast), the mean count of each level (of unigrams and of bigrams), the most frequent tokens with exact counts, the totals, the bigrams' weight, the table of exact counts and filter by slice, and how many entries the filter holds."""
+    """The filter (None if it is too large to broadcast), the mean count of each level, the most frequent tokens with exact counts, the totals, the bigrams' weight, the table of exact counts and filter by slice, and how many entries the filter holds."""
 
     log_filter: LogFilter | None
-    means: tuple[np.ndarray, np.ndarray]
+    means: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
     total: int
@@ -208,15 +209,14 @@ class Model:
     slice_bits: int
     kept: int
 
-    def logs(self, unigram: np.ndarray, bigram: np.ndarray, end: int) -> np.ndarray:
-        """log10 of every token's probability from its level, its bigram's, and the end token's."""
-        count = self.means[0][unigram]
-        before = np.empty_like(count)
+    def logs(self, count: np.ndarray, level: np.ndarray, end: int) -> np.ndarray:
+        """log10 of every token's probability from its count, its bigram's level, and the end token's count."""
+        before = np.empty(len(count))
         before[1:] = count[:-1]
-        before[:1] = self.means[0][end]
+        before[:1] = end
         single = (count + 1) / (self.total + self.distinct + 1)
         weight = np.where(before > 0, self.bigram_weight, 0.0)
-        return np.log10(weight * np.minimum(self.means[1][bigram], before) / np.maximum(before, 1) + (1 - weight) * single)
+        return np.log10(weight * np.minimum(self.means[level], before) / np.maximum(before, 1) + (1 - weight) * single)
 
 
 def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
@@ -231,26 +231,23 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
     kinds = {"slice": pa.int32(), "bits": pa.binary(), "head": pa.binary(), "head_counts": pa.binary(), "hashes": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64(), "again": pa.int64(), "kept": pa.int64(), "sums": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64())}
 
     def reduced(table: pa.Table) -> pa.Table:
-        grams = [_unpacked(table, kind, bits) for kind in (0, 1)]
-        level = [levels(n, kind) for kind, (_, n) in enumerate(grams)]
-        (uni, n_uni), (_, n_bi) = grams
-        kept = int(sum(x.sum() for x in level))
+        (uni, n_uni), (pairs, n_pairs) = (_unpacked(table, kind, bits) for kind in (0, 1))
+        level = levels(n_pairs)
+        kept = int(level.sum())
         small = LogFilter(np.zeros(max(block, kept * rules.bits_an_entry + 63) // 64, np.uint64), 0, rules.hashes)
-        for (h, _), x in zip(grams, level, strict=True):
-            small.add(h, x)
+        small.add(pairs, level)
         top = np.sort(np.argsort(-n_uni, kind="stable")[:head])
-        sums, sizes = ([int(x) for kind in (0, 1) for x in np.bincount(level[kind], grams[kind][1] if add else None, 256)] for add in (True, False))
-        row = [table.column("slice")[0].as_py(), small.words.tobytes(), uni[top].tobytes(), n_uni[top].tobytes(), uni.tobytes(), n_uni.tobytes(), int(n_uni.sum()), len(uni), int((n_bi - 1).sum()), kept, sums, sizes]
+        sums, sizes = (np.bincount(level, n_pairs if add else None, 256).astype(np.int64).tolist() for add in (True, False))
+        row = [table.column("slice")[0].as_py(), small.words.tobytes(), uni[top].tobytes(), n_uni[top].tobytes(), uni.tobytes(), n_uni.tobytes(), int(n_uni.sum()), len(uni), int((n_pairs - 1).sum()), kept, sums, sizes]
         return pa.table([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, sums array<long>, sizes array<long>"
     counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
     totals = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.max(F.length("bits"))).first()
     total, distinct, again, kept, largest = (x or 0 for x in totals)
-    means = np.zeros(512)
-    for row in counts.select(F.posexplode(F.arrays_zip("sums", "sizes")).alias("level", "x")).groupBy("level").agg(F.sum("x.sums").alias("s"), F.sum("x.sizes").alias("n")).filter("n > 0").collect():  # 512 rows at most
+    means = np.concatenate(([0.0], _SCALE, np.full(256, float(_SCALE[-1]))))[:256]  # the least count of a level that no bigram has; a false positive may lead there
+    for row in counts.select(F.posexplode(F.arrays_zip("sums", "sizes")).alias("level", "x")).groupBy("level").agg(F.sum("x.sums").alias("s"), F.sum("x.sizes").alias("n")).filter("n > 0 and level > 0").collect():  # 255 rows at most
         means[row["level"]] = row["s"] / row["n"]
-    means[[0, 256]] = 0
     small = largest * 8 <= block  # then the whole filter is of 2**filter_bits bits
     words = np.zeros((1 << bits) * block // 64 if small else 0, np.uint64)
     heads, head_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -262,14 +259,7 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
     h, n = np.concatenate(heads), np.concatenate(head_counts)
     order = np.argsort(h)
     shared = LogFilter(words, bits, rules.hashes) if small else None
-    return Model(shared, (_filled(means[:256], 0), _filled(means[256:], 1)), h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts", "bits"), bits, kept)
-
-
-def _filled(means: np.ndarray, kind: int) -> np.ndarray:
-    """The level's least count where no n-gram of the training has it (a false positive may lead there)."""
-    least = np.concatenate(([0], _SCALES[kind]))[:256].astype(np.float64)
-    least = np.concatenate((least, np.full(256 - len(least), least[-1])))
-    return np.where(means > 0, means, least)
+    return Model(shared, means, h[order], n[order], total, distinct, again / max(1, total), counts.select("slice", "hashes", "counts", "bits"), bits, kept)
 
 
 CHUNKS = "chunk long, ids array<long>, sizes binary, texts binary"
@@ -303,13 +293,11 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     A chunk asks the slices for the exact counts of its tokens outside of the head and, where the filter isn't
-    broadcast, for the levels of all its tokens and pairs: each n-gram once, packed by slice. The answers come back
-    packed, in the same order.
+    broadcast, for the levels of its pairs: each once, packed by slice. The answers come back packed, in the same order.
     """
     model = model or train(docs, rules)
     bits, direct, counts = model.slice_bits, model.log_filter is not None, model.counts
-    light = Model(model.log_filter, model.means, model.head, model.head_counts, model.total, model.distinct, model.bigram_weight, None, bits, model.kept)
-    shared = docs.sparkSession.sparkContext.broadcast(light)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
     chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,30 +306,27 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
             for i in range(len(batch)):
                 h, _ = _chunk_tokens(batch, i)
                 own = np.unique(np.append(h, END))
-                known = _in(head, own)[1]
+                tail = own[~_in(head, own)[1]]
                 pairs = np.zeros(0, np.uint64) if direct else np.unique(bigrams(h, bits))
-                common, tail = own[known] if not direct else pairs, own[~known]
-                cuts = [_cuts(x, bits) for x in (common, tail, pairs)]
-                used = [s for s in range(1 << bits) if any(c[s] < c[s + 1] for c in cuts)]
+                a, b = _cuts(tail, bits), _cuts(pairs, bits)
+                used = [s for s in range(1 << bits) if a[s] < a[s + 1] or b[s] < b[s + 1]]
                 columns = [pa.array(used, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64())]
-                for x, c, raw in zip((common, tail, pairs), cuts, (np.ndarray.tobytes, np.ndarray.tobytes, lambda y: _narrow(y, bits)), strict=True):
-                    columns.append(pa.array([raw(x[c[s] : c[s + 1]]) for s in used], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["slice", "chunk", "common", "tail", "pairs"])
+                columns += [pa.array([tail[a[s] : a[s + 1]].tobytes() for s in used], pa.binary()), pa.array([_narrow(pairs[b[s] : b[s + 1]], bits) for s in used], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "chunk", "tail", "pairs"])
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        """All chunks' questions to a slice at once."""
         part = left.column("slice")[0].as_py() if len(left) else 0
         hashes, n = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("counts", np.int64)))
         words = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64)
-        block = LogFilter(words, 0, rules.hashes) if len(words) else None
-        level = lambda h: (block.level(h) if block else np.zeros(len(h), np.uint8)).tobytes()
-        out = []
-        for common, tail, pairs in zip(*(left.column(c) for c in ("common", "tail", "pairs")), strict=True):
-            common, tail, pairs = np.frombuffer(common.as_py(), np.uint64), np.frombuffer(tail.as_py(), np.uint64), _widened(pairs.as_py(), bits, part)
-            at, known = _in(hashes, tail)
-            exact = np.where(known, n[at] if len(n) else 0, 0).astype("<i8").tobytes()
-            out.append((exact, *([b""] * 3 if direct else map(level, (common, tail, pairs)))))
-        made = [pa.array([r[k] for r in out], pa.binary()) for k in range(4)]
-        return pa.table([left.column("slice"), left.column("chunk"), *made], names=["slice", "chunk", "exact", "common", "tail", "pairs"])
+        tails, pairs = left.column("tail").to_pylist(), left.column("pairs").to_pylist()
+        at, known = _in(hashes, np.frombuffer(b"".join(tails), np.uint64))
+        exact = np.where(known, n[at] if len(n) else 0, 0).astype("<i8").tobytes()
+        asked = _widened(b"".join(pairs), bits, part)
+        level = (LogFilter(words, 0, rules.hashes).level(asked) if len(words) else np.zeros(len(asked), np.uint8)).tobytes()
+        ends, marks = np.cumsum([len(x) for x in tails], dtype=np.int64).tolist(), np.cumsum([len(x) // 4 for x in pairs], dtype=np.int64).tolist()
+        made = [pa.array([raw[a:b] for a, b in zip([0, *to], to, strict=False)], pa.binary()) for raw, to in ((exact, ends), (level, marks))]
+        return pa.table([left.column("slice"), left.column("chunk"), *made], names=["slice", "chunk", "exact", "levels"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -349,29 +334,22 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
         for batch in batches:
             for i in range(len(batch)):
                 h, row = _chunk_tokens(batch, i)
-                parts = (batch.column("parts")[i].as_py() or [])
-                parts.sort(key=lambda x: x["slice"])  # a slice is the hash's upper bits, so that the answers follow the sorted hashes
-                exact, common, tail, pairs = (np.frombuffer(b"".join(x[k] for x in parts), t) for k, t in (("exact", "<i8"), ("common", np.uint8), ("tail", np.uint8), ("pairs", np.uint8)))
-                own = np.unique(np.append(h, END))
+                parts = sorted(batch.column("parts")[i].as_py() or [], key=lambda x: x["slice"])  # a slice is the hash's upper bits, so that the answers follow the sorted hashes
+                exact, level = (np.frombuffer(b"".join(x[k] for x in parts), t) for k, t in (("exact", "<i8"), ("levels", np.uint8)))
+                own, at = np.unique(np.append(h, END), return_inverse=True)
                 place, known = _in(model.head, own)
                 count = np.zeros(len(own), np.int64)
                 count[known], count[~known] = model.head_counts[place[known]], exact
+                count, end = count[at[:-1]], count[at[-1]]
                 pair = bigrams(h, bits)
-                if direct:
-                    unigram, bigram = model.log_filter.level(own), model.log_filter.level(pair)
-                else:
-                    unigram = np.zeros(len(own), np.uint8)
-                    unigram[known], unigram[~known] = common, tail
-                    bigram = pairs[np.unique(pair, return_inverse=True)[1]]
-                at = np.searchsorted(own, h)
+                level = model.log_filter.level(pair) if direct else level[np.unique(pair, return_inverse=True)[1]]
                 n = len(batch.column("ids")[i])
-                logs = model.logs(unigram[at], bigram, unigram[np.searchsorted(own, END)])
                 total = lambda x: np.bincount(row, weights=x, minlength=n)  # noqa: B023, E731
-                columns = [total(None).astype(np.int64), total(count[at] > 0).astype(np.int64), total(np.log10(count[at] + 1.0) - below), total(logs)]
+                columns = [total(None).astype(np.int64), total(count > 0).astype(np.int64), total(np.log10(count + 1.0) - below), total(model.logs(count, level, end))]
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    asks = chunks.mapInArrow(asked, "slice int, chunk long, common binary, tail binary, pairs binary")
-    answers = asks.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(answered, "slice int, chunk long, exact binary, common binary, tail binary, pairs binary")
-    parts = answers.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("slice", "exact", "common", "tail", "pairs")).alias("parts"))
+    asks = chunks.mapInArrow(asked, "slice int, chunk long, tail binary, pairs binary")
+    answers = asks.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(answered, "slice int, chunk long, exact binary, levels binary")
+    parts = answers.groupBy("chunk").agg(F.collect_list(F.struct("slice", "exact", "levels")).alias("parts"))
     scored = chunks.join(parts, "chunk", "left").mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), rules.folds) == rules.held_out).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -30,11 +30,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back; its path is in ``.lontar_path`` for drop()."""
+    """df written to the shared folder and read back; its path is in ``.lontar_path`` for drop().
+
+    The write's shuffle files go with it, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.lontar_path = path
     return out
