@@ -2,11 +2,13 @@
 
 ``mux`` stores a payload losslessly as 8-bit PCM samples of an ISO base media file, ``walk`` reads
 nested boxes and decodes the sample tables of any such file, and ``features`` gives each track's
-codec, duration and keyframe byte ranges. Payloads are never decoded: the ranges point at them.
+codec, duration and keyframe byte ranges. Payloads are never decoded: the ranges point at them. Movie fragments
+(moof, traf, trun) are read like sample tables; their samples follow those of the tables.
 
 Results for odd input: a null or empty text becomes one frame of 192 spaces; equal texts give equal
 bytes and features; a damaged or cut container gives an error string beside what could be read; boxes
-whose size runs past their parent end there. Extra columns are ignored, repeated rows repeat.
+whose size runs past their parent end there. Extra columns are ignored, repeated rows repeat; a very long
+text is one container.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lontar.llm import scratch, tokens
+from lontar.llm import names, scratch, tokens
 
 FRAME = 192
 RATE = 8000
@@ -28,6 +30,10 @@ KEY_EVERY = 16
 FRAMES_IN_CHUNK = 64
 # Boxes of ISO/IEC 14496-12 that hold other boxes, and the bytes before their children.
 PARENTS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4, b"dref": 8, b"stsd": 8}
+# Fixed values of the same standard: flags of fragment headers and runs, and of a sample that is no keyframe.
+TF_BASE, TF_DESCRIPTION, TF_DURATION, TF_SIZE, TF_FLAGS, TF_FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+TR_OFFSET, TR_FIRST, TR_DURATION, TR_SIZE, TR_FLAGS, TR_COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEY = 0x10000
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -102,9 +108,16 @@ class Track:
     n_samples: int = 0
     sizes: list = field(default_factory=list)
     chunk_offsets: list = field(default_factory=list)
+    composition: list = field(default_factory=list)
+    fragments: list = field(default_factory=list)  # (offset, size, duration, keyframe) of the samples of movie fragments
 
     def samples(self) -> Iterator[tuple[int, int]]:
-        """(offset, size) of every sample, in decoding order."""
+        """(offset, size) of every sample, in decoding order: those of the tables, then those of the fragments."""
+        yield from self._table_samples()
+        for at, n, _, _ in self.fragments:
+            yield at, n
+
+    def _table_samples(self) -> Iterator[tuple[int, int]]:
         done = 0
         for i, (first, count, _) in enumerate(self.chunk_runs):
             last = self.chunk_runs[i + 1][0] - 1 if i + 1 < len(self.chunk_runs) else len(self.chunk_offsets)
@@ -117,13 +130,78 @@ class Track:
                     yield at, n
                     at, done = at + n, done + 1
 
+    def count(self) -> int:
+        return self.n_samples + len(self.fragments)
+
     def media_duration(self) -> int:
-        return sum(n * delta for n, delta in self.times) or self.duration
+        told = sum(n * delta for n, delta in self.times)
+        return told + sum(x[2] for x in self.fragments) or self.duration
 
     def key_ranges(self) -> list[tuple[int, int]]:
-        """Byte ranges of the sync samples; without a table of them each sample is one."""
+        """Byte ranges of the sync samples; without a table of them each sample of the tables is one."""
         keys = None if self.sync is None else set(self.sync)
-        return [x for i, x in enumerate(self.samples(), 1) if keys is None or i in keys]
+        return [x for i, x in enumerate(self._table_samples(), 1) if keys is None or i in keys] + [(at, n) for at, n, _, key in self.fragments if key]
+
+
+@dataclass
+class _Fragment:
+    """What a track fragment's header says, and where its next run begins."""
+
+    track: Track | None
+    base: int
+    duration: int
+    size: int
+    flags: int
+
+
+def _fragment(view: memoryview, inner: int, stop: int, moof: int, tracks: list[Track], defaults: dict[int, tuple]) -> _Fragment:
+    """Read a tfhd box: fields that it leaves out come from the track's defaults."""
+    flags, track_id = struct.unpack_from(">I", view, inner)[0] & 0xFFFFFF, struct.unpack_from(">I", view, inner + 4)[0]
+    at, (duration, size, sample_flags) = inner + 8, defaults.get(track_id, (0, 0, 0))
+    base = moof
+    if flags & TF_BASE:
+        base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+    at += 4 * bool(flags & TF_DESCRIPTION)
+    told = []
+    for flag, default in ((TF_DURATION, duration), (TF_SIZE, size), (TF_FLAGS, sample_flags)):
+        if flags & flag:
+            if at + 4 > stop:
+                raise struct.error("cut")
+            told.append(struct.unpack_from(">I", view, at)[0])
+            at += 4
+        else:
+            told.append(default)
+    return _Fragment(next((t for t in tracks if t.track_id == track_id), None), base, *told)
+
+
+def _run(view: memoryview, inner: int, stop: int, f: _Fragment, moof: int, next_at: int | None) -> int:
+    """Add a trun box's samples to its track; gives the byte after the last one."""
+    flags, count = struct.unpack_from(">I", view, inner)[0] & 0xFFFFFF, struct.unpack_from(">I", view, inner + 4)[0]
+    at, first = inner + 8, None
+    offset = f.base if next_at is None else next_at
+    if flags & TR_OFFSET:
+        offset, at = f.base + struct.unpack_from(">i", view, at)[0], at + 4
+    if flags & TR_FIRST:
+        first, at = struct.unpack_from(">I", view, at)[0], at + 4
+    columns = [x for x in (TR_DURATION, TR_SIZE, TR_FLAGS, TR_COMPOSITION) if flags & x]
+    rows = _array(view, at, stop, "I" * len(columns), count) if columns else [()] * min(count, len(view))  # a damaged count must not outgrow the file
+    for i, row in enumerate(rows):
+        told = dict(zip(columns, row, strict=True))
+        size, sample_flags = told.get(TR_SIZE, f.size), told.get(TR_FLAGS, first if i == 0 and first is not None else f.flags)
+        if f.track is not None:
+            f.track.fragments.append((offset, size, told.get(TR_DURATION, f.duration), not sample_flags & NO_KEY))
+        offset += size
+    if len(rows) < count:
+        raise struct.error("cut")
+    return offset
+
+
+def _packed_sizes(view: memoryview, at: int, stop: int, bits: int, n: int) -> list[int]:
+    """Sample sizes of 4, 8 or 16 bits."""
+    if bits == 4:
+        raw = bytes(view[at : min(stop, at + -(-n // 2))])
+        return [x for b in raw for x in (b >> 4, b & 15)][:n]
+    return [x for (x,) in _array(view, at, stop, "B" if bits == 8 else "H", n)]
 
 
 def _array(data: memoryview, at: int, end: int, form: str, n: int) -> list[tuple]:
@@ -136,6 +214,8 @@ def walk(data: bytes) -> tuple[list[Track], list[tuple[str, int, int]], str | No
     """Tracks, (path, offset, size) of every box, and the first error if there is one."""
     view, tracks, boxes, error = memoryview(data), [], [], None
     stack = [(0, len(data), "")]
+    defaults: dict[int, tuple] = {}
+    moof, fragment, after = 0, None, None
     while stack:
         at, end, path = stack.pop()
         if end - at < 8:
@@ -160,11 +240,26 @@ def walk(data: bytes) -> tuple[list[Track], list[tuple[str, int, int]], str | No
         stack.append((stop, end, path))
         if kind == b"trak":
             tracks.append(Track())
+        elif kind == b"moof":
+            moof = at
+        elif kind == b"traf":
+            fragment = after = None
         if kind in PARENTS:
             if kind == b"stsd" and tracks and stop - inner >= 16 and not tracks[-1].codec:
                 tracks[-1].codec = bytes(view[inner + 12 : inner + 16]).decode("latin-1")
             if kind not in (b"stsd", b"dref"):
                 stack.append((min(stop, inner + PARENTS[kind]), stop, name))
+        elif kind in (b"trex", b"tfhd", b"trun") and stop - inner >= 8:
+            try:
+                if kind == b"trex":
+                    track_id, _, *told = struct.unpack_from(">5I", view, inner + 4)
+                    defaults[track_id] = tuple(told)
+                elif kind == b"tfhd":
+                    fragment = _fragment(view, inner, stop, moof, tracks, defaults)
+                elif fragment is not None:
+                    after = _run(view, inner, stop, fragment, moof, after)
+            except struct.error:
+                error = error or f"cut table {name} at {at}"
         elif tracks and stop - inner >= 8:
             t, wide = tracks[-1], view[inner] == 1
             count = struct.unpack_from(">I", view, inner + 4)[0]
@@ -185,6 +280,12 @@ def walk(data: bytes) -> tuple[list[Track], list[tuple[str, int, int]], str | No
                     t.fixed_size, n = struct.unpack_from(">II", view, inner + 4)
                     t.n_samples = min(n, len(data))  # a damaged count must not outgrow the file
                     t.sizes = [] if t.fixed_size else [x for (x,) in _array(view, inner + 12, stop, "I", t.n_samples)]
+                elif kind == b"stz2":
+                    bits, n = view[inner + 7], struct.unpack_from(">I", view, inner + 8)[0]
+                    t.n_samples = min(n, len(data))
+                    t.sizes = _packed_sizes(view, inner + 12, stop, bits, t.n_samples)
+                elif kind == b"ctts":
+                    t.composition = _array(view, inner + 8, stop, "Ii" if wide else "II", count)
                 elif kind in (b"stco", b"co64"):
                     t.chunk_offsets = [x for (x,) in _array(view, inner + 8, stop, "Q" if kind == b"co64" else "I", count)]
             except struct.error:
@@ -202,7 +303,7 @@ def read_payload(data: bytes) -> bytes:
 
 def feature(tracks: list[Track], error: str | None) -> str:
     """codec, seconds and keyframe ranges (offset+size), track by track."""
-    shown = [f"{t.handler}/{t.codec.strip()};duration={t.media_duration()}/{t.timescale};samples={t.n_samples};keys=" + ",".join(f"{a}+{n}" for a, n in t.key_ranges()) for t in tracks]
+    shown = [f"{t.handler}/{t.codec.strip()};duration={t.media_duration()}/{t.timescale};samples={t.count()};keys=" + ",".join(f"{a}+{n}" for a, n in t.key_ranges()) for t in tracks]
     return "|".join(shown) + (f"|error={error}" if error else "")
 
 
@@ -210,16 +311,28 @@ TRACK_SCHEMA = "codec string, handler string, timescale long, duration long, n_s
 
 
 def describe(df: DataFrame, media: str = "media", out: str = "tracks") -> DataFrame:
-    """df plus an array of its container's tracks (null media: null); payload bytes aren't touched."""
+    """df plus an array of its container's tracks (null media: null), which replaces a column of that name; payload bytes aren't touched."""
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
-    @F.udf(f"array<struct<{TRACK_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
-    def tracks(data):
-        if data is None:
-            return None
-        return [(t.codec.strip(), t.handler, t.timescale, t.media_duration(), t.n_samples, t.key_ranges()) for t in walk(bytes(data))[0]]
+    staged = names.plain(df, media=F.col(names.quoted(media)).cast("binary"))
+    kind = T.StructType.fromDDL(f"tracks array<struct<{TRACK_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
+    schema = T.StructType([*staged.schema.fields[:-1], kind.fields[0]])
 
-    return df.withColumn(out, tracks(media))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind.fields[0].dataType)
+        for batch in batches:
+            found = []
+            for x in batch.column("media"):
+                tracks = walk(x.as_py())[0] if x.is_valid else None
+                found.append(None if tracks is None else [{"codec": t.codec.strip(), "handler": t.handler, "timescale": t.timescale, "duration": t.media_duration(), "n_samples": t.count(), "keys": [{"offset": a, "size": n} for a, n in t.key_ranges()]} for t in tracks])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=schema.names)
+
+    made = staged.mapInArrow(run, schema)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() != out.lower()]
+    return made.select(*kept, F.col("tracks").alias(out))
 
 
 def store(docs: DataFrame) -> DataFrame:
