@@ -16,7 +16,8 @@ one alignment without conflicting values, cover that share of its tokens.
 
 Results for odd input: null or empty texts and items have no windows and never match; items of under three
 tokens can't be searched for; repeated documents or items give a row each pair of ids; null ids stay null; a
-doc_id with different texts is judged by each text. Other columns are ignored (``drop_contaminated`` keeps them).
+doc_id with different texts is judged by each text; a very long text is a chunk of its own, at about 20 bytes of memory a
+byte. Other columns are ignored (``drop_contaminated`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm import keyed, scratch, tokens
+from lontar.llm import keyed, names, scratch, tokens
 
 # Unit words.
 UNITS = (
@@ -102,7 +103,7 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     literal = tokens.word_hashes(lower, start, end)
     row = np.searchsorted(offsets, start, "right") - 1
     number = numeral[start]
-    stops = np.concatenate(([0], np.cumsum(_STOP[data])))
+    stops = np.concatenate(([0], np.cumsum(_STOP[data], dtype=np.int32)))
     opening = np.ones(len(start), bool)
     opening[1:] = (row[1:] != row[:-1]) | (stops[start[1:]] > stops[end[:-1]])
     name = capital[start] & ~opening
@@ -246,6 +247,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Data
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs without the documents that an item leaked into."""
-    bad = scratch.checkpoint(leaks(docs, benchmark, rules).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct())
-    staged = docs.withColumn("__node", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    return keyed.without(staged, "__node", bad, ["__node", "__id"]).select(*docs.columns)
+    bad = scratch.checkpoint(leaks(docs, benchmark, rules).select("node", "doc_id").distinct())
+    staged = names.plain(docs, node=F.xxhash64(F.col("text").cast("string")), doc_id=F.col("doc_id").cast("long"))
+    return names.restored(keyed.without(staged, "node", bad, ["node", "doc_id"]), docs)

@@ -11,7 +11,8 @@ sums over equal slots of the time line; only the slot in which the budget falls
 
 Results for odd input: a null or empty text has size 0 and takes no words; a null source is one source, last
 in order; rows of one source with equal doc_id are taken together; without any words all targets are 0.0; an
-empty table gives an empty one. Other columns are ignored by ``schedule`` and kept by ``mix``.
+empty table gives an empty one. Other columns are ignored by ``schedule`` and kept by ``mix_documents``, whatever their
+names. A very long text only counts its words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lontar.llm import scratch
+from lontar.llm import names, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 COARSE_BITS = 9
@@ -128,15 +129,14 @@ def schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), ordered: bool = True) -> DataFrame:
     """The mixed corpus: docs' columns, each taken document once for each pass that takes it, sorted by virtual finish time."""
-    made = ["__queue", "__id", "__time"]
     plan = _scheduled(docs, mix).filter("copies > 0")
     times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: (F.col("done") + k * F.col("source_size")).cast("double") / F.col("target"))
-    plan = plan.groupBy(F.col("queue").alias("__queue"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).agg(F.max(times).alias("__time"))
-    keyed = docs.withColumn("__queue", _queue()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    taken = keyed.join(plan, ["__queue", "__id"]).withColumn("__time", F.explode("__time"))
+    plan = plan.groupBy("queue", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")).agg(F.max(times).alias("times"))
+    keyed = names.plain(docs, queue=_queue(), id=F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    taken = keyed.join(plan, ["queue", "id"]).withColumn("time", F.explode("times"))
     if ordered:
-        taken = taken.repartitionByRange("__time", "__id").sortWithinPartitions("__time", "__id")
-    return taken.select(*docs.columns).drop(*made)
+        taken = taken.repartitionByRange("time", "id").sortWithinPartitions("time", "id")
+    return names.restored(taken, docs)
 
 
 ORACLE_SQL = r"""
