@@ -84,13 +84,11 @@ def lm_by_hand(some, rules):
     held = lambda d: zlib.crc32(str(d if d is not None else "").encode()) % 7 == 2
     train = [token(t) for d, t, *_ in some if not held(d)]
     counts = [Counter(w for t in train for w in t), Counter(x for t in train for x in zip([None, *t[:-1]], t, strict=True))]
-    mean = []
-    for kind, c in enumerate(counts):
-        level = {x: int(lm_score.levels(np.array([n]), kind)[0]) for x, n in c.items()}
-        by = defaultdict(list)
-        for x, n in c.items():
-            by[level[x]].append(n)
-        mean.append({x: np.mean(by[k]) for x, k in level.items()})
+    level = {x: int(lm_score.levels(np.array([n]))[0]) for x, n in counts[1].items()}
+    by = defaultdict(list)
+    for x, n in counts[1].items():
+        by[level[x]].append(n)
+    mean = {x: np.mean(by[k]) for x, k in level.items()}
     total, distinct = sum(counts[0].values()), len(counts[0])
     weight = sum(n - 1 for n in counts[1].values()) / max(1, total)
 
@@ -98,9 +96,9 @@ def lm_by_hand(some, rules):
         w = token(t)
         out = 0.0
         for before, x in zip([None, *w[:-1]], w, strict=True):
-            c = mean[0].get(before, 0.0)
+            c = counts[0][before]
             lam = weight if c else 0.0
-            out += math.log10(lam * min(mean[1].get((before, x), 0.0), c) / max(c, 1.0) + (1 - lam) * (mean[0].get(x, 0.0) + 1) / (total + distinct + 1))
+            out += math.log10(lam * min(mean.get((before, x), 0.0), c) / max(c, 1.0) + (1 - lam) * (counts[0][x] + 1) / (total + distinct + 1))
         return (len(w), sum(x in counts[0] for x in w), total, sum(math.log10((counts[0][x] + 1) / (total + distinct + 1)) for x in w), out)
 
     return held, scored, counts, mean, total, distinct
@@ -127,7 +125,7 @@ def test_a_filter_of_any_size_gives_the_same_scores(spark):
     model = lm_score.train(d, narrow)
     _, scored, counts, _, total, distinct = lm_by_hand(some, wide)
     assert lm_score.train(d, wide).log_filter is not None and model.log_filter is None and (model.total, model.distinct) == (total, distinct)
-    assert model.kept == sum(int(lm_score.levels(np.array([n]), k)[0]) for k, c in enumerate(counts) for n in c.values())
+    assert model.kept == sum(int(lm_score.levels(np.array([n]))[0]) for n in counts[1].values())
     got, want = ({r.doc_id: tuple(r) for r in lm_score.score(d, rules).collect()} for rules in (narrow, wide))
     assert set(got) == {i for i, *_ in some}
     for i, t, *_ in some:
@@ -140,8 +138,7 @@ def test_lm_probabilities_add_up(spark):
     model = lm_score.train(fixtures.documents(spark, some), lm_score.Rules(filter_bits=22, head=64, slice_docs=4, bits_an_entry=40))
     _, _, counts, mean, total, distinct = lm_by_hand(some, None)
     words = list(counts[0])
-    level = lambda kind, c: lm_score.levels(np.array([c]), kind) if c else np.zeros(1, np.int64)
-    p = lambda before, x: 10 ** model.logs(np.concatenate((level(0, counts[0].get(before, 0)), level(0, counts[0].get(x, 0)))), np.concatenate(([0], level(1, counts[1].get((before, x), 0)))), 0)[1]
+    p = lambda before, x: 10 ** model.logs(np.array([counts[0][before], counts[0][x]]), np.array([0, lm_score.levels(np.array([counts[1][before, x]]))[0]]), 0)[1]
     assert sum(p("unseen", x) for x in [*words, "other"]) == pytest.approx(1, abs=1e-9)
     sums = [sum(p(before, x) for x in [*words, "other"]) for before in words]
     assert np.average(sums, weights=[counts[0][w] for w in words]) == pytest.approx(1, abs=0.03) and 0.6 < min(sums) <= max(sums) < 1.4
@@ -149,11 +146,10 @@ def test_lm_probabilities_add_up(spark):
 
 def test_log_filter_holds_every_count():
     h, n = tokens.mix(np.arange(1000, dtype=np.uint64)), np.arange(1, 1001)
-    for kind in (0, 1):
-        f = lm_score.LogFilter(np.zeros(1 << 12, np.uint64), 0, 3)
-        f.add(h, lm_score.levels(n, kind))
-        assert (f.level(h) >= lm_score.levels(n, kind)).all() and np.mean(f.level(h) == lm_score.levels(n, kind)) > 0.8
-        assert (f.level(tokens.mix(np.arange(5000, 9000, dtype=np.uint64))) > 0).mean() < 0.15
+    f = lm_score.LogFilter(np.zeros(1 << 12, np.uint64), 0, 3)
+    f.add(h, lm_score.levels(n))
+    assert (f.level(h) >= lm_score.levels(n)).all() and np.mean(f.level(h) == lm_score.levels(n)) > 0.8
+    assert (f.level(tokens.mix(np.arange(5000, 9000, dtype=np.uint64))) > 0).mean() < 0.15
 
 
 # 3
