@@ -38,6 +38,7 @@ from lontar.llm.components import components
 SHINGLE = 5
 ELEMENTS = 100_000
 ROWS = 1024
+BLOCKS = 32  # pairs of blocks in an Arrow batch
 POINTS = 16_384
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -49,7 +50,7 @@ class NearDup:
     similarity: float = 0.8
     bands: int = 42
     width: int = 6
-    block: int = 1024
+    block: int = 256
     sketch: bool = True
 
     @property
@@ -211,7 +212,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rules: NearDup) -> DataFrame:
                     yield half.select(["a", "b"]).filter(ok)
 
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    out = scratch.checkpoint(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    with scratch.batches(docs.sparkSession, ROWS):
+        out = scratch.checkpoint(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
     scratch.drop(texts)
     return out
 
@@ -234,7 +236,8 @@ def links(docs: DataFrame, rules: NearDup = NearDup(), features: DataFrame | Non
     pairs = scratch.checkpoint(members.filter("node <> pivot").select(*_ordered("node", "pivot")).distinct())
     found = _verified(pairs, docs, rules)
     roots = scratch.checkpoint(components(found))
-    rest = scratch.checkpoint(_open_pairs(members, roots, reps, docs, rules).join(pairs, ["a", "b"], "left_anti"))
+    with scratch.batches(docs.sparkSession, BLOCKS):
+        rest = scratch.checkpoint(_open_pairs(members, roots, reps, docs, rules).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = scratch.checkpoint(found.union(_verified(rest, docs, rules)))
         roots = scratch.checkpoint(components(found))
@@ -315,7 +318,8 @@ def _shared_weights(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, rules: NearDup = NearDup()) -> DataFrame:
     """doc_id, node, class_id and class_size of every document."""
-    features = scratch.table(_features(docs, rules), "signatures")
+    with scratch.batches(docs.sparkSession, 2 * ROWS):
+        features = scratch.table(_features(docs, rules), "signatures")
     _, roots = links(docs, rules, features)
     ids = scratch.checkpoint(features.select("doc_id", "node", "words"))
     scratch.drop(features)
