@@ -149,8 +149,37 @@ def spell(number: Column) -> Column:
 
 def clean_quantity(cell: Column) -> Column:
     """A quantity only if the cell holds exactly one number and no odd symbol."""
-    one = F.size(F.regexp_extract_all(cell, F.lit(TOKEN), F.lit(0))) == 1
-    return F.when(one & ~cell.rlike(r"[:;=)(\]\[{}<>|?!@#$^&*_~\\]"), parse_number(F.regexp_extract(cell, TOKEN, 0)))
+    found = F.regexp_extract_all(cell, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
+    return F.when((F.size(found) == 1) & ~cell.rlike(r"[^\p{L}\p{N}_\s.,/()\-]"), parse_number(F.get(found, F.lit(0))))
+
+
+def plain_number_words(text: Column) -> Column:
+    """A whole number below a million that consists of number words alone, as dates are spelled; null for any other word, and for zero.
+
+    A unit waits for a rank (belas, puluh, ratus); ribu closes what is before it.
+    """
+    split = F.create_map(*[x for k, v in {**WITH_SE, "seribu": "ribu"}.items() if v in ("puluh", "belas", "ratus", "ribu") for x in (F.lit(k), F.array(F.lit("satu"), F.lit(v)))])
+    words = F.filter(F.split(F.lower(F.trim(text)), r"[\s-]+"), lambda w: w != "")
+    parts = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(split, w), F.array(F.when(w == "se", "satu").otherwise(w)))))
+    units = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("total"), zero.alias("group"), zero.alias("digit"))
+
+    def step(a: Column, w: Column) -> Column:
+        unit = F.try_element_at(units, w)
+        put = lambda total, group, digit: F.struct(total.alias("total"), group.alias("group"), digit.alias("digit"))
+        one = F.greatest(a["digit"], F.lit(1).cast("long"))
+        return (
+            F.when(unit.isNotNull(), put(a["total"], a["group"], unit))
+            .when(w == "belas", put(a["total"], a["group"] + 10 + a["digit"], zero))
+            .when(w == "puluh", put(a["total"], a["group"] + one * 10, zero))
+            .when(w == "ratus", put(a["total"], a["group"] + one * 100, zero))
+            .when(w == "ribu", put(a["total"] + F.greatest(a["group"] + a["digit"], F.lit(1).cast("long")) * 1000, zero, zero))
+        )
+
+    known = F.forall(parts, lambda w: w.isin(*UNITS, "belas", "puluh", "ratus", "ribu"))
+    total = F.aggregate(parts, start, step, lambda a: a["total"] + a["group"] + a["digit"])
+    return F.when((F.size(parts) > 0) & known, F.nullif(total, F.lit(0).cast("long")))
 
 
 def strip_runaway_digits(text: Column) -> Column:

@@ -35,8 +35,9 @@ def is_numeric_text(text: Column) -> Column:
 
 
 def is_numeric_cell(text: Column) -> Column:
-    """An optional currency, grouped digits, and an optional percent sign or dash."""
-    return F.coalesce(F.trim(text).rlike(r"(?i)^(?:Rp\.?|IDR|USD|\$)?\s*-?\d{1,3}(?:[.,]?\d{3})*(?:[.,]\d+)?\s*(?:%|,?-+)?$"), F.lit(False))
+    """An optional currency, digits with dots or commas between, and trailing percent signs or dashes."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^(?:Rp\.?|IDR|\$)\s*", ""), "[%\u2013\u2014-]+$", "")
+    return F.coalesce(F.trim(bare).rlike(r"^-?\d+(?:[.,]\d+)*$"), F.lit(False))
 
 
 def stored(path: Column, denied: tuple[str, ...] = ("NPWP",)) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +37,18 @@ def section_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return marked.groupBy(key, "n").agg(F.first("opens", ignorenulls=True).alias("section"), F.min("line").alias("first_line"), F.max("line").alias("last_line")).drop("n")
 
 
+# How instalments are named, and words that speak of several.
+TERM = r"(?i)\btermin\s+(?:ke[-\s]*)?(?:[IVX]+|\d+|pertama|kedua|ketiga|keempat|kelima|terakhir)\b|\buang\s+muka\b|\bdown\s+payment\b|\bpelunasan\b|\bretensi\b"
+SEVERAL = r"(?i)masing[-\s]*masing|\bsetiap\b|\btiap\b|per\s*bulan"
+
+
 def payment_term(text: Column) -> Column:
-    """A struct (label, amount, percentage): each is read only where the sentence names exactly one."""
-    terms = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:termin\s+(?:ke[- ]?)?(?:\d+|[IVX]+)|uang\s+muka|pelunasan)\b"), F.lit(0))
+    """A struct (label, amount, percentage): a term and its amount only where the sentence speaks of one; nothing is computed."""
+    terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     numbered = F.array_distinct(F.filter(F.transform(terms, lambda t: F.lower(t)), lambda t: t.startswith("termin")))
-    one = (F.size(terms) > 0) & (F.size(numbered) <= 1)
-    amounts = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Rp\.?\s*(\d[\d.,]*\d)"), F.lit(1)), lambda a: parse_number(a)))
-    shares = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\d{1,3}(?:[.,]\d+)?\s*%"), F.lit(0)), lambda p: F.replace(p, F.lit(" "), F.lit(""))))
+    one = (F.size(terms) > 0) & (F.size(numbered) <= 1) & ~text.rlike(SEVERAL)
+    amounts = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Rp\.*\s*(\d[\d.,]*\d)"), F.lit(1)), lambda a: parse_number(a)), lambda a: a.isNotNull()))
+    shares = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{1,3}(?:[.,]\d+)?\s*%"), F.lit(0)), lambda p: F.replace(p, F.lit(" "), F.lit(""))))
     return F.struct(F.when(one, F.get(terms, 0)).alias("label"), F.when(one & (F.size(amounts) == 1), F.get(amounts, 0)).alias("amount"), F.when(F.size(shares) == 1, F.get(shares, 0)).alias("percentage"))
 
 
@@ -56,9 +58,9 @@ def period(text: Column) -> Column:
     return F.when(F.size(found) >= 2, F.struct(F.get(found, 0).alias("starts"), F.get(found, 1).alias("ends")))
 
 
-def handing_over(text: Column) -> Column:
-    """Which party hands over, by the sentence that says so: first, second or null."""
-    flat = F.regexp_replace(F.substring(text, 1, 6000), r"\s+", " ")
+def handing_over(text: Column, most_chars: int = 6000) -> Column:
+    """Which party hands over, by the sentence that says so in the first ``most_chars`` characters (where hand-over documents say it): first, second or null."""
+    flat = F.regexp_replace(F.substring(text, 1, most_chars), r"\s+", " ")
     said = F.lower(F.regexp_extract(flat, r"(?i)pihak\s+(pertama|kedua)\s+menyerahkan\s+kepada", 1))
     headed = F.when(flat.rlike(r"(?i)##\s*MENYERAHKAN"), F.lower(F.regexp_extract(flat, r"(?i)selanjutnya\s+pihak\s+(pertama|kedua)", 1)))
     side = F.coalesce(F.nullif(said, F.lit("")), F.nullif(headed, F.lit("")))
@@ -72,66 +74,6 @@ def direction(first: Column, second: Column, text: Column, ours: str) -> Column:
     return F.coalesce(F.when(mine == side, "customer").when(mine != side, "vendor"), F.lit("unknown"))
 
 
-def addressee(text: Column) -> Column:
-    """The name and place lines after "Kepada Yth." of a letter."""
-    block = F.regexp_extract(text, r"(?is)kepada\s*(?:yth\.?)?\s*:?\s*\n?(.*?)(?:\n\s*\n|\bdengan\s+hormat\b|\bperihal\b|$)", 1)
-    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.struct(F.get(lines, 0).alias("name"), F.nullif(F.array_join(F.slice(lines, 2, 10), ", "), F.lit("")).alias("address"))
-
-
-def labeled_fields(text: Column, labels: tuple[str, ...] = ("Nama", "Jabatan", "Alamat", "NPWP")) -> Column:
-    """A struct of the values that follow "label :" at a line's start."""
-    return F.struct(*[F.nullif(F.trim(F.regexp_extract(text, rf"(?mi)^\s*(?:[-*]\s*)?{name}\s*:\s*(.+)$", 1)), F.lit("")).alias(name.lower()) for name in labels])
-
-
-_MARK = re.compile(r"^\s*(?:\((\w{1,5})\)|(\w{1,5})([.)]))\s")
-_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-
-
-def _readings(line: str) -> list[tuple[str, int]]:
-    """(style, number) readings of a line's list mark; a letter may also be a roman number."""
-    m = _MARK.match(line)
-    if not m:
-        return []
-    mark, shape = m[1] or m[2], "()" if m[1] else m[3]
-    if mark.isdigit():
-        return [("number" + shape, int(mark))]
-    out = [("letter" + shape, ord(mark.lower()) - 96)] if len(mark) == 1 and mark.isascii() and mark.isalpha() else []
-    if set(mark.lower()) <= set(_ROMAN):
-        values = [_ROMAN[c] for c in mark.lower()]
-        out.append(("roman" + shape, sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))))
-    return out[::-1] if mark.lower() == "i" else out
-
-
-def list_levels(lines: DataFrame, key: str, order: str, text: str, heading: str) -> DataFrame:
-    """key, order and level of every marked line: a style seen above goes back to its level, a new one goes deeper.
-
-    The next number in a known style wins over other readings; headings start afresh. What a line means depends on the
-    lines before it, so a document is one group.
-    """
-
-    def walk(doc: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [], []
-        for place, line, head in doc.sort_values(order)[[order, text, heading]].itertuples(index=False):
-            if head:
-                stack = []
-                continue
-            readings = _readings(line or "")
-            if not readings:
-                continue
-            depth = [(d, s, n) for d in range(len(stack) - 1, -1, -1) for s, n in readings if stack[d][0] == s]
-            exact = [x for x in depth if x[2] == stack[x[0]][1] + 1]
-            first = line.strip(" (").lower().startswith("i")
-            jump = [x for x in depth if not (first and x[1].startswith("letter"))]
-            level, style, number = (exact or jump or [(len(stack), *readings[0])])[0]
-            stack = [*stack[:level], (style, number)]
-            out.append((doc[key].iloc[0], place, level))
-        return pd.DataFrame(out, columns=[key, order, "level"])
-
-    kinds = dict(lines.dtypes)
-    return lines.select(key, order, text, heading).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}, level int")
-
-
 def handover_drafts(contracts: DataFrame, items: DataFrame, verified: DataFrame, required: list[str], key: str) -> DataFrame:
     """key, ready, problems and items of a hand-over draft: only from confirmed values, else the list of what is missing.
 

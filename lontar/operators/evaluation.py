@@ -71,3 +71,47 @@ def only_in_one(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Documents that only one of two runs has."""
     a, b = old.select(key).distinct(), new.select(key).distinct()
     return a.subtract(b).withColumn("side", F.lit("old")).unionByName(b.subtract(a).withColumn("side", F.lit("new")))
+
+
+# Parts of the names of fields whose wording is a matter of convention, and the critical fields by document kind.
+CONVENTIONS = ("Jangka Waktu", "Catatan Khusus", "Lokasi", "Persentase Sanksi", "Mekanisme", "Syarat", "Garansi", "Masa Berlaku", "Jabatan", "Keterangan", "Spesifikasi", "Tujuan Surat")
+CRITICAL = {
+    "contract": ("Nomor Kontrak Kerja", "Nama Pekerjaan", "Pihak Pertama.Nama Perusahaan", "Pihak Kedua.Nama Perusahaan", "sub total", "Total PPN", "Total Harga Pekerjaan"),
+    "sph": ("Nomor SPH", "Tanggal SPH", "Vendor.Nama Vendor", "Subtotal", "Nilai PPN", "Grand Total"),
+}
+LEAST_KNOWN = 0.5
+
+
+def field_kind(field: Column) -> Column:
+    """Whether a field's wording is a convention or lies in the document itself."""
+    found = F.lit(False)
+    for part in CONVENTIONS:
+        found = found | field.contains(part)
+    return F.when(found, "convention").otherwise("intrinsic")
+
+
+def compare_systems(golden: DataFrame, systems: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """(system, kind, right, fields) over all fair documents, and the documents left out with the reason.
+
+    golden: key, field, expected, critical, uncorrected (a skeleton or made from a system's own output); a system's table:
+    key, field, predicted, status. A document counts if every system has it and knows at least half of its fields.
+    """
+    fields = golden.groupBy(key).agg(F.count("*").alias("n"), F.max("uncorrected").alias("uncorrected"))
+    state = fields
+    for name, rows in systems.items():
+        known = rows.join(golden.select(key, "field"), [key, "field"], "left_semi").groupBy(key).agg(F.count("*").alias(f"known_{name}"))
+        state = state.join(rows.select(key).distinct().withColumn(f"has_{name}", F.lit(True)), key, "left").join(known, key, "left")
+    missing, foreign = F.lit(False), F.lit(False)
+    for name in systems:
+        missing = missing | F.col(f"has_{name}").isNull()
+        foreign = foreign | (F.coalesce(F.col(f"known_{name}"), F.lit(0)) / F.col("n") < LEAST_KNOWN)
+    reason = F.when(F.col("uncorrected"), "golden is no fair judge").when(missing, "incomplete output").when(foreign, "other schema")
+    judged = state.select(key, reason.alias("reason"))
+    fair = golden.join(judged.filter("reason is null"), key, "left_semi")
+    out = None
+    for name, rows in systems.items():
+        results = evaluate(fair.select(key, "field", "expected", "critical"), rows, [key, "field"])
+        good = F.col("verdict").isin("exact", "lenient", "correct_null")
+        sums = results.groupBy(field_kind(F.col("field")).alias("kind")).agg(F.count_if(good).alias("right"), F.count("*").alias("fields")).select(F.lit(name).alias("system"), "kind", "right", "fields")
+        out = sums if out is None else out.unionByName(sums)
+    return out, judged.filter("reason is not null")

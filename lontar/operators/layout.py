@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What may merge with what, and the largest gap between merged blocks.
-FAMILIES = {"paragraph": 1, "text": 1, "key_value": 2, "list": 3, "list_item": 3}
-MAX_GAP = 0.018
-PARTY_HEADING = r"(?i)^\s*pihak\s+(?:pertama|kedua|kesatu|ke[\s-]?1|ke[\s-]?2)\s*$"
+from lontar.functions.text import clean_ocr_line
 
 
 def normalize_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, bottom_left: bool = False) -> Column:
@@ -38,31 +32,18 @@ def same_row(a: Column, b: Column) -> Column:
 
 
 def text_lines(boxes: DataFrame, keys: list[str], y_tolerance: float = 0.015, x_gap: float = 0.15) -> DataFrame:
-    """Boxes put together to lines: same row bucket, and no gap to the right beyond x_gap. Mean confidence, texts in order."""
-    row = boxes.withColumn("row", F.floor((F.col("y0") + F.col("y1")) / 2 / y_tolerance))
-    flow = Window.partitionBy(*keys, "row").orderBy("x0", "x1", "text")
-    apart = F.col("x0") - F.lag("x1").over(flow) > x_gap
-    runs = row.withColumn("run", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(flow.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))), lambda x: x["text"]), " ")
-    return runs.groupBy(*keys, "row", "run").agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.avg("confidence").alias("confidence"))
-
-
-def merge_adjacent(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks that follow each other in one family without a gap become one: texts by line, box union, least confidence."""
-    table = F.create_map(*[x for k, v in FAMILIES.items() for x in (F.lit(k), F.lit(v))])
-    flow = Window.partitionBy(*keys).orderBy("ordinal")
-    family = F.try_element_at(table, F.col("type"))
-    heading = F.col("text").rlike(PARTY_HEADING)
-    staged = blocks.withColumn("family", family).withColumn("heading", heading)
-    lowest = F.max("y1").over(Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(-1, -1))
-    fresh = (
-        F.col("family").isNull() | ~F.col("family").eqNullSafe(F.lag("family").over(flow)) | F.col("heading") | F.coalesce(F.lag("heading").over(flow), F.lit(False)) | (F.col("y0") - lowest > MAX_GAP)
-    )
-    groups = staged.withColumn("group", F.sum(fresh.cast("int")).over(flow.rowsBetween(Window.unboundedPreceding, 0)))
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
-    return groups.groupBy(*keys, "group").agg(
-        F.min("ordinal").alias("ordinal"), F.min_by("type", "ordinal").alias("type"), texts.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("confidence").alias("confidence"), F.count("*").alias("members")
-    )
+    """Boxes put together to lines: neighbours in reading order whose centres are near or of which one reaches no further
+    than the other, and that have no gap to the right beyond x_gap. Cleaned texts from left to right, mean confidence."""
+    flow = Window.partitionBy(*keys).orderBy(F.bround(F.col("y0") / y_tolerance), "x0", "x1", "text")
+    before = lambda c: F.lag(c).over(flow)
+    centre = (F.col("y0") + F.col("y1")) / 2
+    near = F.abs(centre - before(centre)) <= y_tolerance
+    within = (F.col("y0") >= before("y0") - y_tolerance) & (F.col("y1") <= before("y1") + y_tolerance)
+    joined = (near | within) & (F.col("x0") - before("x1") <= x_gap)
+    lines = boxes.withColumn("line", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(flow.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))), lambda x: x["text"]), " ")
+    out = lines.groupBy(*keys, "line").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.avg("confidence").alias("confidence"))
+    return out.withColumn("text", clean_ocr_line(F.regexp_replace("text", r"\s*:\s*", " : ")))
 
 
 def reading_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,53 +52,36 @@ def reading_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.withColumn("reading", F.row_number().over(order))
 
 
-def label_pairs(blocks: DataFrame, keys: list[str], y_tolerance: float = 0.02) -> DataFrame:
-    """Bare labels with their values: nearest pairs first, each block once, the value to the right on about the same height.
-
-    Greedy pairing depends on order, so a page is one group of an Arrow function (a page is small); candidates that can't
-    pair are left out before the shuffle.
-    """
-    some = blocks.filter(F.col("text").rlike(r":\s*$") | ~F.col("text").rlike(r":"))
-
-    def pair(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ordinal")
-        labels, values = page[page.text.str.contains(r":\s*$")], page[~page.text.str.contains(":")]
-        found = []
-        for a in labels.itertuples():
-            for b in values.itertuples():
-                dy = abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2)
-                if b.x0 >= a.x1 and dy <= y_tolerance:
-                    found.append((dy + (b.x0 - a.x1), a.ordinal, b.ordinal, a.text, b.text))
-        taken, out = set(), []
-        for _, i, j, label, value in sorted(found):
-            if i not in taken and j not in taken:
-                taken |= {i, j}
-                out.append((*(page[k].iloc[0] for k in keys), label.rstrip().rstrip(":"), value))
-        return pd.DataFrame(out, columns=[*keys, "label", "value"])
-
-    kinds = dict(blocks.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", label string, value string"
-    return some.groupBy(*keys).applyInPandas(pair, schema)
-
-
-def heading_level(text: Column) -> Column:
-    """Markdown heading level from numbering depth: roman or article headings 2, "1." 3, "1.1" 4; 0 for other text."""
-    short = F.length(text) <= 120
-    return (
-        F.when(short & text.rlike(r"(?i)^\s*(?:bab|pasal)\s+[ivxlc\d]+\b"), 2)
-        .when(short & text.rlike(r"^\s*\d{1,2}\.\d{1,2}\.?\s+\S"), 4)
-        .when(short & text.rlike(r"^\s*\d{1,2}\.\s+[A-Z]"), 3)
-        .when(short & text.rlike(r"^[^a-z]*[A-Z]{4,}[^a-z]*$"), 2)
-        .otherwise(0)
-    )
-
-
-def to_markdown(kind: Column, text: Column) -> Column:
-    """A block as Markdown: headings by level, list items with a dash, other text as it is."""
-    level = heading_level(text)
-    return F.when(kind.isin("title", "section_header") | (level > 0), F.concat(F.repeat(F.lit("#"), F.greatest(level, F.lit(1))), F.lit(" "), F.trim(text))).when(kind == "list", F.concat(F.lit("- "), F.regexp_replace(F.trim(text), r"^[-•*]\s*", ""))).otherwise(text)
-
-
-def per_page(fn: Callable[[pd.DataFrame], pd.DataFrame], blocks: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """An order-dependent page algorithm of one's own, on Arrow batches."""
-    return blocks.groupBy(*keys).applyInPandas(fn, schema)
+def inside(box: Column, region: Column, least: float = 0.6) -> Column:
+    """At least that share of a box lies in a region."""
+    width = F.greatest(F.lit(0.0), F.least(box["x1"], region["x1"]) - F.greatest(box["x0"], region["x0"]))
+    height = F.greatest(F.lit(0.0), F.least(box["y1"], region["y1"]) - F.greatest(box["y0"], region["y0"]))
+    area = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+    return F.coalesce(width * height / F.nullif(area, F.lit(0.0)) >= least, F.lit(False))
+
+
+def uncovered(boxes: DataFrame, regions: DataFrame, keys: list[str], least: float = 0.6) -> DataFrame:
+    """Read boxes of a page that lie in none of its regions, and so were lost by the layout engine."""
+    r = regions.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.struct("x0", "y0", "x1", "y1").alias("region"))
+    same = [F.col(k) == F.col(f"r_{k}") for k in keys]
+    box = F.struct("x0", "y0", "x1", "y1")
+    condition = inside(box, F.col("region"), least)
+    for s in same:
+        condition = s & condition
+    return boxes.join(r, condition, "left_anti")
+
+
+def covered_spans(spans: DataFrame, fills: DataFrame, keys: list[str], least: float = 0.9) -> DataFrame:
+    """Text spans of a page (with seqno) that an opaque rectangle drawn later covers."""
+    f = fills.select(*[F.col(k).alias(f"f_{k}") for k in keys], F.struct("x0", "y0", "x1", "y1").alias("fill"), F.col("seqno").alias("f_seqno"))
+    condition = (F.col("f_seqno") > F.col("seqno")) & inside(F.struct("x0", "y0", "x1", "y1"), F.col("fill"), least)
+    for k in keys:
+        condition = (F.col(k) == F.col(f"f_{k}")) & condition
+    return spans.join(f, condition, "left_semi")
+
+
+def visual_box(box: Column) -> Column:
+    """A box with sorted corners, clamped to the page and rounded to five digits; null without one."""
+    clamp = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), 5)
+    a, b, c, d = (clamp(box[k]) for k in ("x0", "y0", "x1", "y1"))
+    return F.when(box.isNotNull(), F.struct(F.least(a, c).alias("x0"), F.least(b, d).alias("y0"), F.greatest(a, c).alias("x1"), F.greatest(b, d).alias("y1")))

@@ -33,6 +33,15 @@ def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFra
     return children.join(parents.select(*keys), keys, "left_anti")
 
 
+def still_referenced(gone: DataFrame, references: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame:
+    """Rows about to be deleted that another table still refers to, with that table's name; must be empty before a delete."""
+    out = None
+    for name, (rows, column) in references.items():
+        held = gone.select(key).join(rows.select(F.col(column).alias(key)), key, "left_semi").select(key, F.lit(name).alias("referenced_by"))
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 def guarded(payload: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """Documents of a payload that already carry human decisions; must be empty before a write."""
     return payload.join(reviews.filter("decision is not null"), key, "left_semi").select(key).distinct()

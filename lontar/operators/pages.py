@@ -22,12 +22,12 @@ def duplicate_tail(paged: DataFrame, key: str = "doc_id", similarity: float = 0.
     pages at least and is no longer than what it repeats. One self-join on page pairs of a document; k is their distance.
     """
     p = paged.select(key, "page", long_words(F.col("text")).alias("w"))
-    count = p.groupBy(key).agg(F.max("page").alias("pages"))
+    count = p.groupBy(key).agg(F.max("page").alias("pages")).withColumnRenamed(key, "k_doc")
     a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.page") > F.col("a.page"))).select(
-        F.col(f"a.{key}").alias(key), F.col("b.page").alias("page"), (F.col("b.page") - F.col("a.page")).alias("k"), ((F.size("b.w") > 0) & (jaccard(F.col("a.w"), F.col("b.w")) >= similarity)).alias("like")
-    )
-    tails = near.join(count, key).filter((F.col("page") > F.col("k")) & (F.col("pages") - F.col("k") >= 2) & (F.col("pages") - F.col("k") <= F.col("k")))
+    k = F.col("b.page") - F.col("a.page")
+    near = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.page") > F.col("a.page"))).join(count, F.col(f"a.{key}") == F.col("k_doc"))
+    near = near.filter((F.col("pages") - k >= 2) & (F.col("pages") - k <= k) & (F.col("b.page") > k))  # before any words are compared
+    tails = near.select(F.col(f"a.{key}").alias(key), k.alias("k"), ((F.size("b.w") > 0) & (jaccard(F.col("a.w"), F.col("b.w")) >= similarity)).alias("like"))
     return tails.groupBy(key, "k").agg(F.bool_and("like").alias("ok")).filter("ok").groupBy(key).agg(F.min("k").cast("int").alias("kept"))
 
 
@@ -72,3 +72,9 @@ def repeated_half(paged: DataFrame, key: str = "doc_id", least: int = 80) -> Dat
 def page_needs_ocr(chars: Column, coverage: Column) -> Column:
     """A page with little text of its own, or some text under a large image."""
     return (chars < 80) | ((coverage > 0.6) & (chars < 240))
+
+
+def without_copies(paged: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The pages of every document without a tail that repeats its first pages."""
+    kept = duplicate_tail(paged, key)
+    return paged.join(kept, key, "left").filter(F.col("kept").isNull() | (F.col("page") <= F.col("kept"))).drop("kept")

@@ -6,42 +6,17 @@ operator reads back must equal the columns that the SQL takes directly.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import dates, identifiers, numbers, predicates, text
-from lontar.operators import classify, contracts, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
+from lontar.operators import blocks, classify, contracts, evaluation, evidence, layout, mapping, pages, reconcile, tables, validation
+from lontar.plans.registry import FLAGSHIP, ORACLE_SQL, QUERIES, grouped, query, said
+from lontar.plans.registry import table as _t
 from lontar.sources import readers
 from lontar.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "validation_report"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is one."""
-
-    def put(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return put
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def grouped(number: Column) -> Column:
-    """A whole number with dots between its thousands."""
-    return F.translate(F.format_number(number.cast("decimal(20,0)"), 0), ",", ".")
-
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 # Business rules
 
@@ -91,14 +66,14 @@ def total_rules(spark: SparkSession, d: str) -> DataFrame:
     h = _t(spark, d, "orders").select(
         "o_orderkey", p.alias("subtotal"), F.when(k % 3 == 0, p * 0.11).when(k % 3 == 1, p * 0.05).alias("vat"), F.when(k % 5 == 0, p * 0.5).when(k % 3 == 0, p * 1.11).otherwise(p).alias("total"), F.lit("PPN 11%").alias("rate_text")
     )
-    return validation.total_issues(h, "o_orderkey").withColumn("expected", F.floor("expected").cast("double"))
+    return validation.total_issues(h, "o_orderkey").drop("fields").withColumn("expected", F.floor("expected").cast("double"))
 
 
 @query("select o_orderkey, 'words_match_amount' rule, 'error' severity, (o_custkey * 1000)::double expected, (o_custkey * 1000 + 5000)::double actual from orders where o_orderkey % 4 = 0 and o_custkey > 0")
 def words_rule(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_custkey") * 1000
     h = _t(spark, d, "orders").select("o_orderkey", F.lit(None).cast("double").alias("subtotal"), n.cast("double").alias("total"), F.concat(numbers.spell(F.when(F.col("o_orderkey") % 4 == 0, n + 5000).otherwise(n)), F.lit(" rupiah")).alias("words_text"))
-    return validation.words_issues(h, "o_orderkey")
+    return validation.words_issues(h, "o_orderkey").drop("fields")
 
 
 @query(
@@ -107,7 +82,7 @@ def words_rule(spark: SparkSession, d: str) -> DataFrame:
 )
 def required_rule(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 10 == 0, " ").otherwise(F.col("c_name")).alias("name"))
-    return validation.required_issues(c, "c_custkey", ["segment", "name"])
+    return validation.required_issues(c, "c_custkey", ["segment", "name"]).drop("fields")
 
 
 @query(
@@ -123,12 +98,12 @@ def date_order_rule(spark: SparkSession, d: str) -> DataFrame:
 # Numbers, words, dates, identifiers
 
 
-@query("select o_orderkey, round(o_totalprice)::double full_form, round(o_totalprice)::double plain, round(o_totalprice)::double dashed, round(o_totalprice)::double english, null::double glued, -round(o_totalprice)::double negative from orders where o_totalprice > 1000")
+@query("select o_orderkey, round(o_totalprice)::double full_form, round(o_totalprice)::double plain, round(o_totalprice)::double dashed, round(o_totalprice)::double english, null::double glued, -round(o_totalprice)::double negative from orders")
 def number_round_trip(spark: SparkSession, d: str) -> DataFrame:
     n = F.round("o_totalprice")
     g = grouped(n)
     forms = {"full_form": F.concat(F.lit("Rp. "), g, F.lit(",00")), "plain": g, "dashed": F.concat(F.lit("IDR "), g, F.lit(",-")), "english": F.concat(F.translate(g, ".", ","), F.lit(".00")), "glued": F.concat(g, F.lit("50.000.000")), "negative": F.concat(F.lit("-"), g)}
-    return _t(spark, d, "orders").filter("o_totalprice > 1000").select("o_orderkey", *[numbers.parse_number(x).alias(k) for k, x in forms.items()])
+    return _t(spark, d, "orders").select("o_orderkey", *[numbers.parse_number(x).alias(k) for k, x in forms.items()])
 
 
 _NUMBERS = (("Rp. 166.500.000,-", 166500000.0), ("166.500.000,00", 166500000.0), ("1,5", 1.5), ("12.500", 12500.0), ("1,234,567.89", 1234567.89), ("150000000.0", 150000000.0), ("3.200.000.00", 3200000.0), ("7.350 000,00", 7350000.0), ("abc", None), ("", None), ("5.000.00050.000.000", None), ("-1.000", -1000.0))
@@ -206,9 +181,9 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
     select doc_id, round(case when c = 0 then 0 else 2 * (c / x) * (c / y) / (c / x + c / y) end, 9) f1 from p"""
 )
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    a = _t(spark, d, "documents").select("doc_id", "text")
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return a.join(b, "doc_id").select("doc_id", F.round(text.token_f1(F.col("text"), F.col("other")), 9).alias("f1"))
+    a = _t(spark, d, "documents").select("doc_id", F.array_distinct(text.words(text.canon(F.col("text")))).alias("w"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", F.round(text.words_f1(F.col("w"), F.col("other")), 9).alias("f1"))
 
 
 @query(
@@ -320,10 +295,31 @@ def _order_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """select l_orderkey doc_id, 1 as "table", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity::int::varchar)::int line_no, l_linenumber::varchar item_no, 'A. Perangkat' category, 'Barang ' || l_partkey description,
-    l_quantity::int::double quantity, 'Unit' unit, null::varchar period, (l_suppkey * 1000)::double unit_price, floor(l_extendedprice)::double line_total from lineitem"""
+    l_quantity::int::double quantity, 'Unit' unit, null::varchar period, (l_suppkey * 1000)::double unit_price, floor(l_extendedprice)::double line_total, null::varchar charge_type, null::varchar remarks, 0::int extras from lineitem"""
 )
 def markdown_items(spark: SparkSession, d: str) -> DataFrame:
-    return tables.items(_order_documents(spark, d))
+    found = tables.items(_order_documents(spark, d))
+    return found.withColumn("extras", F.size("extra")).drop("extra")
+
+
+@query(
+    """with v as (select l_orderkey k, l_linenumber n, min(l_suppkey) + 1 s, min(l_quantity::int) q from lineitem group by 1, 2)
+    select k doc_id, n::int line_no, n::varchar item_no, 'A. Layanan' category, 'Layanan ' || s description, case when n % 5 = 0 then null else q::double end quantity, case when n % 3 = 0 then 0 when n % 3 = 1 then (s * 1000)::double end unit_price,
+      case when n % 3 = 0 then 0 when n % 3 = 1 then (s * 1000 * q)::double else (s * 2000)::double end line_total, case when n % 3 = 1 then 'MRC' when n % 3 = 2 then 'OTC' end charge_type, case when n % 3 = 0 then 'Free' end remarks,
+      case when n % 5 = 0 then q::varchar || ' 2' end odd_quantity, 'L' || s site from v where n % 4 <> 1"""
+)
+def service_items(spark: SparkSession, d: str) -> DataFrame:
+    """Stacked headers, charge types, free items, split quantities and extra columns."""
+    li = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg((F.min("l_suppkey") + 1).alias("s"), F.min(F.col("l_quantity").cast("int")).alias("q")).filter("n % 4 <> 1")
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    price, total = F.when(n % 3 == 1, grouped(s * 1000)).otherwise(""), F.when(n % 3 == 1, grouped(s * 1000 * q)).when(n % 3 == 0, "Free").otherwise("")
+    once = F.when(n % 3 == 2, grouped(s * 2000)).otherwise("")
+    line = said("| ", n, " | Layanan ", s, " | L", s, " | ", F.when(n % 5 == 0, said(q, " 2")).otherwise(q.cast("string")), " | Paket | ", price, " | ", total, " | ", once, " |")
+    body = li.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = "| No | Uraian | Lokasi | Volume | Satuan | Harga Bulanan | Jumlah Harga | Total |\n|---|---|---|---|---|---|---|---|\n|  | Layanan |  |  |  | MRC | MRC | OTC |\n|  | A. Layanan |  |  |  |  |  |  |\n"
+    docs = body.select(F.col("k").alias("doc_id"), said("Lampiran\n", head, F.col("body"), "\n").alias("text"))
+    found = tables.items(docs)
+    return found.select("doc_id", F.col("item_no").cast("int").alias("line_no"), "item_no", "category", "description", "quantity", "unit_price", "line_total", "charge_type", "remarks", F.col("extra")["Volume"].alias("odd_quantity"), F.col("extra")["Lokasi"].alias("site"))
 
 
 @query("select l_orderkey doc_id, 1 as \"table\", 6::int columns, (count(*) + 2)::int rows from lineitem group by 1")
@@ -410,21 +406,30 @@ def handover_direction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select o_orderkey doc_id, s as section, a::int first_line, b::int last_line from orders, (values ('preamble', 0, 1), ('scope', 2, 3), ('price', 4, 4), ('closing', 5, 6)) t(s, a, b) where o_orderkey % 10 = 0"""
+    """select o_orderkey doc_id, s as section, a::int first_line, b::int last_line from orders, (values ('preamble', 0, 1), ('scope', 2, 3), ('price', 4, 4), ('closing', 5, 6)) t(s, a, b)"""
 )
 def contract_sections(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("# SURAT PERINTAH KERJA\nNomor "), F.col("o_orderkey").cast("string"), F.lit("\n1. Lingkup Pekerjaan\nisi\nPasal 2 HARGA\nDemikian surat ini\nttd"))
     return contracts.section_rows(_t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
 
 
-_LIST = ("1. satu", "a. dua", "b. tiga", "i. empat", "ii. lima", "c. enam", "2. tujuh", "teks", "# Judul", "A) delapan", "B) sembilan")
-_LEVELS = (0, 1, 1, 2, 2, 1, 0, None, None, 0, 0)
+_LISTS = (
+    (("1. satu", "a. dua", "b. tiga", "i. empat", "ii. lima", "c. enam", "2. tujuh", "teks", "# Judul", "A) delapan", "B) sembilan"), (0, 1, 1, 2, 2, 1, 0, None, None, 0, 0)),
+    (("A. satu", "a. dua", "b. tiga", "B. empat", "lim. lima", "(1) enam", "(2) tujuh", "C. delapan"), (0, 1, 1, 0, 1, 2, 2, 0)),
+    (("g. satu", "h. dua", "i. tiga", "J. empat", "k. lima", "1) enam", "i. tujuh", "ii. delapan", "2) sembilan"), (0, 0, 0, 0, 0, 1, 2, 2, 1)),
+)
 
 
-@query("select o_orderkey doc_id, n::int as line, l::int as level from orders, (values " + ", ".join(f"({i}, {v})" for i, v in enumerate(_LEVELS) if v is not None) + ") t(n, l) where o_orderkey % 50 = 0")
+@query(
+    "select o_orderkey doc_id, n::int as line, l::int as level from orders join (values "
+    + ", ".join(f"({k}, {i}, {v})" for k, (_, levels) in enumerate(_LISTS) for i, v in enumerate(levels) if v is not None)
+    + ") t(k, n, l) on k = o_orderkey % 3"
+)
 def nested_lists(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*[F.lit(x) for x in _LIST])).alias("line", "text"))
-    return contracts.list_levels(o.withColumn("heading", F.col("text").startswith("#")), "doc_id", "line", "text", "heading")
+    k = F.col("o_orderkey") % 3
+    lists = [F.array(*[F.lit(x) for x in lines]) for lines, _ in _LISTS]
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.when(k == 0, lists[0]).when(k == 1, lists[1]).otherwise(lists[2])).alias("line", "text"))
+    return blocks.list_levels(o.withColumn("heading", F.col("text").startswith("#")), "doc_id", "line", "text", "heading")
 
 
 @query(
@@ -566,30 +571,25 @@ def run_differences(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.compare_runs(old, new, ["doc_id"])
 
 
-@query()
-def evidence_located(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ordinal"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"), "text", F.lit(0.95).alias("confidence"))
-    values = c.select("conv_id", F.concat(F.lit("f"), F.col("ordinal").cast("string")).alias("field"), F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("value")).filter("length(value) > 8")
-    return evidence.located(evidence.scored(evidence.candidates(values, c, "conv_id")), "conv_id")
-
-
 @query(
-    """with e as (select l_orderkey, case when l_returnflag = 'N' then null else l_discount * 10 end s, l_linenumber = 7 missing, l_quantity > 45 err, l_quantity < 5 warn from lineitem),
-    t as (select *, case when missing then 'MISSING' when err then 'CONFLICT' when s is null or s < 0.65 then 'UNSUPPORTED' when warn then 'REVIEW_REQUIRED' when s >= 0.9 then 'AUTO_VERIFIED' when s >= 0.8 then 'AUTO_ACCEPTED' else 'REVIEW_REQUIRED' end st from e)
+    """with e as (select l_orderkey, case when l_returnflag = 'N' then null else l_discount * 10 end s, l_linenumber = 7 missing, l_quantity > 45 err, l_quantity < 5 warn, list_extract(['exact_match', 'number_match', 'phrase_containment', 'identifier_match', 'date_match', 'reverse_containment', 'exact_match+multiblock'], (1 + l_partkey % 7)::int) k from lineitem),
+    t as (select *, case when missing then 'MISSING' when err then 'CONFLICT' when s is null then 'UNSUPPORTED' when warn then 'REVIEW_REQUIRED' when s >= 0.85 and k in ('exact_match', 'number_match', 'phrase_containment', 'identifier_match') then 'AUTO_VERIFIED' when s >= 0.8 then 'AUTO_ACCEPTED' else 'REVIEW_REQUIRED' end st from e)
     select l_orderkey, count(*) fields, count(*) filter (st <> 'MISSING') filled, count(*) filter (s >= 0.65) grounded, round(count(*) filter (st <> 'MISSING') / count(*), 3)::double fill_rate,
     round(count(*) filter (s >= 0.65) / greatest(count(*) filter (st <> 'MISSING'), 1), 3)::double grounding_rate, count(*) filter (st = 'AUTO_VERIFIED') auto_verified, count(*) filter (st = 'AUTO_ACCEPTED') auto_accepted,
     count(*) filter (st = 'REVIEW_REQUIRED') review_required, count(*) filter (st = 'UNSUPPORTED') unsupported, count(*) filter (st = 'CONFLICT') as conflict, count(*) filter (st = 'MISSING') missing from t group by 1"""
 )
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     score = F.when(F.col("l_returnflag") != "N", F.col("l_discount") * 10)
-    e = _t(spark, d, "lineitem").select("l_orderkey", score.alias("evidence_score"), evidence.status(F.when(F.col("l_linenumber") != 7, F.lit("x")), score, F.lit("phrase"), F.col("l_quantity") > 45, F.col("l_quantity") < 5).alias("status"))
+    kinds = F.array(*[F.lit(k) for k in ("exact_match", "number_match", "phrase_containment", "identifier_match", "date_match", "reverse_containment", "exact_match+multiblock")])
+    kind = F.get(kinds, (F.col("l_partkey") % 7).cast("int"))
+    e = _t(spark, d, "lineitem").select("l_orderkey", score.alias("evidence_score"), evidence.status(F.when(F.col("l_linenumber") != 7, F.lit("x")), score, kind, F.col("l_quantity") > 45, F.col("l_quantity") < 5).alias("status"))
     return evidence.quality_report(e, "l_orderkey")
 
 
 @query("""select conv_id, turn, 2 as blocks, text || ' ' || nxt as text from (select *, lead(text) over (partition by conv_id order by turn) nxt from conversations) where nxt is not null""")
 def block_windows(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "conversations").select("conv_id", F.lit(1).alias("page"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("block_id"), "text")
-    return evidence.block_windows(c, "conv_id", (2,)).select("conv_id", F.col("ordinal").alias("turn"), "blocks", "text")
+    c = _t(spark, d, "conversations").select("conv_id", F.lit(1).alias("page"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("block_id"), "text", F.lit(0.9).alias("confidence"))
+    return evidence.block_windows(c, "conv_id", (2,)).select("conv_id", F.col("start").alias("turn"), F.col("size").alias("blocks"), "text")
 
 
 # Layout
@@ -613,15 +613,26 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     select conv_id, min(turn) ordinal, count(*) members, string_agg(text, chr(10) order by turn) as text from g group by conv_id, k"""
 )
 def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.when(F.col("role") == "user", "paragraph").when(F.col("role") == "assistant", "list").otherwise("key_value").alias("type"), "text", *[F.lit(0.0).alias(k) for k in ("x0", "y0", "x1", "y1")], F.lit(1.0).alias("confidence"))
-    return layout.merge_adjacent(c, ["conv_id"]).select("conv_id", "ordinal", "members", "text")
+    kind = F.when(F.col("role") == "user", "paragraph").when(F.col("role") == "assistant", "title").otherwise("key_value")
+    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), kind.alias("type"), "text", *[F.lit(0.0).alias(k) for k in ("x0", "y0", "x1", "y1")], F.lit(1.0).alias("confidence"))
+    out = blocks.page_blocks(c, ["conv_id"], (blocks.merged,))
+    return out.select("conv_id", F.array_min("members").cast("long").alias("ordinal"), F.size("members").cast("long").alias("members"), "text")
 
 
-@query("select o_orderkey, 'Nomor' as label, o_orderkey::varchar as value from orders where o_orderkey % 50 = 0 union all select o_orderkey, 'Tanggal', 'hari ' || o_custkey from orders where o_orderkey % 50 = 0")
+@query(
+    """select o_orderkey, n::int ordinal, t as type, case n when 0 then 'Nama : Budi ' || o_custkey when 1 then 'Jabatan : Direktur' when 2 then 'Alamat : Jl. Merdeka ' || o_custkey || ' Bandung 40257' when 3 then 'paragraf yang panjang dan bukan label sama sekali' end as text
+    from orders, (values (0, 'key_value'), (1, 'key_value'), (2, 'key_value'), (3, 'paragraph')) v(n, t)"""
+)
 def label_values(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders")
-    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), t.alias("text"), F.lit(a).alias("x0"), F.lit(a + 0.2).alias("x1"), F.lit(y).alias("y0"), F.lit(y + 0.02).alias("y1")) for i, (t, a, y) in enumerate(((F.lit("Nomor:"), 0.1, 0.1), (F.lit("Tanggal :"), 0.1, 0.15), (F.concat(F.lit("hari "), F.col("o_custkey").cast("string")), 0.4, 0.151), (F.col("o_orderkey").cast("string"), 0.4, 0.101)))])
-    return layout.label_pairs(o.select("o_orderkey", F.explode(rows).alias("b")).select("o_orderkey", "b.*"), ["o_orderkey"]).withColumn("label", F.trim("label"))
+    """Columns of bare labels and of values, read in any order, with an address that goes on."""
+    c = F.col("o_custkey")
+    rows = (
+        ("Nama", 0.1, 0.10, "paragraph"), ("Jabatan", 0.1, 0.13, "paragraph"), ("Alamat", 0.1, 0.16, "paragraph"), (said(": Jl. Merdeka ", c), 0.4, 0.161, "key_value"), (": Direktur", 0.4, 0.131, "key_value"),
+        (said(": Budi ", c), 0.4, 0.102, "key_value"), ("Bandung 40257", 0.41, 0.18, "paragraph"), ("paragraf yang panjang dan bukan label sama sekali", 0.1, 0.5, "paragraph"),
+    )
+    made = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(kind).alias("type"), (F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 0.2).alias("x1"), F.lit(y + 0.012).alias("y1"), F.lit(0.9).alias("confidence")) for i, (t, x, y, kind) in enumerate(rows)])
+    o = _t(spark, d, "orders").select("o_orderkey", F.explode(made).alias("b")).select("o_orderkey", "b.*")
+    return blocks.page_blocks(o, ["o_orderkey"], (blocks.paired,)).select("o_orderkey", "ordinal", "type", "text")
 
 
 @query("select l_orderkey, l_linenumber, greatest(0, least(1, round(l_discount * 5, 5))) x0, greatest(0, least(1, round(l_tax * 20, 5))) y1 from lineitem")
@@ -634,8 +645,8 @@ def normalized_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select o_orderkey, 'header.status' as path, o_orderstatus as value_text from orders where o_orderkey % 20 = 0 union all select o_orderkey, 'header.customer', o_custkey::varchar from orders where o_orderkey % 20 = 0
-    union all select o_orderkey, 'tags[0].name', o_orderpriority from orders where o_orderkey % 20 = 0 union all select o_orderkey, 'tags[1].name', 'x' from orders where o_orderkey % 20 = 0"""
+    """select o_orderkey, 'header.status' as path, o_orderstatus as value_text from orders union all select o_orderkey, 'header.customer', o_custkey::varchar from orders
+    union all select o_orderkey, 'tags[0].name', o_orderpriority from orders union all select o_orderkey, 'tags[1].name', 'x' from orders"""
 )
 def nested_leaves(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders")
@@ -680,3 +691,6 @@ def evicted_history(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with r as (select *, row_number() over (partition by worker order by created_at desc, job_id desc) n from {_JOBS}) select job_id, worker, status from r where n <= 5")
 def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.newest(_jobs(spark, d), 5, "worker").select("job_id", "worker", "status")
+
+
+from lontar.plans import extraction  # noqa: E402, F401  registers its queries

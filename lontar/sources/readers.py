@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Block types by the names that layout engines give.
@@ -34,6 +34,47 @@ def block_type(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(raw)), F.lit("unknown"))
 
 
+#: A parsed response: pages with blocks, each with its box, confidence and range of the Markdown.
+PARSED = (
+    "markdown string, metadata struct<parser_engine:string,model_version:string,is_scanned:boolean>, structure struct<children:array<struct<grounding:struct<page:int>,"
+    "children:array<struct<id:string,type:string,text:string,confidence:double,grounding:struct<page:int,confidence:double,box:struct<xmin:double,ymin:double,xmax:double,ymax:double>,range:struct<start:int,end:int>>>>>>>"
+)
+
+
+def parsed_blocks(parsed: DataFrame, name: str = "file_name") -> DataFrame:
+    """document_id, block_id, page, ordinal, type, raw_type, text, box, engine, confidence and range of every block with text.
+
+    parsed: PARSED's columns, the file's name, and its document_id if known (else one from the name and the text). A range
+    must be a part of the Markdown; where a block has no text, it is read from there.
+    """
+    own = F.col("document_id") if "document_id" in parsed.columns else F.lit(None).cast("string")
+    md = F.coalesce("markdown", F.lit(""))
+    file = F.regexp_extract(F.col(name), r"([^/]*)$", 1)
+    engine = F.coalesce("metadata.parser_engine", "metadata.model_version", F.lit("external"))
+    pages = parsed.select(F.coalesce(own, F.concat(F.lit("doc-"), fallback_id(file, md))).alias("document_id"), md.alias("md"), engine.alias("engine"), F.posexplode("structure.children").alias("p", "page"))
+    blocks = pages.select("document_id", "md", "engine", "p", F.coalesce("page.grounding.page", F.col("p") + 1).alias("page"), F.posexplode("page.children").alias("b", "x"))
+    r = F.col("x.grounding.range")
+    part = (r["start"] >= 0) & (r["start"] < r["end"]) & (r["end"] <= F.length("md")) & (r["end"] - r["start"] < F.length("md"))
+    text = F.trim(F.coalesce("x.text", F.lit("")))
+    read = F.when(text != "", text).when(part, F.trim(F.substr(F.col("md"), r["start"] + 1, r["end"] - r["start"]))).otherwise("")
+    box = F.col("x.grounding.box")
+    found = blocks.withColumn("read", read).filter("read <> ''")
+    sides = F.struct(F.least(box["xmin"], box["xmax"]).alias("x0"), F.least(box["ymin"], box["ymax"]).alias("y0"), F.greatest(box["xmin"], box["xmax"]).alias("x1"), F.greatest(box["ymin"], box["ymax"]).alias("y1"))
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("p", "b")) - 1
+    return found.select(
+        "document_id", F.coalesce("x.id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-b"), F.col("b").cast("string"))).alias("block_id"), "page", order.alias("ordinal"), block_type(F.col("x.type")).alias("type"), F.col("x.type").alias("raw_type"),
+        F.col("read").alias("text"), F.when(box.isNotNull(), sides).alias("box"), "engine", F.coalesce(F.nullif("x.grounding.confidence", F.lit(0.0)), F.col("x.confidence")).alias("confidence"), F.when(part, r).alias("range"),
+    )
+
+
+def reading_quality(report: Column) -> Column:
+    """A struct (mean, low, layout, ocr, text) of a reader's report: grades it knows, scores to three digits, NaN as null; null without a grade."""
+    grade = lambda c: F.when(F.lower(c).isin("poor", "fair", "good", "excellent"), F.lower(c))
+    points = lambda c: F.when(~F.isnan(c), F.round(c, 3))
+    mean, low = grade(report["mean_grade"]), grade(report["low_grade"])
+    return F.when(mean.isNotNull() | low.isNotNull(), F.struct(mean.alias("mean"), low.alias("low"), points(report["layout_score"]).alias("layout"), points(report["ocr_score"]).alias("ocr"), points(report["parse_score"]).alias("text")))
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one a row."""
     return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

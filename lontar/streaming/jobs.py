@@ -1,11 +1,12 @@
 """The asynchronous job queue as tables and as a stream.
 
-Jobs arrive as files; each micro-batch is upserted by document, so a repeated submission changes nothing and a restart
-from the checkpoint repeats no callback.
+Jobs arrive as files. A document is claimed before it is run, so that each is run at most once: a repeated submission
+changes nothing, and what an interrupted batch had claimed without a result counts as failed and isn't run again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,14 @@ def state_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
 
 
+SUMMARY = ("job_id", "document_id", "filename", "status", "created_at", "started_at", "finished_at", "duration_s", "error", "callback_status")
+
+
+def summaries(jobs: DataFrame) -> DataFrame:
+    """What is polled of a job: its state without its result."""
+    return jobs.select(*[c for c in SUMMARY if c in jobs.columns])
+
+
 def queue_positions(jobs: DataFrame, partition: str | None = None) -> DataFrame:
     """job_id and position of every queued job, first come first served; per partition column if one is named."""
     order = (Window.partitionBy(partition) if partition else Window.partitionBy()).orderBy("created_at", "job_id")
@@ -44,19 +53,36 @@ def submitted(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+BUCKETS = 64
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def run_queue(stream: DataFrame, checkpoint: str, runner: Callable[[DataFrame], DataFrame], store: str):
-    """A started query that runs each new document once and appends results to ``store``; known documents are left out."""
+    """A started query that runs each new document at most once and appends its result to ``store``.
+
+    Claims lie in ``store``-claims, by a bucket of the document, so that a batch reads the claims of its own buckets only.
+    """
 
     def batch(jobs: DataFrame, number: int) -> None:
-        spark = jobs.sparkSession
-        new = jobs.dropDuplicates(["document_id"])
-        where = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            done = spark.read.parquet(store)
-            if "batch" in done.columns:
-                done = done.filter(F.col("batch") != number)  # a batch that is run again replaces its own rows
-            new = new.join(done.select("document_id").distinct(), "document_id", "left_anti")
-        runner(new).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+        spark, claims, attempt = jobs.sparkSession, f"{store}-claims", uuid.uuid4().hex
+        docs = jobs.dropDuplicates(["document_id"]).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+        buckets = [r["bucket"] for r in docs.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        known = _stored(spark, claims)
+        fresh = docs if known is None else docs.join(known.filter(F.col("bucket").isin(buckets)).select("document_id"), "document_id", "left_anti")
+        fresh.select("document_id", F.lit(number).alias("batch"), F.lit(attempt).alias("attempt"), "bucket").write.mode("append").partitionBy("bucket").parquet(claims)
+        own = spark.read.parquet(claims).filter(F.col("bucket").isin(buckets) & (F.col("batch") == number))
+        docs = docs.drop("bucket")
+        new = docs.join(own.filter(F.col("attempt") == attempt).select("document_id"), "document_id", "left_semi")
+        cut = docs.join(own.filter(F.col("attempt") != attempt).select("document_id"), "document_id", "left_semi")
+        results = _stored(spark, store)
+        if results is not None:
+            cut = cut.join(results.filter(F.col("batch") == number).select("document_id"), "document_id", "left_anti")
+        failed = cut.withColumns({"status": F.lit("failed"), "error": F.lit("interrupted")})
+        runner(new).unionByName(failed, allowMissingColumns=True).withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(store)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

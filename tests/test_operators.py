@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lontar.operators import layout, mapping, pages, tables
+from lontar.operators import mapping, pages, tables
 from lontar.plans import catalog
 from lontar.streaming import jobs
 
@@ -40,12 +39,6 @@ def test_verified_values_follow_the_last_valid_review(spark):
     assert sorted((r.id, r.value) for r in mapping.verified(fields, reviews, ["id"]).collect()) == [(1, "a"), (2, "b")]
 
 
-def test_label_pairs(spark):
-    b = [(1, 0, "Nama:", 0.1, 0.10, 0.2, 0.12), (1, 1, "Budi", 0.3, 0.10, 0.4, 0.12), (1, 2, "jauh", 0.3, 0.5, 0.4, 0.52)]
-    got = layout.label_pairs(spark.createDataFrame(b, "doc int, ordinal int, text string, x0 double, y0 double, x1 double, y1 double"), ["doc"]).collect()
-    assert [(r.label, r.value) for r in got] == [("Nama", "Budi")]
-
-
 def test_job_stream_runs_each_document_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(2):
@@ -55,7 +48,27 @@ def test_job_stream_runs_each_document_once(spark, tmp_path):
     assert sorted(r.document_id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["d1", "d2", "d3"]
 
 
-@pytest.mark.parametrize("name", ["validation_report", "number_vectors", "markdown_items", "verified_values", "evicted_history", "field_verdicts"])
+def test_an_interrupted_batch_runs_nothing_twice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"document_id": "d1"}\n{"document_id": "d2"}\n')
+    ran = []
+
+    def runner(df):
+        ran.append(sorted(r.document_id for r in df.collect()))
+        if len(ran) == 1:
+            raise RuntimeError("stopped after its side effect")
+        return df.withColumn("status", F.lit("done"))
+
+    for _ in range(2):
+        query = jobs.run_queue(jobs.submitted(spark, str(tmp_path / "in"), "document_id string"), str(tmp_path / "ck"), runner, str(tmp_path / "store"))
+        try:
+            query.awaitTermination()
+        except Exception as e:
+            assert "stopped" in str(e)
+    assert ran == [["d1", "d2"], []] and {(r.document_id, r.status, r.error) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {("d1", "failed", "interrupted"), ("d2", "failed", "interrupted")}
+
+
+@pytest.mark.parametrize("name", ["validation_report", "number_vectors", "markdown_items", "service_items", "verified_values", "evicted_history", "field_verdicts", "evidence_located", "field_evidence", "entity_hints", "column_signers", "contract_item_records", "nested_lists", "label_values", "document_markdown"])
 def test_queries_match_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("the test tables aren't here")
@@ -85,10 +98,10 @@ def test_item_choice_prefers_the_copy_whose_sum_is_written(spark):
 
 
 def test_list_levels_and_sections(spark):
-    from lontar.operators import contracts
+    from lontar.operators import blocks, contracts
 
     lines = [(1, i, t, t.startswith("#")) for i, t in enumerate(["1. a", "a. b", "b. c", "i. d", "ii. e", "2. f", "# h", "(1) g", "kosong"])]
-    got = contracts.list_levels(spark.createDataFrame(lines, "doc int, line int, text string, heading boolean"), "doc", "line", "text", "heading")
+    got = blocks.list_levels(spark.createDataFrame(lines, "doc int, line int, text string, heading boolean"), "doc", "line", "text", "heading")
     assert [r.level for r in got.orderBy("line").collect()] == [0, 1, 1, 2, 2, 0, 0]
     s = contracts.section_rows(spark.createDataFrame([(1, "1. GARANSI\nx\nPasal 2 DENDA\ny"), (2, None)], "doc_id int, text string")).orderBy("first_line").collect()
     assert [(r.section, r.first_line, r.last_line) for r in s] == [("guarantee", 0, 1), ("penalty", 2, 3)]
@@ -100,40 +113,3 @@ def test_nested_leaves_and_block_types(spark):
     df = spark.createDataFrame([(1, ("x", [(1,), (2,)]))], "id int, a struct<b:string,c:array<struct<d:int>>>")
     assert [(r.path, r.value_text) for r in readers.leaves(df, "id").collect()] == [("a.b", "x"), ("a.c[0].d", "1"), ("a.c[1].d", "2")]
     assert spark.range(1).select(readers.block_type(F.lit("List_Item")), readers.block_type(F.lit("?"))).first()[:] == ("list", "unknown")
-
-
-@pytest.mark.parametrize("name", ["contract_sections", "nested_lists", "label_values", "nested_leaves"])
-def test_queries_take_every_order(spark, tmp_path, name):
-    """The rows of the registered SQL without its filter on order keys, and with that filter exactly the registered ones."""
-    spark.createDataFrame([(k, k * 7, "FOP"[k % 3], f"{k % 5}-X") for k in range(1, 121)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
-    con = duckdb.connect()
-    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
-    sql = catalog.ORACLE_SQL[name]
-    modulo = re.search(r"o_orderkey % (\d+) = 0", sql)
-    whole = con.execute(re.sub(r" where o_orderkey % \d+ = 0", "", sql))
-    columns = [c[0] for c in whole.description]
-    got = sorted(repr([r[c] for c in columns]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
-    assert got == sorted(repr(list(r)) for r in whole.fetchall())
-    if modulo:
-        key = next(c for c in columns if c in ("doc_id", "o_orderkey"))
-        some = [r for r in catalog.QUERIES[name](spark, str(tmp_path)).collect() if r[key] % int(modulo[1]) == 0]
-        assert sorted(repr([r[c] for c in columns]) for r in some) == sorted(repr(list(r)) for r in con.execute(sql).fetchall())
-
-
-def test_evidence_is_located_for_every_turn(spark, tmp_path):
-    texts = [f"a b value{t}word second{t}word third{t}word x{t} y z" for t in range(6)]
-    spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {(r.field, r.block_id) for r in catalog.QUERIES["evidence_located"](spark, str(tmp_path)).collect()}
-    assert got == {(f"f{t}", f"b{t}") for t in range(6)}
-
-
-def test_identifiers_and_numbers_become_candidates(spark):
-    from lontar.operators import evidence
-
-    v = [(1, "a", "AB12.34CD"), (2, "b", "HKT81O"), (3, "c", "1,499.4"), (4, "d", "1.499,4")]
-    b = [(1, "No. AB1234CD"), (2, "HKT810"), (3, "1499.6"), (4, "jumlah 1.499,6")]
-    values = spark.createDataFrame(v, "doc int, field string, value string")
-    blocks = spark.createDataFrame([(d, "x", 0, t, 0.95) for d, t in b], "doc int, block_id string, ordinal int, text string, confidence double")
-    sure = {r.doc for r in evidence.scored(values.join(blocks.withColumnRenamed("text", "block"), "doc")).filter("score > 0").collect()}
-    got = {r.doc for r in evidence.scored(evidence.candidates(values, blocks, "doc")).filter("score > 0").collect()}
-    assert got == sure and {1, 2} <= got and got & {3, 4}
