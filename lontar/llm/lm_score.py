@@ -39,7 +39,8 @@ from lontar.llm.language import fold
 END = np.uint64(0x2545F4914F6CDD1D)
 CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 8192
-_BUFFER = 3_000_000
+BATCH_BYTES = 12_000_000  # of an Arrow batch, which by default holds 10,000 rows, also of some MB each
+_BUFFER = 1_500_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
 #: Steps of the scale in which a count doubles.
 STEPS = 2
@@ -242,7 +243,8 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
         return pa.table([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, sums array<long>, sizes array<long>"
-    counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
+    with scratch.batch_bytes(docs.sparkSession, BATCH_BYTES):
+        counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
     totals = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.max(F.length("bits"))).first()
     total, distinct, again, kept, largest = (x or 0 for x in totals)
     means = np.concatenate(([0.0], _SCALE, np.full(256, float(_SCALE[-1]))))[:256]  # the least count of a level that no bigram has; a false positive may lead there
@@ -298,7 +300,8 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     model = model or train(docs, rules)
     bits, direct, counts = model.slice_bits, model.log_filter is not None, model.counts
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
-    chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks")
+    with scratch.batch_bytes(docs.sparkSession, BATCH_BYTES):
+        chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value.head
@@ -351,5 +354,7 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     asks = chunks.mapInArrow(asked, "slice int, chunk long, tail binary, pairs binary")
     answers = asks.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(answered, "slice int, chunk long, exact binary, levels binary")
     parts = answers.groupBy("chunk").agg(F.collect_list(F.struct("slice", "exact", "levels")).alias("parts"))
-    scored = chunks.join(parts, "chunk", "left").mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    with scratch.batch_bytes(docs.sparkSession, BATCH_BYTES):
+        scored = scratch.table(chunks.join(parts, "chunk", "left").mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
+    scratch.drop(chunks)
     return scored.select("doc_id", (fold(F.col("doc_id"), rules.folds) == rules.held_out).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
