@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lontar.operators import entities
+from lontar.operators import entities, groups, signatures
 from lontar.plans import extraction
 from lontar.plans.registry import spread
 
@@ -24,3 +25,21 @@ def test_entities_work_numbers_and_windows_out_once(spark):
     found = entities.entities(docs)
     assert sorted((r.doc_id, r.field, r.value, r.line) for r in found.collect()) == [(1, "Nama Bank", "Bank Mandiri", 1), (1, "Nama Rekening Bank", "PT Kita Jaya", 1), (1, "Nomor Kontrak Kerja", "AB-123/9", 0), (1, "Nomor Rekening Bank", "12-34-567890", 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("{0,160}") == 1
+
+
+def test_a_name_is_compared_once_for_its_copies():
+    box = (0.1, 0.7, 0.4, 0.72)
+    heads = [signatures.Line(1, "PT Satu Dua", (0.1, 0.6, 0.4, 0.62)), signatures.Line(1, "CV Tiga Empat", (0.6, 0.6, 0.9, 0.62))]
+    lines = [*heads, signatures.Line(1, "ANDI WIJAYA", box), signatures.Line(1, "SITI RAHAYU", (0.6, 0.7, 0.9, 0.72))]
+    sides = {"first": {"company": "PT Satu Dua", "name": None, "title": None}, "second": {"company": "CV Tiga Empat", "name": "Siti Rahayu", "title": "Staf"}}
+    first = signatures.resolved(lines, sides)
+    before = signatures.read_line.cache_info().misses, signatures.same_name.cache_info().misses
+    assert signatures.resolved(lines, sides) == first and first["first"]["name"] == "ANDI WIJAYA" and first["first"]["change"] == "filled"
+    assert (signatures.read_line.cache_info().misses, signatures.same_name.cache_info().misses) == before
+
+
+def test_grouped_values_read_by_field():
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.list_(pa.struct([("c", pa.string())])))]))
+    for rows in ([], [None], [[{"a": 1, "b": [{"c": "x"}, {"c": None}]}, None], None, [], [{"a": None, "b": None}]]):
+        column = pa.array(rows, kind)
+        assert groups.values(column) == column.to_pylist() == rows and groups.values(column.slice(1)) == rows[1:]
