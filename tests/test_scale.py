@@ -43,3 +43,8 @@ def test_grouped_values_read_by_field():
     for rows in ([], [None], [[{"a": 1, "b": [{"c": "x"}, {"c": None}]}, None], None, [], [{"a": None, "b": None}]]):
         column = pa.array(rows, kind)
         assert groups.values(column) == column.to_pylist() == rows and groups.values(column.slice(1)) == rows[1:]
+
+
+def test_a_handover_is_parsed_once(spark):
+    plan = extraction.handover_conditions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1
