@@ -48,3 +48,9 @@ def test_grouped_values_read_by_field():
 def test_a_handover_is_parsed_once(spark):
     plan = extraction.handover_conditions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= 1
+
+
+def test_evidence_is_planned_in_steps(spark):
+    """A driver of 1,500 MB has room for each step's plan, not for one of all."""
+    plan = extraction.evidence_located(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse" not in plan and plan.count("regexp") == 0 and len(plan) < 20_000
