@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lontar.operators import entities, groups, signatures
+from lontar.operators import entities, evidence, groups, signatures
 from lontar.plans import extraction
 from lontar.plans.registry import spread
 
@@ -54,3 +56,36 @@ def test_evidence_is_planned_in_steps(spark):
     """A driver of 1,500 MB has room for each step's plan, not for one of all."""
     plan = extraction.evidence_located(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "parse" not in plan and plan.count("regexp") == 0 and len(plan) < 20_000
+
+
+def test_evidence_broadcasts_no_table(spark, monkeypatch):
+    """Documents made of a small file's rows look small to the planner; the driver would gather all of them."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = evidence.cut
+    monkeypatch.setattr(evidence, "cut", seen)
+    plans.append(extraction.evidence_located(spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert max(len(p) for p in plans) < 30_000
+
+
+def test_identifiers_and_runs_of_blocks(spark):
+    """Skeletons and folds as they come of each piece by itself, and runs with a null text, a missing confidence and a page's end."""
+    texts = ["K. TEL.05/HK-810, No 1 2345678", "a_b \u00e9\u00df9 x12 S0lB 77", "", " / ", "satu dua tiga", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", evidence._identifiers(F.coalesce("t", F.lit(""))).alias("i")).collect()
+    for t, i in found:
+        parts = re.split(r"\s{2,}|[,;()\[\]]", t or "") + [t or ""]
+        split = [w for w in re.split(r"\s+", t or "") if w]
+        parts += ["".join(split[a : a + n]) for n in (2, 3, 4) for a in range(len(split) - n + 1)]
+        plain = ["".join(c for c in p if c.isalnum()) for p in parts]
+        long = [p for p in plain if len(p.upper()) >= 6 and any(c.isdigit() or c in "OoIlSB" for c in p)]
+        assert i.skeletons == list(dict.fromkeys(p.upper() for p in long)) and i.folds == list(dict.fromkeys(p.translate(str.maketrans("OoIlSB", "001158")).upper() for p in long))
+    rows = [(1, "a", 1, 0, "x", 0.9), (1, "b", 1, 1, None, None), (1, "c", 1, 2, "z", 0.7), (1, "d", 2, 3, "w", 0.0)]
+    runs = evidence.block_windows(spark.createDataFrame(rows, "doc int, block_id string, page int, ordinal int, text string, confidence double"), "doc", (1, 2, 3))
+    assert sorted((r.start, r.size, ",".join(r.block_ids), r.text or "", r.confidence or 0, r.first_text or "") for r in runs.collect()) == [
+        (0, 1, "a", "x", 0.9, "x"), (0, 2, "a,b", "x", 0.9, "x"), (0, 3, "a,b,c", "x z", 0.7, "x"), (1, 1, "b", "", 0, ""), (1, 2, "b,c", "z", 0.7, ""), (2, 1, "c", "z", 0.7, "z"), (3, 1, "d", "w", 0.0, "w")
+    ]
