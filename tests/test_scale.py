@@ -68,7 +68,8 @@ def test_evidence_broadcasts_no_table(spark, monkeypatch):
 
     cut = evidence.cut
     monkeypatch.setattr(evidence, "cut", seen)
-    plans.append(extraction.evidence_located(spark, SF)._jdf.queryExecution().executedPlan().toString())
+    for query in (extraction.evidence_located, extraction.field_evidence):
+        plans.append(query(spark, SF)._jdf.queryExecution().executedPlan().toString())
     assert sum("Join" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
     assert max(len(p) for p in plans) < 30_000
 
