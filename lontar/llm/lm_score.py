@@ -39,7 +39,8 @@ from lontar.llm.language import fold
 END = np.uint64(0x2545F4914F6CDD1D)
 CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 8192
-BATCH_BYTES = 12_000_000  # of an Arrow batch, which by default holds 10,000 rows, also of some MB each
+BATCH_BYTES = 3_000_000  # of an Arrow batch, which by default holds 10,000 rows, also of some MB each
+GROUP_BYTES = 4_000_000  # of a row group of the scratch tables whose rows are chunks or slices
 _BUFFER = 1_500_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
 #: Steps of the scale in which a count doubles.
@@ -244,7 +245,7 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Model:
 
     schema = "slice int, bits binary, head binary, head_counts binary, hashes binary, counts binary, total long, distinct long, again long, kept long, sums array<long>, sizes array<long>"
     with scratch.batch_bytes(docs.sparkSession, BATCH_BYTES):
-        counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts")
+        counts = scratch.table(packs.groupBy("slice").applyInArrow(reduced, schema), "counts", GROUP_BYTES)
     totals = counts.agg(F.sum("total"), F.sum("distinct"), F.sum("again"), F.sum("kept"), F.max(F.length("bits"))).first()
     total, distinct, again, kept, largest = (x or 0 for x in totals)
     means = np.concatenate(([0.0], _SCALE, np.full(256, float(_SCALE[-1]))))[:256]  # the least count of a level that no bigram has; a false positive may lead there
@@ -301,7 +302,7 @@ def score(docs: DataFrame, rules: Rules = Rules(), model: Model | None = None) -
     bits, direct, counts = model.slice_bits, model.log_filter is not None, model.counts
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
     with scratch.batch_bytes(docs.sparkSession, BATCH_BYTES):
-        chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks")
+        chunks = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked, CHUNKS), "chunks", GROUP_BYTES)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value.head
